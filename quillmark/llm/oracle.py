@@ -74,4 +74,14 @@ t AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-SQL = {"op1_mix_sources": OP1, "op2_quality_rules": _rules(), "op10_decontaminate": OP10}
+OP9 = f"""
+WITH d AS (SELECT doc_id, {WORDS.format("text")} AS words FROM documents),
+w AS (SELECT doc_id, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS p, CASE WHEN i > 2 THEN words[i - 2] END AS pp FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+c AS (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY w) - 1 AS c1, CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY p, w) - 1 ELSE 0 END AS c2, CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY pp, p, w) - 1 ELSE 0 END AS c3 FROM w),
+x AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS h1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM c),
+s AS (SELECT doc_id, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS l, least(i, 3) AS m, CASE WHEN c3 > 0 THEN c3 / h2 WHEN c2 > 0 THEN c2 / h1 WHEN c1 > 0 THEN c1 / n ELSE 0.4::DOUBLE / n END AS r FROM x),
+t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (l = 0) AS l0, count(*) FILTER (l = 1) AS l1, count(*) FILTER (l = 2) AS l2, count(*) FILTER (l = 3) AS l3, sum(ln(r) + ln(0.4::DOUBLE) * (m - greatest(l, 1))) AS s FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(l0, 0) AS n_level0, coalesce(l1, 0) AS n_level1, coalesce(l2, 0) AS n_level2, coalesce(l3, 0) AS n_level3, round(coalesce(s, 0), 6) AS log_score FROM d LEFT JOIN t USING (doc_id)
+"""
+
+SQL = {"op9_stupid_backoff": OP9, "op1_mix_sources": OP1, "op2_quality_rules": _rules(), "op10_decontaminate": OP10}
