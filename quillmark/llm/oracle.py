@@ -84,4 +84,13 @@ t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (l = 0) AS l0, count(*) FILT
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(l0, 0) AS n_level0, coalesce(l1, 0) AS n_level1, coalesce(l2, 0) AS n_level2, coalesce(l3, 0) AS n_level3, round(coalesce(s, 0), 6) AS log_score FROM d LEFT JOIN t USING (doc_id)
 """
 
-SQL = {"op9_stupid_backoff": OP9, "op1_mix_sources": OP1, "op2_quality_rules": _rules(), "op10_decontaminate": OP10}
+# Base 32 of a SHA-1: eight characters for each five bytes, here from its hexadecimal digits.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (bits[5 * i + 1 : 5 * i + 5]::BIT)::INT, 1)), '')"
+
+OP3 = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+q AS (SELECT page_id, coalesce(url, '') AS url, strlen(html)::BIGINT AS n, array_to_string(list_transform(string_split(sha, ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), '') AS bits, min(page_id) OVER (PARTITION BY html) AS one FROM p)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = one THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> one THEN one END AS refers_to, url FROM q
+"""
+
+SQL = {"op3_warc_index": OP3, "op9_stupid_backoff": OP9, "op1_mix_sources": OP1, "op2_quality_rules": _rules(), "op10_decontaminate": OP10}
