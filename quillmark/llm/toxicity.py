@@ -23,8 +23,8 @@ from .runtime import cut
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Bound on the labelled texts of a fit, least texts with a feature, least distance of its ratio from 0 in standard errors.
-ROWS, LEAST, CLEAR = 8000, 4, 3.0
-RIDGE, STEPS = 1e-4, 300
+ROWS, LEAST, CLEAR = 16000, 4, 3.0
+RIDGE, STEPS = 1e-4, 200
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
@@ -36,7 +36,7 @@ def features(b: B.Block, keep: np.ndarray | None = None) -> tuple[np.ndarray, np
     points = np.frombuffer(low.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
     ends = lead[b.offsets]
-    row = np.repeat(np.arange(len(b.offsets) - 1), np.diff(ends))
+    row = np.repeat(np.arange(len(b.offsets) - 1, dtype=np.int32), np.diff(ends))
     found = []
     h, width = points.copy(), 1
     for n in range(2, max(ORDERS) + 1):
@@ -55,26 +55,30 @@ def features(b: B.Block, keep: np.ndarray | None = None) -> tuple[np.ndarray, np
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def fit(parts: list[tuple[B.Block, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Weights (ratio times coefficient) and intercept, from blocks with their labels."""
+def fit(parts) -> tuple[np.ndarray, float]:
+    """Weights (ratio times coefficient) and intercept, from pairs of a block and its labels."""
     size = 1 << BITS
-    y = np.concatenate([label for _, label in parts]) if parts else np.zeros(0)
-    pairs = [features(b) for b, _ in parts]
-    at = np.cumsum([0, *(len(label) for _, label in parts)])
-    row = np.concatenate([r + i for (r, _), i in zip(pairs, at, strict=False)]) if parts else np.zeros(0, int)
-    col = np.concatenate([c for _, c in pairs]) if parts else np.zeros(0, int)
+    labels, each, cols, bad, good = [np.zeros(0)], [np.zeros(0, int)], [np.zeros(0, np.int32)], np.ones(size), np.ones(size)
+    for b, label in parts:
+        row, col = features(b)
+        labels.append(label)
+        each.append(np.bincount(row, minlength=len(label)))
+        cols.append(col.astype(np.int32))
+        toxic = label[row] == 1
+        bad += np.bincount(col[toxic], minlength=size)
+        good += np.bincount(col[~toxic], minlength=size)
+    y = np.concatenate(labels)
     share = (y.sum() + 0.5) / (len(y) + 1)
     nothing = np.zeros(size, np.float32), float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
         return nothing
-    bad = np.bincount(col, y[row], size) + 1
-    good = np.bincount(col, 1 - y[row], size) + 1
     ratio = np.log(bad / (y.sum() + 2)) - np.log(good / (len(y) - y.sum() + 2))
     clear = (bad + good - 2 >= LEAST) & (np.abs(ratio) > CLEAR * np.sqrt(1 / bad + 1 / good))
     if not clear.any():
         return nothing
     number = np.cumsum(clear) - 1
-    row, col = row[clear[col]], col[clear[col]]
+    row = np.concatenate([np.repeat(np.arange(len(n), dtype=np.int32) + at, n)[clear[c]] for n, c, at in zip(each, cols, np.cumsum([0, *map(len, each)]), strict=False)])
+    col = np.concatenate([c[clear[c]] for c in cols])
     x, f = ratio[col], number[col]
     w, m, v, c = np.zeros(int(clear.sum())), 0.0, 0.0, nothing[1]
     for step in range(1, STEPS + 1):  # Adam on the whole sample
@@ -94,11 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndar
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text").orderBy("toxic", F.xxhash64("text"))
 
     def run(batches):
-        parts = []
-        for batch in batches:
-            text = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            parts.append((B._block(0, [batch.column(0)], [text]), batch.column(0).to_numpy().astype(float)))
-        weights, intercept = fit(parts)
+        weights, intercept = fit((b, b.ids.to_numpy().astype(float)) for b in B.read_blocks(batches, 1 << 20))
         yield pa.record_batch([[B.numbers(weights)], [intercept]], names=["weights", "intercept"])
 
     model = cut(texts.coalesce(1).mapInArrow(run, "weights binary, intercept double"), "toxicity-model").first()
@@ -112,7 +112,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def run(batches):
         weights, intercept = np.frombuffer(B.spread(sent.value[0]), np.float32), sent.value[1]
         keep = weights != 0
-        for b in B.read_blocks(batches):
+        for b in B.read_blocks(batches, 4 << 20):
             row, col = features(b, keep)
             z = np.bincount(row, weights[col], len(b.ids)) + intercept
             yield pa.record_batch([b.ids, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
