@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm_score, mixing, quality_model, quality_rules, suffix_dedup, toxicity, warc
+from . import decontaminate, html_text, lm_score, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_chars", "perplexity", "cutoff", "kept")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 6))
 
@@ -52,4 +56,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_warc_index, op4_toxicity, op5_html_text, op6_suffix_dedup, op7_quality_model, op9_stupid_backoff, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_warc_index, op4_toxicity, op5_html_text, op6_suffix_dedup, op7_quality_model, op8_near_dedup, op9_stupid_backoff, op10_decontaminate)}
