@@ -127,33 +127,53 @@ def _shared_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].values, "shard": pdf["shard"].values, "keys": [b""] * len(pdf), "extra": [np.packbits(many[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]})
 
 
-def _candidates(b: B.Block, answers: pd.DataFrame, n_shards: int) -> dict[str, np.ndarray | list]:
-    """The block's segments in shared buckets: of each run its row, first window and distinct segment; of each distinct segment, by shard and key, its text and least doc_id."""
+def content_hash(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start : start + size]; data ends in 8 spare bytes."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    h = sizes.astype(np.uint64) * _A
+    for at in range(0, int(sizes.max(initial=0)), 8):
+        live = slice(None) if at + 8 <= sizes.min() else np.flatnonzero(sizes > at)
+        have = np.minimum(sizes[live] - at, 8).astype(np.uint64)
+        x = (h[live] ^ eight[starts[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - have * np.uint64(8)))) * _B
+        h[live] = x ^ (x >> np.uint64(31))
+    return B.mix(h)
+
+
+def distinct(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments with one key and one hash are one: an order by key and hash, where each distinct one begins in it, and the number of each segment's."""
+    order = np.lexsort((hashes, keys))
+    k, h = keys[order], hashes[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(order) else np.zeros(0, bool)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), which
+
+
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces data[start : start + size], one after the other."""
+    return data[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+
+def _candidates(b: B.Block, answers: pd.DataFrame, n_shards: int) -> dict[str, np.ndarray]:
+    """The block's segments in shared buckets: of each run its first window, number of windows, owner and distinct segment; of each distinct segment (d_...), by shard and key, its place and least owner."""
     first, count, place, key = minimisers(b)
-    placed = B.place(key, n_shards)
-    distinct = np.unique(placed)
-    at = B.cuts(distinct, n_shards)
-    wide = np.zeros(len(distinct), bool)
+    keys, inverse = np.unique(B.place(key, n_shards), return_inverse=True)
+    at = B.cuts(keys, n_shards)
+    wide = np.zeros(len(keys), bool)
     answered = 0
     for s, bits in zip(answers["shard"], answers["extra"], strict=True):
         wide[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[s + 1] - at[s])
         answered += at[s + 1] - at[s]
-    if answered != len(distinct):
-        raise RuntimeError(f"block {b.no} isn't the block that asked: {len(distinct)} keys, {answered} answers")
-    take = wide[np.searchsorted(distinct, placed)] if len(distinct) else np.zeros(0, bool)
-    first, count, place, placed = first[take], count[take], place[take], placed[take]
-    row = np.searchsorted(b.offsets, first, "right") - 1
-    ids = _doc_ids(b)[row]
-    raw, numbers = b.data.tobytes(), {}
-    which = np.fromiter((numbers.setdefault((p, raw[f : f + c + SPAN - 1], a), len(numbers)) for p, f, c, a in zip(placed.tolist(), first.tolist(), count.tolist(), (place - first).tolist(), strict=True)), np.int64, len(first))
-    least = np.full(len(numbers), LAST)
-    np.minimum.at(least, which, ids)
-    segments = list(numbers)
-    by_shard = sorted(range(len(segments)), key=lambda i: segments[i][0])
-    rank = np.empty(len(segments), np.int64)
-    rank[by_shard] = np.arange(len(segments))
-    segments = [segments[i] for i in by_shard]
-    return {"row": row, "first": first, "count": count, "ids": ids, "which": rank[which] if len(which) else which, "placed": np.array([s[0] for s in segments], np.uint64), "texts": [s[1] for s in segments], "anchor": np.array([s[2] for s in segments], np.uint8), "least": least[by_shard] if len(segments) else least}
+    if answered != len(keys):
+        raise RuntimeError(f"block {b.no} isn't the block that asked: {len(keys)} keys, {answered} answers")
+    take = wide[inverse]
+    first, count, anchor, placed = first[take], count[take], (place - first)[take], keys[inverse[take]]
+    ids = _doc_ids(b)[np.searchsorted(b.offsets, first, "right") - 1]
+    sizes = count + SPAN - 1
+    order, begin, which = distinct(placed, content_hash(b.data, first, sizes) ^ anchor.astype(np.uint64))
+    of = order[begin]
+    least = np.minimum.reduceat(ids[order], begin) if len(begin) else ids
+    return {"first": first, "count": count, "ids": ids, "which": which, "d_placed": placed[of], "d_first": first[of], "d_size": sizes[of], "d_anchor": anchor[of].astype(np.uint8), "d_least": least}
 
 
 def _block_of(pdf: pd.DataFrame) -> tuple[B.Block, pd.DataFrame]:
@@ -165,12 +185,12 @@ def _segments(n_shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b, answers = _block_of(pdf)
         c = _candidates(b, answers, n_shards)
-        at = B.cuts(c["placed"], n_shards)
+        at = B.cuts(c["d_placed"], n_shards)
         rows = []
         for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if j > i:
-                sizes = np.array([len(x) for x in c["texts"][i:j]], np.uint8)
-                rows.append((b.no, s, B.pack_keys(c["placed"][i:j]), B.squeeze(sizes.tobytes() + c["anchor"][i:j].tobytes() + c["least"][i:j].tobytes() + b"".join(c["texts"][i:j]), 3)))
+                text = gather(b.data, c["d_first"][i:j], c["d_size"][i:j])
+                rows.append((b.no, s, B.pack_keys(c["d_placed"][i:j]), B.squeeze(c["d_size"][i:j].astype(np.uint8).tobytes() + c["d_anchor"][i:j].tobytes() + c["d_least"][i:j].tobytes() + text.tobytes(), 3)))
         return pd.DataFrame(rows, columns=["block", "shard", "keys", "extra"])
 
     return run
@@ -242,16 +262,14 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, windo
     return position[order], left[order], seg[order]
 
 
-def least_owner(texts: list[bytes], anchors: np.ndarray, least: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
-    """For each window of each segment, the least owner of an equal window in any segment.
+def least_owner(flat: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, least: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """For each window of each segment (they follow each other in flat), the least owner of an equal window in any segment.
 
     Segments are laid out with their anchors (minimisers) on multiples of PERIOD, so equal windows have one residue.
     """
-    sizes = np.array([len(x) for x in texts], np.int64)
     room = (sizes + 2 * PERIOD) // PERIOD * PERIOD + PERIOD
     starts = np.cumsum(room) - room + (PERIOD - anchors.astype(np.int64) % PERIOD) % PERIOD
     text = np.zeros(int(room.sum()) + 64, np.uint8)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
     text[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(len(flat))] = flat
     windows = sizes - span + 1
     position, left, seg = sort_suffixes(text, starts, sizes, windows)
@@ -264,43 +282,50 @@ def least_owner(texts: list[bytes], anchors: np.ndarray, least: np.ndarray, span
     out = np.empty(len(position), np.int64)
     base = np.cumsum(windows) - windows
     out[base[seg] + position - starts[seg]] = best[np.cumsum(np.concatenate([[0], ~equal]))]
-    return np.split(out, np.cumsum(windows)[:-1])
+    return out
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block, the least doc_id of every window that it asked about."""
-    block, nth, keys, sizes, anchors, least, texts = [], [], [], [], [], [], []
-    for b, (k, x) in enumerate(zip(pdf["keys"], pdf["extra"], strict=True)):
+    """For each block, the least doc_id of every window that it asked about.
+
+    A bucket with one distinct segment is sorted as it stands; the others are sorted a bounded group at a time.
+    """
+    keys, sizes, anchors, least, flat = [], [], [], [], []
+    for k, x in zip(pdf["keys"], pdf["extra"], strict=True):
         key, raw = B.unpack_keys(k), B.spread(x)
         n = len(key)
-        size = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-        block.append(np.full(n, b))
-        nth.append(np.arange(n))
         keys.append(key)
-        sizes.append(size)
+        sizes.append(np.frombuffer(raw, np.uint8, n).astype(np.int64))
         anchors.append(np.frombuffer(raw, np.uint8, n, n))
         least.append(np.frombuffer(raw, np.int64, n, 2 * n))
-        at = 10 * n + np.concatenate([[0], np.cumsum(size)])
-        texts += [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    block, nth, keys, sizes, anchors, least = map(np.concatenate, (block, nth, keys, sizes, anchors, least))
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-    told: list[list] = [[None] * int((block == b).sum()) for b in range(len(pdf))]
-    group_at = np.append(np.flatnonzero(new), len(order))
-    bytes_upto = np.concatenate([[0], np.cumsum(sizes[order])])
-    g = 0
-    while g < len(group_at) - 1:  # one bounded group of suffix buckets at a time
-        upto = max(int(np.searchsorted(bytes_upto[group_at], bytes_upto[group_at[g]] + BUCKET_BYTES, "right")) - 1, g + 1)
-        mine = order[group_at[g] : group_at[upto]]
-        g = upto
-        distinct: dict[tuple[bytes, int], int] = {}
-        which = [distinct.setdefault((texts[i], int(anchors[i])), len(distinct)) for i in mine.tolist()]
-        best = np.full(len(distinct), LAST)
-        np.minimum.at(best, which, least[mine])
-        owners = least_owner([t for t, _ in distinct], np.array([a for _, a in distinct], np.uint8), best)
-        for i, w in zip(mine.tolist(), which, strict=True):
-            told[block[i]][nth[i]] = owners[w]
-    return pd.DataFrame({"block": pdf["block"].values, "shard": pdf["shard"].values, "keys": [b""] * len(pdf), "extra": [B.numbers(np.concatenate(x)) for x in told]})
+        flat.append(np.frombuffer(raw, np.uint8, -1, 10 * n))
+    each = np.cumsum([0, *map(len, keys)])
+    keys, sizes, anchors, least, flat = map(np.concatenate, (keys, sizes, anchors, least, [*flat, np.zeros(64, np.uint8)]))
+    starts = np.cumsum(sizes) - sizes
+    order, begin, which = distinct(keys, content_hash(flat, starts, sizes) ^ anchors.astype(np.uint64))
+    of, best = order[begin], np.minimum.reduceat(least[order], begin)
+    windows = sizes[of] - SPAN + 1
+    base = np.cumsum(windows) - windows
+    owners = np.repeat(best, windows)
+    bucket = np.append(np.flatnonzero(np.concatenate([[True], keys[of][1:] != keys[of][:-1]])), len(of))
+    several = np.diff(bucket) > 1
+    todo = np.flatnonzero(np.repeat(several, np.diff(bucket)))  # distinct segments, by key
+    upto = np.cumsum(sizes[of][todo])
+    ends = np.cumsum(np.diff(bucket)[several])  # of each bucket in todo
+    i = 0
+    while i < len(todo):  # one bounded group of suffix buckets at a time
+        room = np.searchsorted(upto, (upto[i - 1] if i else 0) + BUCKET_BYTES, "right")
+        fits = ends[np.searchsorted(ends, room, "right") - 1] if ends[0] <= room else 0
+        j = int(fits if fits > i else ends[np.searchsorted(ends, i, "right")])
+        mine = todo[i:j]
+        into = np.repeat(base[mine] - np.cumsum(windows[mine]) + windows[mine], windows[mine]) + np.arange(int(windows[mine].sum()))
+        owners[into] = least_owner(gather(flat, starts[of[mine]], sizes[of[mine]]), sizes[of[mine]], anchors[of[mine]], best[mine])
+        i = j
+    out = []
+    for i, j in zip(each[:-1], each[1:], strict=True):
+        w = windows[which[i:j]]
+        out.append(B.numbers(owners[np.repeat(base[which[i:j]] - np.cumsum(w) + w, w) + np.arange(int(w.sum()))]))
+    return pd.DataFrame({"block": pdf["block"].values, "shard": pdf["shard"].values, "keys": [b""] * len(pdf), "extra": out})
 
 
 def removed(b: B.Block, keyed: pd.DataFrame, owners: pd.DataFrame, n_shards: int) -> np.ndarray:
@@ -308,7 +333,7 @@ def removed(b: B.Block, keyed: pd.DataFrame, owners: pd.DataFrame, n_shards: int
     c = _candidates(b, keyed, n_shards)
     steps = np.zeros(b.size + 1, np.int32)
     if len(c["which"]):
-        windows = np.array([len(x) - SPAN + 1 for x in c["texts"]])
+        windows = c["d_size"] - SPAN + 1
         told = np.concatenate([np.frombuffer(B.spread(x), np.int64) for x in owners.sort_values("shard")["extra"]])
         base = np.cumsum(windows) - windows
         if len(told) != windows.sum():
