@@ -50,7 +50,7 @@ def words(b: B.Block) -> tuple[np.ndarray, np.ndarray]:
         left, at = left.copy(), at.copy()
         left[rows] -= 8
         at[rows] += 8
-    return B.mix(h), np.searchsorted(b.offsets, starts, "right") - 1
+    return B.mix(h), (np.searchsorted(b.offsets, starts, "right") - 1).astype(np.int32)
 
 
 def grams(h: np.ndarray, row: np.ndarray, order: int, n_shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -96,27 +96,33 @@ def answer(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     sums = np.add.reduceat(counts[order], np.flatnonzero(new))
     counts[order] = sums[np.cumsum(new) - 1]
-    return pd.DataFrame({"block": pdf["block"].values, "shard": pdf["shard"].values, "keys": [b""] * len(pdf), "extra": [B.numbers(counts[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]})
+    return pd.DataFrame({"block": pdf["block"].values, "shard": pdf["shard"].values, "keys": [b""] * len(pdf), "extra": [B.numbers(counts[i:j].astype(np.uint32)) for i, j in zip(at[:-1], at[1:], strict=True)]})
 
 
 def score_block(b: B.Block, counts: np.ndarray, order: int, n_shards: int) -> pa.RecordBatch:
     """counts: of the block's sorted distinct keys."""
     h, row = words(b)
     found = grams(h, row, order, n_shards)
+    del h
     keys = np.concatenate([g for g, _ in found] + [B.place(_TOTAL, n_shards)])
-    by_key = np.argsort(keys)
-    sorted_keys = keys[by_key]
-    nth = np.cumsum(np.concatenate([[False], sorted_keys[1:] != sorted_keys[:-1]]))
+    found = [last for _, last in found]
+    by_key = np.argsort(keys).astype(np.uint32)
+    keys = keys[by_key]
+    new = np.concatenate([[False], keys[1:] != keys[:-1]])
+    del keys
+    nth = np.cumsum(new, dtype=np.int32)
     if nth[-1] + 1 != len(counts):
         raise RuntimeError(f"block {b.no} isn't the block that asked: {nth[-1] + 1} keys, {len(counts)} answers")
-    told = np.empty(len(keys), np.int64)
+    told = np.empty(len(nth), np.uint32)
     told[by_key] = counts[nth]
+    del by_key, nth, new
     total, at = told[-1], 0
-    n, score, level, above = len(h), np.zeros(len(h)), np.zeros(len(h), np.int8), None
-    for k, (keys, last) in enumerate(found):  # the longest n-gram found elsewhere overwrites the shorter ones
-        c = np.full(n, 0)
-        c[last] = told[at : at + len(keys)] - 1
-        at += len(keys)
+    n = len(row)
+    score, level, above = np.zeros(n), np.zeros(n, np.int8), None
+    for k, last in enumerate(found):  # the longest n-gram found elsewhere overwrites the shorter ones
+        c = np.zeros(n, np.uint32)
+        c[last] = told[at : at + len(last)] - 1
+        at += len(last)
         if k == 0:
             seen = c > 0
             score = np.where(seen, c, BACKOFF) / total
@@ -145,7 +151,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         pdf = pdf.sort_values("shard")
         body = pdf["shard"].values == -1
         b = B.unpack(int(pdf["block"].iloc[0]), pdf["keys"][body].iloc[0])
-        counts = np.concatenate([np.frombuffer(B.spread(x), np.int64) for x in pdf["extra"][~body]])
+        counts = np.concatenate([np.frombuffer(B.spread(x), np.uint32) for x in pdf["extra"][~body]])
         return score_block(b, counts, order, n).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
     return B.packed_blocks(docs, BLOCK).unionByName(answers).groupBy("block").applyInPandas(finish, out)

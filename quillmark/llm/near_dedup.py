@@ -32,6 +32,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, DEPTH = 20, 5
 M = BANDS * DEPTH
 STARS = 2
+ROWS = 20_000
 _S = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -57,7 +58,10 @@ def shingles(b: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(row: np.ndarray, x: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
-    """M components for each row: hashes of shingles."""
+    """M components for each row: hashes of shingles. row is sorted; ROWS rows at a time bound the memory."""
+    if rows > ROWS:
+        at = np.searchsorted(row, np.arange(0, rows + ROWS, ROWS))
+        return np.concatenate([signatures(row[i:j] - k * ROWS, x[i:j], weight[i:j], min(ROWS, rows - k * ROWS)) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True))])
     first = np.full(rows * M, np.inf)
     held = np.zeros(rows * M, np.uint64)
     alive, at, turn = np.arange(len(x)), np.zeros(len(x)), 0

@@ -93,7 +93,8 @@ def _gram_hash(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def _doc_ids(b: B.Block) -> np.ndarray:
-    return b.ids.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
+    ids = b.ids.field("doc_id") if pa.types.is_struct(b.ids.type) else b.ids
+    return ids.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
 def _ask(docs: DataFrame, n_shards: int) -> DataFrame:
@@ -348,19 +349,19 @@ def removed(b: B.Block, keyed: pd.DataFrame, owners: pd.DataFrame, n_shards: int
 
 
 def _marked(docs: DataFrame, finish, schema: str) -> DataFrame:
-    """finish(block, removed bytes) for every block of the scan of docs."""
+    """finish(block, removed bytes) for every block of the scan of docs(doc_id, text)."""
     n = shards(docs.sparkSession)
     keyed = cut(_ask(docs, n).groupBy("shard").applyInPandas(_shared_keys, B.QUESTION_DDL), "suffix-keys")
     bodies = B.packed_blocks(docs)
     segments = bodies.unionByName(keyed).groupBy("block").applyInPandas(_segments(n), B.QUESTION_DDL)
     owners = cut(segments.groupBy("shard").applyInPandas(_answer, B.QUESTION_DDL), "suffix-owners")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, told = _block_of(pdf)
+    def run(table: pa.Table) -> pa.Table:
+        b, told = _block_of(table.to_pandas())
         second = told["keys"].values == b"owners"
         return finish(b, removed(b, told[~second], told[second], n))
 
-    return bodies.unionByName(keyed).unionByName(owners.withColumn("keys", F.lit(b"owners"))).groupBy("block").applyInPandas(run, schema)
+    return bodies.unionByName(keyed).unionByName(owners.withColumn("keys", F.lit(b"owners"))).groupBy("block").applyInArrow(run, schema)
 
 
 def _runs(b: B.Block, gone: np.ndarray):
@@ -377,20 +378,23 @@ def _runs(b: B.Block, gone: np.ndarray):
 def report(docs: DataFrame) -> DataFrame:
     """Each row of docs(doc_id, text) as doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def finish(b: B.Block, gone: np.ndarray) -> pd.DataFrame:
+    def finish(b: B.Block, gone: np.ndarray) -> pa.Table:
         rows = [(len(text), n, spans, hashlib.sha256(kept).hexdigest()) for text, _, n, spans, kept in _runs(b, gone)]
-        out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        out.insert(0, "doc_id", b.ids.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get))
-        return out
+        sizes, removals, spans, digests = zip(*rows, strict=True)
+        return pa.table({"doc_id": b.ids, "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removals, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests)})
 
     return _marked(docs, finish, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): what is left of each row; a character that loses a byte goes whole."""
+    """docs with all its columns and what is left of each text; a character that loses a byte goes whole. A null text becomes empty; an n_chars column is counted anew."""
+    others = [c for c in docs.columns if c != "text"]
 
-    def finish(b: B.Block, gone: np.ndarray) -> pd.DataFrame:
+    def finish(b: B.Block, gone: np.ndarray) -> pa.Table:
         texts = [kept.decode("utf-8", "ignore") for *_, kept in _runs(b, gone)]
-        return pd.DataFrame({"doc_id": b.ids.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "text": texts})
+        found = {c: b.ids.field(c) for c in others} | {"text": pa.array(texts, pa.string())}
+        return pa.table({c: found[c] for c in docs_columns})
 
-    return _marked(docs, finish, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
+    docs_columns, schema = docs.columns, docs.schema
+    out = _marked(docs.select(F.struct(*others).alias("doc_id"), "text"), finish, schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in others else out
