@@ -22,8 +22,6 @@ from . import blocks as B
 from .runtime import shards
 
 BACKOFF, ORDER = 0.4, 3
-#: Bytes of a block's texts; larger ones ask fewer keys twice and take more of a worker's memory.
-BLOCK = 12 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TOTAL = np.array([0x9E3779B97F4A7C15], np.uint64)
@@ -70,7 +68,7 @@ def grams(h: np.ndarray, row: np.ndarray, order: int, n_shards: int) -> list[tup
 
 def ask(docs: DataFrame, order: int, n_shards: int) -> DataFrame:
     def run(batches):
-        for b in B.read_blocks(batches, BLOCK):
+        for b in B.read_blocks(batches):
             h, row = words(b)
             keys = np.concatenate([g for g, _ in grams(h, row, order, n_shards)])
             keys.sort()
@@ -154,4 +152,4 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         counts = np.concatenate([np.frombuffer(B.spread(x), np.uint32) for x in pdf["extra"][~body]])
         return score_block(b, counts, order, n).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
-    return B.packed_blocks(docs, BLOCK).unionByName(answers).groupBy("block").applyInPandas(finish, out)
+    return B.packed_blocks(docs).unionByName(answers).groupBy("block").applyInPandas(finish, out)
