@@ -32,7 +32,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, DEPTH = 20, 5
 M = BANDS * DEPTH
 STARS = 2
-ROWS = 20_000
+#: Rows of signatures at a time, and bytes of pairs of texts.
+ROWS, PAIR_BYTES = 20_000, 4 << 20
 _S = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -101,19 +102,27 @@ def sign(docs: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts(t, body) are similar."""
 
+    def similar(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        (ra, xa, _), (rb, xb, _) = (shingles(B._block(0, [pa.nulls(len(side))], [pa.array(side, pa.large_binary())])) for side in (a, b))
+        key = lambda r, x: B.mix(x + B.mix(r.astype(np.uint64) * np.uint64(_S)))
+        _, i, _ = np.intersect1d(key(ra, xa), key(rb, xb), assume_unique=True, return_indices=True)
+        both = np.bincount(ra[i], minlength=len(a))
+        return both >= SIMILAR * (np.bincount(ra, minlength=len(a)) + np.bincount(rb, minlength=len(a)) - both) - 1e-9
+
     def run(batches):
         for batch in batches:
-            sides = []
-            for c in (2, 3):
-                body = pa.array([B.spread(x) for x in batch.column(c).to_pylist()], pa.large_binary())
-                sides.append(shingles(B._block(0, [batch.column(0)], [body])))
-            (ra, xa, _), (rb, xb, _) = sides
-            key = lambda r, x: B.mix(x + B.mix(r.astype(np.uint64) * np.uint64(_S)))
-            _, i, _ = np.intersect1d(key(ra, xa), key(rb, xb), assume_unique=True, return_indices=True)
-            n = len(batch)
-            both = np.bincount(ra[i], minlength=n)
-            ok = both >= SIMILAR * (np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both) - 1e-9
-            yield pa.record_batch([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+            ok, sides, size = [], ([], []), 0
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # a bounded number of bytes at a time
+                for side, blob in zip(sides, (x, y), strict=True):
+                    side.append(B.spread(blob.as_py()))
+                    size += len(side[-1])
+                if size >= PAIR_BYTES:
+                    ok.append(similar(*sides))
+                    sides, size = ([], []), 0
+            if sides[0]:
+                ok.append(similar(*sides))
+            good = pa.array(np.concatenate(ok)) if ok else pa.array([], pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     few = maybe_broadcast(cut(pairs, "near-pairs"))
     own = texts.withColumnsRenamed({"t": "b", "body": "_b"}).join(few, "b")
