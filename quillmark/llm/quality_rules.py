@@ -22,7 +22,7 @@ RULES = {
     "symbols": ("n_symbols", "n_words", 1000, 150, False),
     "shouting": ("n_shout", "n_words", 1000, 1000, False),
     "word_length": ("word_chars", "n_words", 100, 300, True),
-    "repeated_lines": ("n_dup_lines", "n_lines", 1000, 300, False),
+    "repeated_lines": ("n_dup_lines", "n_lines", 1000, 600, False),
     "repeated_words": ("n_repeat_words", "n_words", 1000, 300, False),
 }
 #: Fences lie so many quarter-ranges out.

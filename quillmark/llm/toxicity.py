@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .runtime import cut
 
-ORDERS, BITS = (3, 4, 5), 20
+ORDERS, BITS = (4, 5, 6), 20
 #: Bound on the labelled texts of a fit, least texts with a feature, least distance of its ratio from 0 in standard errors.
 ROWS, LEAST, CLEAR = 16000, 4, 3.0
 RIDGE, STEPS = 1e-4, 200

@@ -172,7 +172,7 @@ def brute_repeats(rows):
             if least[t[p : p + 50]] < i:
                 gone[p : p + 50] = b"\1" * 50
         kept = bytes(c for c, x in zip(t, gone, strict=True) if not x)
-        out.append((i, len(t), sum(gone), len(re.findall(rb"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(t), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
