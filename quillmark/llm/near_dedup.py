@@ -9,7 +9,8 @@ pair is a link if its distinct shingles have a Jaccard similarity of at least SI
 Exact copies are one text from the start. In a band's group no pair list is made: the group's members are compared
 with one member drawn at random for the band, links are contracted to classes (large star, small star), members
 that are still in other classes than that member are compared with another one, and what then is left of a group in
-several classes is compared pair by pair. So a large group of alike texts costs a row a member, and none is skipped.
+several classes is compared in full, in blocks where it is large. So a large group of alike texts costs a row a
+member, no list of its pairs is made, and no pair of different classes is skipped.
 
 Defined cases: null and wordless texts are alone in their class; a null doc_id is a document like any other and
 never names a class that has another; repeated rows get equal classes; an empty table gives no rows.
@@ -34,6 +35,8 @@ M = BANDS * DEPTH
 STARS = 2
 #: Rows of signatures at a time, and bytes of pairs of texts.
 ROWS, PAIR_BYTES = 20_000, 4 << 20
+#: Groups of up to PAIRS open texts are compared as pairs, larger ones in blocks of BLOCK texts.
+PAIRS, BLOCK = 16, 256
 _S = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -130,6 +133,54 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "_a", "_b").mapInArrow(run, "a binary, b binary"), "near-links")
 
 
+def linked_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) inside large groups, from rows(band, t, root, _size, _main, _rest).
+
+    What lies outside a group's largest class, in blocks of BLOCK texts, against the whole group in such blocks: a row
+    holds two blocks, and their similarities are a product of two matrices of shingles. All pairs of different classes
+    are compared and none is written; each text gives one link to each other class.
+    """
+    piece = lambda size: F.pmod(F.xxhash64("t"), F.ceil(F.col(size) / BLOCK))
+    whole = rows.join(texts, "t")
+    packed = lambda f, size, names: f.groupBy("band", piece(size).alias("_piece")).agg(F.collect_list(F.struct("t", "root", "body")).alias("_x")).select("band", *(F.col(f"_x.{n}").alias(f"{n}{names}") for n in ("t", "root", "body")))
+    outside, inside = packed(whole.filter(F.col("root") != F.col("_main")), "_rest", "1"), packed(whole, "_size", "2")
+
+    def run(batches):
+        for batch in batches:
+            out: tuple[list[bytes], list[bytes]] = ([], [])
+            for t1, r1, x1, t2, r2, x2 in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                similar = _similar_block([B.spread(x) for x in x1], [B.spread(x) for x in x2])
+                seen = set()
+                for i, j in zip(*np.nonzero(similar), strict=True):
+                    if r1[i] != r2[j] and (t1[i], r2[j]) not in seen:
+                        seen.add((t1[i], r2[j]))
+                        out[0].append(min(t1[i], t2[j]))
+                        out[1].append(max(t1[i], t2[j]))
+            yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["a", "b"])
+
+    both = outside.join(inside, "band").select("t1", "root1", "body1", "t2", "root2", "body2")
+    return cut(both.mapInArrow(run, "a binary, b binary").distinct(), "near-links")
+
+
+def _similar_block(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Whether each text of a is similar to each of b."""
+    (ra, xa, _), (rb, xb, _) = (shingles(B._block(0, [pa.nulls(len(side))], [pa.array(side, pa.large_binary())])) for side in (a, b))
+    na, nb = np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(b))
+    common = np.intersect1d(xa, xb)
+    both = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(common), 8192):  # columns of the matrices
+        words = common[at : at + 8192]
+        sides = []
+        for r, x, n in ((ra, xa, len(a)), (rb, xb, len(b))):
+            c = np.minimum(np.searchsorted(words, x), len(words) - 1)
+            hit = words[c] == x
+            m = np.zeros((n, len(words)), np.float32)
+            m[r[hit], c[hit]] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    return both >= SIMILAR * (na[:, None] + nb[None, :] - both) - 1e-6
+
+
 def components(links: DataFrame) -> DataFrame:
     """(t, root) of every node of the links (a, b), root the least node of its component; by alternating large and small stars."""
     now, seen = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-stars"), None
@@ -163,22 +214,27 @@ def classes(docs: DataFrame) -> DataFrame:
     alike = (keyed["t"] == wanted["t"]) & keyed["doc_id"].eqNullSafe(wanted["rep"])
     texts = cut(keyed.join(wanted, alike).select(keyed["t"], "text").mapInArrow(shrink, "t binary, body binary").dropDuplicates(["t"]), "near-bodies")
 
-    links, roots, near = None, None, F.least("n", "_n") >= SIMILAR * F.greatest("n", "_n")
+    links, roots, tried, near = None, None, None, F.least("n", "_n") >= SIMILAR * F.greatest("n", "_n")
     for star in range(STARS):
         at = members.withColumn("root", F.col("t")) if roots is None else members.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
         order = F.struct(F.xxhash64("t", "band", F.lit(star)).alias("_h"), F.col("t").alias("_t"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-        centre = at.groupBy("band").agg(F.min(order).alias("_c"), F.min("root").alias("_r0"), F.max("root").alias("_r1")).filter("_r0 <> _r1").select("band", "_c.*")
-        pairs = at.join(centre.drop("_h"), "band").filter((F.col("root") != F.col("_root")) & near)
+        centre = at.groupBy("band").agg(F.min(order).alias("_c"), F.min("root").alias("_r0"), F.max("root").alias("_r1")).filter("_r0 <> _r1").select("band", "_c._t", "_c._n", "_c._root")
+        centre = cut(centre, "near-centres")
+        pairs = at.join(centre, "band").filter((F.col("root") != F.col("_root")) & near)
         new = linked(pairs.select(F.least("t", "_t").alias("a"), F.greatest("t", "_t").alias("b")).distinct(), texts)
         links = new if links is None else links.unionByName(new)
+        tried = centre if tried is None else tried.unionByName(centre)
         roots = components(links)
-    at = cut(members.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t")), "near-roots")
-    several = at.groupBy("band").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1")).filter("_r0 <> _r1").select("band")
-    open_rows = cut(at.join(several, "band"), "near-open")
-    other = open_rows.select("band", F.col("t").alias("_t"), F.col("n").alias("_n"), F.col("root").alias("_root"))
+    done = tried.select("band", F.col("_t").alias("t")).distinct()  # compared with all members of their groups
+    at = cut(members.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t")).join(done, ["band", "t"], "left_anti"), "near-roots")
+    counts = at.groupBy("band", "root").agg(F.count("*").alias("_n"))
+    several = counts.groupBy("band").agg(F.sum("_n").alias("_size"), F.max(F.struct("_n", "root")).alias("_main"), F.count("*").alias("_roots")).filter("_roots > 1")
+    open_rows = cut(at.join(several.select("band", "_size", F.col("_main.root").alias("_main"), (F.col("_size") - F.col("_main._n")).alias("_rest")), "band"), "near-open")
+    few = open_rows.filter(F.col("_size") <= PAIRS)
+    other = few.select("band", F.col("t").alias("_t"), F.col("n").alias("_n"), F.col("root").alias("_root"))
     apart = (F.col("t") < F.col("_t")) & (F.col("root") != F.col("_root")) & near
-    rest = open_rows.join(other, "band").filter(apart).select(F.col("t").alias("a"), F.col("_t").alias("b")).distinct()
-    roots = components(links.unionByName(linked(rest, texts)))
+    rest = few.select("band", "t", "n", "root").join(other, "band").filter(apart).select(F.col("t").alias("a"), F.col("_t").alias("b")).distinct()
+    roots = components(links.unionByName(linked(rest, texts)).unionByName(linked_blocks(open_rows.filter(F.col("_size") > PAIRS), texts)))
 
     grouped = distinct.select("t", "rep", "copies").join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
     named = grouped.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
