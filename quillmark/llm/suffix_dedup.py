@@ -34,7 +34,9 @@ SPAN, K = 50, 24
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of segments that a shard sorts at a time.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
+#: Runs of windows that a block marks at a time.
+RUNS = 50_000
 _CHUNK = 1 << 14
 LAST = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -339,12 +341,13 @@ def removed(b: B.Block, keyed: pd.DataFrame, owners: pd.DataFrame, n_shards: int
         base = np.cumsum(windows) - windows
         if len(told) != windows.sum():
             raise RuntimeError(f"block {b.no}: {windows.sum()} windows, {len(told)} answers")
-        many = c["count"]
-        inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        gone = told[np.repeat(base[c["which"]], many) + inner] < np.repeat(c["ids"], many)
-        at = (np.repeat(c["first"], many) + inner)[gone]
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + SPAN, -1)
+        for i in range(0, len(c["which"]), RUNS):  # some runs at a time
+            many, which = c["count"][i : i + RUNS], c["which"][i : i + RUNS]
+            inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            gone = told[np.repeat(base[which], many) + inner] < np.repeat(c["ids"][i : i + RUNS], many)
+            at = (np.repeat(c["first"][i : i + RUNS], many) + inner)[gone]
+            np.add.at(steps, at, 1)
+            np.add.at(steps, at + SPAN, -1)
     return np.cumsum(steps[:-1]) > 0
 
 
