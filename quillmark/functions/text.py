@@ -107,7 +107,7 @@ def feature_title(name) -> Column:
 
 def file_size(size) -> Column:
     kb, mb = size / 1024.0, size / (1024.0 * 1024.0)
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.concat(F.format_number(kb, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(mb, 1), F.lit(" MB")))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
 
 
 def snippet(text) -> Column:

@@ -13,6 +13,8 @@ from ..config import CONJUNCTIONS, FUNCTION_WORDS, NOT_AUTHORS, PREPOSITIONS, PR
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import citations, clustering, evaluate, features, ingest, kernel, report, sources, warnings
+from ..sources import documents as uploads
+from ..sources import providers
 from .analyze import analyze
 
 QUERIES: dict = {}
@@ -554,6 +556,43 @@ def multi_author_verdict(spark, d):
     return s.select("doc_id", found.alias("multi_author"), (found == (F.col("doc_id") % 2 == 0)).alias("correct"))
 
 
+@query(f"WITH {SUMMARY} SELECT avg(((estimated_authors > 1 OR anomaly_count > 0) = (doc_id % 2 = 0))::INT::DOUBLE) * 100 AS accuracy FROM sm")
+def benchmark_accuracy(spark, d):
+    return multi_author_verdict(spark, d).agg((F.avg(F.col("correct").cast("double")) * 100).alias("accuracy"))
+
+
+@query(f"WITH {MATCHES} SELECT query_id, source_id, CASE WHEN similarity > 0.85 THEN 'danger' WHEN similarity > 0.7 THEN 'warning' ELSE 'success' END AS band, max(round(similarity, 6)) OVER (PARTITION BY query_id) AS best FROM rk WHERE rank <= 3")
+def similarity_bands(spark, d):
+    m, s = _matches(spark, d, 3), F.col("similarity")
+    return m.select("query_id", "source_id", F.when(s > 0.85, "danger").when(s > 0.7, "warning").otherwise("success").alias("band"), F.max(F.round(s, 6)).over(Window.partitionBy("query_id")).alias("best"))
+
+
+@query(f"""WITH {L}, n AS (SELECT doc_id, paragraph_index, cluster_id, lead(cluster_id) OVER (PARTITION BY doc_id ORDER BY paragraph_index) AS nx FROM lb),
+b AS (SELECT doc_id, 'boundary' AS kind, paragraph_index || '_to_' || (paragraph_index + 1) AS key FROM n WHERE nx IS NOT NULL AND nx <> cluster_id AND (nx = -1 OR cluster_id = -1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) <= 3),
+a AS (SELECT doc_id, 'profile' AS kind, paragraph_index::VARCHAR AS key FROM lb WHERE cluster_id = -1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) <= 3)
+SELECT * FROM b UNION ALL SELECT * FROM a""")
+def reasoning_requests(spark, d):
+    labelled = _labelled(spark, d)
+    return providers.requests(clustering.boundaries(labelled), labelled.filter("cluster_id = -1"))
+
+
+@query("SELECT page_id, lower(url) LIKE '%.pdf' OR page_id % 3 = 0 AS accepted, CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' WHEN strlen(html) < 1048576 THEN printf('%.1f KB', floor(strlen(html) / 102.4::DOUBLE + 0.5) / 10) ELSE printf('%.1f MB', floor(strlen(html) / 104857.6::DOUBLE + 0.5) / 10) END AS size FROM pages")
+def upload_guard(spark, d):
+    kind = F.when(F.col("page_id") % 3 == 0, "application/pdf").otherwise("text/html")
+    pages = table(spark, d, "pages").withColumns({"content_type": kind, "length": F.octet_length("html").cast("long")})
+    return pages.select("page_id", uploads.accepted("url", "content_type").alias("accepted"), T.file_size(F.col("length")).alias("size"))
+
+
+@query(f"WITH {L}, f AS (SELECT doc_id, min(paragraph_index) AS paragraph_index FROM lb WHERE cluster_id = -1 GROUP BY doc_id) SELECT doc_id, paragraph_index, text FROM f JOIN lb USING (doc_id, paragraph_index)")
+def first_anomaly(spark, d):
+    return _labelled(spark, d).filter("cluster_id = -1").withColumn("_n", F.row_number().over(clustering.by_doc())).filter("_n = 1").select("doc_id", "paragraph_index", "text")
+
+
+@query()
+def json_response(spark, d):
+    return uploads.as_json(clustering.summary(_labelled(spark, d)))
+
+
 # --- the kernel, by properties only
 
 
@@ -581,7 +620,7 @@ def full_analyze(spark, d):
 
 #: Columns that are INT here and BIGINT in DuckDB.
 _NARROW = {
-    "paragraph_index": [n for n in QUERIES if n in ("paragraph_scan", "fixed_chunk_fallback", "reference_antijoin", "sentence_lengths", "burstiness", "avg_word_length", "yules_k", "paragraph_summary", "pos_ratios", "passive_voice", "feature_profiles", "chart_series", "top_function_words", "keyword_topk", "triplet_overlap", "cluster_labels", "citations_parenthetical", "citations_narrative", "citation_union", "median_year", "temporal_anomalies", "exact_containment", "anomaly_topk")],
+    "paragraph_index": [n for n in QUERIES if n in ("paragraph_scan", "fixed_chunk_fallback", "reference_antijoin", "sentence_lengths", "burstiness", "avg_word_length", "yules_k", "paragraph_summary", "pos_ratios", "passive_voice", "feature_profiles", "chart_series", "top_function_words", "keyword_topk", "triplet_overlap", "cluster_labels", "citations_parenthetical", "citations_narrative", "citation_union", "median_year", "temporal_anomalies", "exact_containment", "anomaly_topk", "first_anomaly")],
     "line_no": ["bibliography_section"],
     **{c: ["paragraph_summary"] for c in ("conjunctions", "prepositions", "pronouns", "sentence_count", "unique_words", "word_count")},
     "overlap": ["triplet_overlap"],
