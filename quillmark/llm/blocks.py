@@ -9,6 +9,7 @@ carries a digest of its rows, and a mismatch is an error.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut
+
 BLOCK_BYTES = 6 << 20
 KEY_BITS = 48
 KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
@@ -94,6 +97,12 @@ def read_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> I
         yield _block(first, ids, texts)
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """docs, written first unless it is a plain scan: its partitions then hold the same rows in each pass."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    return cut(docs, "steady") if re.search(r"\b(Join|Aggregate|Window|Sort|RepartitionByExpression|RebalancePartitions|GlobalLimit|LocalLimit|Sample|Union|Generate)\b", plan) else docs
+
+
 def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 

@@ -139,8 +139,8 @@ def score_block(b: B.Block, counts: np.ndarray, order: int, n_shards: int) -> pa
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Each row of docs(doc_id, text): doc_id, n_words, n_level0.. (words by longest n-gram found elsewhere; 0: none), log_score (natural)."""
-    spark = docs.sparkSession
-    n = shards(spark)
+    docs = B.steady(docs.select("doc_id", "text"))
+    n = shards(docs.sparkSession)
     answers = ask(docs, order, n).groupBy("shard").applyInPandas(answer, B.QUESTION_DDL)
     kind = dict(docs.dtypes)["doc_id"]
     out = f"doc_id {kind}, n_words long, {', '.join(f'n_level{k} long' for k in range(order + 1))}, log_score double"

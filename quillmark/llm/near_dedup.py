@@ -244,5 +244,6 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that name their class."""
-    gone = classes(docs).filter("NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(maybe_broadcast(cut(gone, "near-gone")), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = classes(docs).filter("NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.upper(F.substring(F.sha1(docs["text"].cast("binary")), 1, 32)) == F.col("_text"))
+    return docs.join(maybe_broadcast(cut(gone, "near-gone")), same, "left_anti")

@@ -353,6 +353,7 @@ def removed(b: B.Block, keyed: pd.DataFrame, owners: pd.DataFrame, n_shards: int
 
 def _marked(docs: DataFrame, finish, schema: str) -> DataFrame:
     """finish(block, removed bytes) for every block of the scan of docs(doc_id, text)."""
+    docs = B.steady(docs)
     n = shards(docs.sparkSession)
     keyed = cut(_ask(docs, n).groupBy("shard").applyInPandas(_shared_keys, B.QUESTION_DDL), "suffix-keys")
     bodies = B.packed_blocks(docs)
@@ -386,7 +387,7 @@ def report(docs: DataFrame) -> DataFrame:
         sizes, removals, spans, digests = zip(*rows, strict=True)
         return pa.table({"doc_id": b.ids, "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removals, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests)})
 
-    return _marked(docs, finish, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _marked(docs.select("doc_id", "text"), finish, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

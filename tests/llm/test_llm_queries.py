@@ -276,6 +276,22 @@ def test_signatures_estimate_weighted_similarity():
     assert estimate == pytest.approx(exact, abs=0.03)
 
 
+def test_large_open_groups_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "STARS", 1)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for j in rng.choice(120, 3, replace=False):
+            words[j] = f"x{k}{j}"
+        rows.append((k, " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     r = [(x["doc_id"], x["class_id"], x["class_size"]) for x in near_dedup.classes(odd).collect()]
     assert Counter(r)[(1, 1, 3)] == 2 and (2, 1, 3) in r
@@ -326,13 +342,29 @@ def test_blocks_survive_packing():
     assert (blocks.unpack_keys(blocks.pack_keys(keys)) == keys).all()
 
 
+def test_blocks_of_a_shuffled_table_are_written_first(spark):
+    f = documents(spark)
+    joined = f.join(f.select("doc_id").distinct(), "doc_id")
+    assert blocks.steady(f) is f and blocks.steady(joined).inputFiles() != joined.inputFiles()
+
+
 # --- pipeline
 
 
+def test_mix_stage_of_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    out = corpus_pipeline.mixed(spark, odd, SMALL)
+    assert len(set(out.columns)) == len(out.columns) and {r["_size"] for r in out.collect()} == {7}
+    assert out.filter("doc_id IN (3, 4)").count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "near_dedup", "suffix_dedup", "decontamination", "mixing"]
+    first = documents(spark)
+    assert all(stage(spark, first, SMALL).columns == first.columns for _, stage in corpus_pipeline.STAGES[:-1])
     out = corpus_pipeline.run(spark, SMALL)
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) > 100 and out.filter(F.col("taken") <= 0).count() == 0
