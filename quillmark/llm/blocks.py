@@ -9,6 +9,8 @@ carries a digest of its rows, and a mismatch is an error.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .runtime import cut
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
+with contextlib.suppress(OSError, AttributeError):  # large arrays go back to the system when freed, so idle workers stay small
+    ctypes.CDLL(None).mallopt(-3, 1 << 18)
 KEY_BITS = 48
 KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -91,8 +95,11 @@ def read_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> I
             texts.append(text.slice(at, upto - at))
             held, at = held + int(ends[upto - 1]) - before, upto
             if held >= size:
-                yield _block(first, ids, texts)
+                block = _block(first, ids, texts)
                 first, ids, texts, held = first + 1, [], [], 0
+                yield block
+                del block
+                pa.default_memory_pool().release_unused()
     if ids:
         yield _block(first, ids, texts)
 
