@@ -5,7 +5,8 @@ partitioned by hash, which answer each block with the corpus's counts; the block
 and sums by document. An occurrence is scored by all other occurrences (each count less one), so a text isn't its
 own evidence. With N words in all and backoff weight A, a word scores the relative frequency of the longest n-gram
 that occurs elsewhere, times A for each word of context given up; a word that occurs nowhere else counts as A
-occurrences. The total N is the count of the empty n-gram.
+occurrences. The total N is the count of the empty n-gram; it has a shard to itself, after the others.
+Counts travel as 32 bits, and as 64 where a shard's answer to a block holds a larger one.
 
 n-grams are 64-bit hashes, of which 48 bits and the shard are kept. Defined cases: null or empty texts have no
 words and score 0; repeated rows are occurrences like any other; an empty table gives no rows.
@@ -76,16 +77,14 @@ def ask(docs: DataFrame, order: int, n_shards: int) -> DataFrame:
             keys.sort()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
             placed, counts = keys[first], np.diff(np.concatenate([first, [len(keys)]]))
-            total = B.place(_TOTAL, n_shards)
-            at = int(np.searchsorted(placed, total[0]))
-            placed, counts = np.insert(placed, at, total), np.insert(counts, at, len(h))
             yield B.questions(b, placed, n_shards, lambda i, j, counts=counts: B.numbers(counts[i:j].astype(np.uint32)))
+            yield pa.record_batch([[b.no], [n_shards], [B.pack_keys(_TOTAL)], [B.numbers(np.array([len(h)], np.uint32))]], schema=B.QUESTION)
 
     return B.scan(docs).mapInArrow(run, B.QUESTION_DDL)
 
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The corpus's count of each key that a block asked for, in the block's order."""
+    """The corpus's count of each key that a block asked for, in the block's order; keys tells the width."""
     pdf = pdf.sort_values("block")
     keys = [B.unpack_keys(k) for k in pdf["keys"]]
     at = np.cumsum([0, *map(len, keys)])
@@ -96,31 +95,40 @@ def answer(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     sums = np.add.reduceat(counts[order], np.flatnonzero(new))
     counts[order] = sums[np.cumsum(new) - 1]
-    return pd.DataFrame({"block": pdf["block"].values, "shard": pdf["shard"].values, "keys": [b""] * len(pdf), "extra": [B.numbers(counts[i:j].astype(np.uint32)) for i, j in zip(at[:-1], at[1:], strict=True)]})
+    told = [counts[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    width = [b"u4" if x.max() < 1 << 32 else b"u8" for x in told]
+    return pd.DataFrame({"block": pdf["block"].values, "shard": pdf["shard"].values, "keys": width, "extra": [B.numbers(x.astype(w.decode())) for x, w in zip(told, width, strict=True)]})
 
 
-def score_block(b: B.Block, counts: np.ndarray, order: int, n_shards: int) -> pa.RecordBatch:
-    """counts: of the block's sorted distinct keys."""
+def told_counts(answers: pd.DataFrame) -> list[np.ndarray]:
+    """The counts in each row that answer() made."""
+    return [np.frombuffer(B.spread(x), bytes(w).decode()) for w, x in zip(answers["keys"], answers["extra"], strict=True)]
+
+
+def score_block(b: B.Block, counts: np.ndarray, total: int, order: int, n_shards: int) -> pa.RecordBatch:
+    """counts: of the block's sorted distinct keys; total: of all words."""
     h, row = words(b)
     found = grams(h, row, order, n_shards)
     del h
-    keys = np.concatenate([g for g, _ in found] + [B.place(_TOTAL, n_shards)])
+    keys = np.concatenate([g for g, _ in found])
     found = [last for _, last in found]
     by_key = np.argsort(keys).astype(np.uint32)
     keys = keys[by_key]
-    new = np.concatenate([[False], keys[1:] != keys[:-1]])
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
     del keys
     nth = np.cumsum(new, dtype=np.int32)
-    if nth[-1] + 1 != len(counts):
-        raise RuntimeError(f"block {b.no} isn't the block that asked: {nth[-1] + 1} keys, {len(counts)} answers")
-    told = np.empty(len(nth), np.uint32)
+    n_keys = int(nth[-1]) if len(nth) else 0
+    if n_keys != len(counts):
+        raise RuntimeError(f"block {b.no} isn't the block that asked: {n_keys} keys, {len(counts)} answers")
+    nth -= 1
+    told = np.empty(len(nth), counts.dtype)
     told[by_key] = counts[nth]
     del by_key, nth, new
-    total, at = told[-1], 0
+    at = 0
     n = len(row)
     score, level, above = np.zeros(n), np.zeros(n, np.int8), None
     for k, last in enumerate(found):  # the longest n-gram found elsewhere overwrites the shorter ones
-        c = np.zeros(n, np.uint32)
+        c = np.zeros(n, told.dtype)
         c[last] = told[at : at + len(last)] - 1
         at += len(last)
         if k == 0:
@@ -151,7 +159,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         pdf = pdf.sort_values("shard")
         body = pdf["shard"].values == -1
         b = B.unpack(int(pdf["block"].iloc[0]), pdf["keys"][body].iloc[0])
-        counts = np.concatenate([np.frombuffer(B.spread(x), np.uint32) for x in pdf["extra"][~body]])
-        return score_block(b, counts, order, n).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        *counts, total = told_counts(pdf[~body])
+        return score_block(b, np.concatenate([np.zeros(0, np.uint32), *counts]), int(total[0]), order, n).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
     return B.packed_blocks(docs, BLOCK).unionByName(answers).groupBy("block").applyInPandas(finish, out)

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -318,6 +319,21 @@ def test_many_blocks_agree_with_one(spark, monkeypatch):
     assert whole == parts
 
 
+def test_counts_beyond_32_bits_are_kept():
+    a, b, most = 7 << 40, 9 << 40, (1 << 32) - 1  # what two blocks ask: key a of both, key b of the second
+    asked = [(0, [a], [most]), (1, [a, b], [most, 5])]
+    pdf = pd.DataFrame([(no, 0, blocks.pack_keys(np.array(k, np.uint64)), blocks.numbers(np.array(n, np.uint32))) for no, k, n in asked], columns=["block", "shard", "keys", "extra"])
+    raw = [blocks.spread(x) for x in lm_score.answer(pdf)["extra"]]
+    assert [np.frombuffer(x, f"u{len(x) // n}").tolist() for x, n in zip(raw, (1, 2), strict=True)] == [[2 * most], [2 * most, 5]]
+
+
+def test_scores_under_counts_beyond_32_bits():
+    b = blocks._block(0, [pa.array([1])], [pa.array([b"x"], pa.large_binary())])
+    for count, total in ((3, 47 * 10**8), (5 * 10**9, 8 * 10**9)):
+        r = lm_score.score_block(b, np.array([count], np.uint64), total, 3, 4).to_pylist()[0]
+        assert r["n_level1"] == 1 and r["log_score"] == pytest.approx(np.log((count - 1) / total))
+
+
 # --- 10
 
 
