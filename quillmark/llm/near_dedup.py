@@ -4,7 +4,9 @@ A text is its runs of SHINGLE words (texts with fewer words: all of them). Every
 sends the points of a Poisson process of rate w, each to a random one of M components; a component keeps the shingle
 of its first point. A shingle stops once its next point comes after the last component's first. Two signatures agree
 in a component with the texts' probability Jaccard similarity. BANDS bands of the signature propose pairs, and a
-pair is a link if its distinct shingles have a Jaccard similarity of at least SIMILAR.
+pair is a link if its distinct shingles have a Jaccard similarity of at least SIMILAR. Where a passage is repeated, the
+two measures part; a text with repeated shingles therefore has BANDS more bands, of a signature with weight 1, which
+agrees with the Jaccard similarity of distinct shingles. For other texts both signatures are the same.
 
 Exact copies are one text from the start. In a band's group no pair list is made: the group's members are compared
 with one member drawn at random for the band, links are contracted to classes (large star, small star), members
@@ -83,20 +85,35 @@ def signatures(row: np.ndarray, x: np.ndarray, weight: np.ndarray, rows: int) ->
     return held.reshape(rows, M)
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """BANDS keys of each signature."""
+    band = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sig), 1))
+    for k in range(DEPTH):
+        band = B.mix(band * np.uint64(_S) + sig[:, k::DEPTH])
+    return band
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, text key (null for wordless texts), number of distinct shingles and band keys of each row of docs(doc_id, text)."""
+    """doc_id, text key (null for wordless texts), number of distinct shingles and distinct band keys of each row of docs(doc_id, text)."""
 
     def run(batches):
         for b in B.read_blocks(batches):
             row, x, weight = shingles(b)
             sig = signatures(row, x, weight, len(b.ids))
             n = np.bincount(row, minlength=len(b.ids))
-            band = np.tile(np.arange(BANDS, dtype=np.uint64), (len(b.ids), 1))
-            for k in range(DEPTH):
-                band = B.mix(band * np.uint64(_S) + sig[:, k::DEPTH])
+            uneven = np.flatnonzero(np.bincount(row, weight > 1, len(b.ids)))
+            again = np.isin(row, uneven)
+            plain = signatures(np.searchsorted(uneven, row[again]), x[again], np.ones(again.sum(), int), len(uneven))
+            of = np.repeat(np.concatenate([np.arange(len(b.ids)), uneven]), BANDS)
+            band = np.concatenate([_bands(sig), _bands(plain)]).ravel()
+            order = np.lexsort((band, of))
+            of, band = of[order], band[order]
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (band[1:] != band[:-1])])
+            of, band = of[new], band[new]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(b.ids)))]).astype(np.int32)
             raw = b.data.tobytes()
             keys = [hashlib.sha1(raw[i:j]).digest()[:16] if k else None for i, j, k in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), n.tolist(), strict=True)]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(b.ids) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).ravel()))
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band.view(np.int64)))
             yield pa.record_batch([b.ids, pa.array(keys, pa.binary()), pa.array(n, pa.int64()), bands], names=["doc_id", "t", "n", "bands"])
 
     return B.scan(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, t binary, n long, bands array<long>")

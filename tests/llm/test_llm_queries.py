@@ -277,6 +277,16 @@ def test_signatures_estimate_weighted_similarity():
     assert estimate == pytest.approx(exact, abs=0.03)
 
 
+def test_texts_that_differ_by_repeated_passages_meet(spark):
+    rng, rows = np.random.default_rng(6), []
+    for k in range(40):
+        words = [f"w{k}x{j}" for j in rng.integers(0, 10**6, 320)]
+        rows += [(2 * k, " ".join(words[:300])), (2 * k + 1, " ".join(words[:300] + words[300:] * (30 if k % 2 else 10)))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) == 40
+    assert got == brute_classes(rows)
+
+
 def test_large_open_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIRS", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
