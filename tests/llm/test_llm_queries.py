@@ -229,6 +229,16 @@ def test_junk_is_rejected_and_trusted_text_kept(spark, odd, none):
     assert all(r["kept"] for r in quality_model.judge(odd, labels.limit(0)).collect())
 
 
+def test_languages_of_short_texts_have_fences(spark):
+    f, labels = documents(spark), spark.read.parquet(f"{SMALL}/labels.parquet")
+    good = [r["text"] for r in f.join(labels.filter("quality = 1"), "doc_id").filter("lang = 'en' AND length(text) > 180").orderBy("doc_id").limit(30).collect()]
+    rows = [(10_000 + 100 * k + i, t[:180], lang) for k, lang in enumerate(("xx", None)) for i, t in enumerate(good)]
+    rows += [(10_090 + 100 * k + i, "%#*&$@" * 30, lang) for k, lang in enumerate(("xx", None)) for i in range(3)]
+    more = f.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    judged = {r["doc_id"]: r["kept"] for r in quality_model.judge(more, labels).collect()}
+    assert len(good) == 30 and {i for i, _, _ in rows if not judged[i]} == {i for i, t, _ in rows if t.startswith("%")}
+
+
 # --- 8
 
 
