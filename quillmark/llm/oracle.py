@@ -33,11 +33,12 @@ SELECT d.doc_id, d.source, d.size::BIGINT AS size, s.size AS source_size, s.targ
 
 def _rules() -> str:
     names = list(RULES)
-    ratio = {r: f"floor({top} * {scale} / greatest({under}, 1))::BIGINT" for r, (top, under, scale, _, _) in RULES.items()}
+    ratio = {r: f"floor({top} * {scale} / greatest({under}, 1))::BIGINT" for r, (top, under, scale, *_) in RULES.items()}
     sets = " UNION ALL ".join(f"SELECT l, s, '{r}' AS rule, x_{r} AS v FROM v WHERE NOT base_failed" for r in names)
     inside = " AND ".join(f"coalesce(x_{r} >= f_{r}.lo, true) AND coalesce(x_{r} <= f_{r}.hi, true)" for r in names)
-    margin = "CASE rule " + " ".join(f"WHEN '{r}' THEN {rule[3]}" for r, rule in RULES.items()) + " END"
-    low = "rule IN (" + ", ".join(f"'{r}'" for r, rule in RULES.items() if rule[4]) + ")"
+    entry = lambda place: "CASE rule " + " ".join(f"WHEN '{r}' THEN {rule[place]}" for r, rule in RULES.items()) + " END"
+    percent, floor = entry(3), entry(4)
+    low = "rule IN (" + ", ".join(f"'{r}'" for r, rule in RULES.items() if rule[5]) + ")"
     picks = ", ".join(f"max(CASE WHEN g.rule = '{r}' THEN coalesce(f0.f, f1.f, f3.f) END) AS f_{r}" for r in names)
     return rf"""
 WITH a AS (SELECT doc_id, coalesce('=' || lang, '') AS l, coalesce('=' || source, '') AS s, coalesce(text, '') AS text, {WORDS.format("text")} AS words,
@@ -52,8 +53,8 @@ flat AS ({sets}),
 b AS (SELECT l, s, rule, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS bucket FROM flat),
 sk AS (SELECT 0 AS lv, l, s, rule, bucket, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, l, NULL, rule, bucket, count(*) FROM b GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, rule, bucket, count(*) FROM b GROUP BY ALL),
 rk AS (SELECT *, sum(n) OVER (PARTITION BY lv, l, s, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lv, l, s, rule) AS al FROM sk),
-q AS (SELECT lv, l, s, rule, max(al) AS al, min(CASE WHEN upto * 4 >= al THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= al * 3 THEN bucket END) AS q3 FROM rk GROUP BY ALL HAVING max(al) >= 30 OR lv = 3),
-f AS (SELECT lv, l, s, rule, struct_pack(lo := CASE WHEN {low} THEN q1 - greatest({REACH} * (q3 - q1), {margin}) END, hi := q3 + greatest({REACH} * (q3 - q1), {margin})) AS f FROM q),
+q AS (SELECT lv, l, s, rule, max(al) AS al, min(CASE WHEN upto * 100 >= al * (100 - {percent}) THEN bucket END) AS lo, min(CASE WHEN upto * 100 >= al * 50 THEN bucket END) AS mid, min(CASE WHEN upto * 100 >= al * {percent} THEN bucket END) AS hi FROM rk GROUP BY ALL HAVING max(al) >= 30 OR lv = 3),
+f AS (SELECT lv, l, s, rule, struct_pack(lo := CASE WHEN {low} THEN lo - greatest({REACH} * (mid - lo), {floor}) END, hi := hi + greatest({REACH} * (hi - mid), {floor})) AS f FROM q),
 g AS (SELECT DISTINCT l, s, rule FROM flat),
 lim AS (SELECT g.l, g.s, {picks} FROM g LEFT JOIN f f0 ON f0.lv = 0 AND f0.l = g.l AND f0.s = g.s AND f0.rule = g.rule LEFT JOIN f f1 ON f1.lv = 1 AND f1.l = g.l AND f1.rule = g.rule LEFT JOIN f f3 ON f3.lv = 3 AND f3.rule = g.rule GROUP BY g.l, g.s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept, n_shout, n_lines FROM v LEFT JOIN lim USING (l, s)

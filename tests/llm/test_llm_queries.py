@@ -58,6 +58,27 @@ def test_rules_measure_odd_texts(odd, none):
     assert quality_rules.judge(none).collect() == []
 
 
+def test_sources_of_different_texts_get_different_cutoffs_and_verdicts(spark):
+    rng, rows = np.random.default_rng(3), []
+    for i in range(160):
+        words = [f"w{x}" for x in rng.integers(10**5, 10**6, 200)]
+        noisy = i % 2
+        for j in range(int(rng.integers(0, 60 if noisy else 6))):
+            words[j] = "$" + words[j]
+        rows.append((i, " ".join(words), "en", "forum" if noisy else "book"))
+    rows += [(1000 + k, " ".join(("$" if j < 40 else "") + f"v{k}{10**4 + j}" for j in range(200)), "en", s) for k, s in enumerate(("book", "forum"))]
+    f = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    high = {r["_source"]: r["_cut_symbols"] for r in quality_rules.cutoffs(quality_rules.measured(f), 30).collect()}
+    assert high["=book"]["high"] < 200 < high["=forum"]["high"] and not high["=forum"]["floored"]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(f).collect()}
+    assert not kept[1000] and kept[1001] and np.mean([kept[i] for i in range(160)]) > 0.95
+
+
+def test_floors_decide_less_than_half_of_the_cutoffs(spark):
+    cuts = quality_rules.cutoffs(quality_rules.measured(documents(spark)), 30).collect()
+    assert np.mean([r[f"_cut_{rule}"]["floored"] for r in cuts for rule in quality_rules.RULES]) < 0.5
+
+
 def test_quantiles_are_right_to_a_64th(spark):
     values = [int(x) for x in np.random.default_rng(1).integers(0, 10**6, 500)]
     f = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket("v").alias("b"))
