@@ -21,8 +21,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = warc.write(_table(spark, sf_dir, "pages"), least=0)
-    return warc.read(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    pages = _table(spark, sf_dir, "pages")
+    root = warc.write(pages, least=0)
+    return warc.read(spark, root, pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 Records are gzip members, so each can be read alone. Every writing task puts its records into archive files of
 bounded size and returns the captures (key, archive, offset, length). Keys are URLs with the host reversed; sorted
-by key and page, they fill compressed blocks of BLOCK captures, and a sparse directory holds the first key of each
-block. A lookup bisects the directory (first by index file, then inside the file), reads the blocks by range, and
-then the records by range. Executors write below the shared folder, under a name of their attempt, and rename.
+by key and page, they fill compressed blocks of BLOCK captures, and a sparse directory, at the end of each index file,
+holds the first key of each block. A lookup bisects the first keys of the index files, then the file's directory, then
+the block that it reads by range, and reads the records by range. Executors write below the shared folder under a name
+of their task's attempt, so a repeated attempt never replaces a file that committed captures point into.
 
 Equal payloads of at least `least` bytes have one response record, that of the least page_id; the others revisit it
 (WARC 1.1, identical-payload-digest) and hold the headers only.
 
 Defined cases: a null html is an empty payload; a null url is an empty key; a null page_id counts as larger than
-any; of repeated rows with the least page_id each is a response; an empty table makes an archive without records.
+any; of repeated rows with the least page_id each is a response; pages with one key stand in the index by page_id, then
+by place in the archives; very long pages are records like others; other columns of pages are ignored, whatever their
+names; an empty table makes an archive without records.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import json
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .runtime import cut, folder, maybe_broadcast, shards
 
-BLOCK, ARCHIVE_BYTES, GAP = 1000, 64 << 20, 64 << 10
+BLOCK, ARCHIVE_BYTES, GAP, BATCH = 1000, 64 << 20, 64 << 10, 10_000
 _DATE = "2020-01-01T00:00:00Z"  # a fixed value: runs agree byte for byte
 
 
@@ -121,32 +125,34 @@ def write(pages: DataFrame, least: int = 0, root: str | None = None) -> str:
     root = root or folder(spark, "warc")
 
     def archive(batches):
-        part, no, held, offset, rows = TaskContext.get().partitionId(), 0, [], 0, []
+        task = TaskContext.get()
+        name, no, held, offset = f"part-{task.partitionId():06}-{task.taskAttemptId()}", 0, [], 0
         for pdf in batches:
+            rows = []
             for page, url, html, first in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["_first"], strict=True):
                 payload = html.encode()
                 page, first = (None if pd.isna(x) else int(x) for x in (page, first))
                 member = gzip.compress(record(page, url, payload, digest(payload), first), 6, mtime=0)
-                rows.append((url_key(url), page, f"part-{part:06}-{no:04}.warc.gz", offset, len(member)))
+                rows.append((url_key(url), page, f"{name}-{no:04}.warc.gz", offset, len(member)))
                 held.append(member)
                 offset += len(member)
                 if offset >= ARCHIVE_BYTES:
-                    _write(f"{root}/archives", f"part-{part:06}-{no:04}.warc.gz", held)
+                    _write(f"{root}/archives", f"{name}-{no:04}.warc.gz", held)
                     no, held, offset = no + 1, [], 0
+            yield pd.DataFrame(rows, columns=["key", "page", "archive", "offset", "length"]).astype({"page": "Int64"})
         if held:
-            _write(f"{root}/archives", f"part-{part:06}-{no:04}.warc.gz", held)
-        frame = pd.DataFrame(rows, columns=["key", "page", "archive", "offset", "length"])
-        yield frame.astype({"page": "Int64"})
+            _write(f"{root}/archives", f"{name}-{no:04}.warc.gz", held)
 
     def index(batches):
-        part, held, entries, offset, rows = TaskContext.get().partitionId(), [], [], 0, []
+        task = TaskContext.get()
+        name, held, entries, offset, rows = f"index-{task.partitionId():06}-{task.taskAttemptId()}.idx", [], [], 0, []
 
         def full(n):
             nonlocal offset
             while len(rows) >= n and rows:
                 lines, rows[:] = rows[:BLOCK], rows[BLOCK:]
-                data = zlib.compress("".join(json.dumps(x) + "\n" for x in lines).encode(), 6)
-                entries.append((lines[0][0], f"index-{part:06}.idx", offset, len(data), len(lines)))
+                data = _pack(lines)
+                entries.append((lines[0][0], offset, len(data), len(lines)))
                 held.append(data)
                 offset += len(data)
 
@@ -154,9 +160,10 @@ def write(pages: DataFrame, least: int = 0, root: str | None = None) -> str:
             rows += [(k, None if pd.isna(p) else int(p), a, int(o), int(n)) for k, p, a, o, n in zip(pdf["key"], pdf["page"], pdf["archive"], pdf["offset"], pdf["length"], strict=True)]
             full(BLOCK)
         full(1)
-        if held:
-            _write(f"{root}/index", f"index-{part:06}.idx", held)
-        yield pd.DataFrame(entries, columns=["first_key", "file", "offset", "length", "captures"])
+        if entries:
+            held.append(_pack(entries))
+            _write(f"{root}/index", name, held)
+            yield pd.DataFrame([(entries[0][0], name, offset, len(held[-1]), sum(e[3] for e in entries))], columns=["first_key", "file", "offset", "length", "captures"])
 
     captures = cut(decide(pages, least).mapInPandas(archive, "key string, page long, archive string, offset long, length long"), "warc-captures")
     in_order = captures.repartitionByRange(shards(spark), "key", "page", "archive", "offset").sortWithinPartitions("key", "page", "archive", "offset")
@@ -164,15 +171,47 @@ def write(pages: DataFrame, least: int = 0, root: str | None = None) -> str:
     return root
 
 
-def directory(spark: SparkSession, root: str) -> DataFrame:
-    """The sparse directory: first_key, file, offset, length, captures of every index block."""
-    return spark.read.parquet(f"{root}/directory")
+def _pack(lines: list[tuple]) -> bytes:
+    return zlib.compress("".join(json.dumps(x) + "\n" for x in lines).encode(), 6)
 
 
-def _block(root: str, file: str, offset: int, length: int) -> list[Capture]:
+def _lines(root: str, file: str, offset: int, length: int) -> list[list]:
+    """What _pack() packed, at a range of an index file."""
     store, base = _store(_uri(f"{root}/index"))
     with store.open_input_file(f"{base}/{file}") as f:
-        return [Capture(*json.loads(x)) for x in zlib.decompress(f.read_at(length, offset)).decode().splitlines()]
+        return [json.loads(x) for x in zlib.decompress(f.read_at(length, offset)).decode().splitlines()]
+
+
+class Lookup:
+    """Captures by key, from files alone: first_keys and places of all index files in key order are what it starts with.
+
+    Keys are best asked in order: the last directory and the last block read are kept.
+    """
+
+    def __init__(self, root: str, files: list[tuple[str, str, int, int]]):
+        self.root, self.files, self.first_keys = root, files, [f[0] for f in files]
+        self.last: dict[str, tuple] = {}
+
+    def _kept(self, level: str, place: tuple) -> tuple[list, list[str]]:
+        if self.last.get(level, (None,))[0] != place:
+            rows = _lines(self.root, *place)
+            self.last[level] = (place, rows, [r[0] for r in rows])
+        return self.last[level][1:]
+
+    def captures(self, key: str) -> Iterator[Capture]:
+        """All captures of the key. It may begin in the file, or block, before the first that starts with it."""
+        for _, file, offset, length in self.files[max(bisect.bisect_left(self.first_keys, key) - 1, 0) : bisect.bisect_right(self.first_keys, key)]:
+            blocks, firsts = self._kept("directory", (file, offset, length))
+            for _, at, size, _ in blocks[max(bisect.bisect_left(firsts, key) - 1, 0) : bisect.bisect_right(firsts, key)]:
+                rows, keys = self._kept("block", (file, at, size))
+                for r in rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+                    yield Capture(*r)
+
+
+def index_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]]:
+    """First key, name and place of the directory of every index file, in key order: a row a file, as many as partitions wrote."""
+    found = spark.read.parquet(f"{root}/directory").select("first_key", "file", "offset", "length").collect()
+    return sorted((tuple(r) for r in found), key=lambda r: (r[0], r[1]))
 
 
 def _records(root: str, archive: str, ranges: list[tuple[int, int]]):
@@ -201,13 +240,25 @@ def _row(r: dict) -> tuple:
     return (number(r["x-page"]), r["warc-target-uri"], r["warc-type"], int(r["http"]["content-length"]), r["warc-payload-digest"][5:], number(r.get("x-refers-to-page")), None if payload is None else payload.decode())
 
 
-def read(spark: SparkSession, root: str, payloads: bool = True) -> DataFrame:
-    """All captures: index blocks in directory order, then their records by range, archive by archive."""
+def read(spark: SparkSession, root: str, urls: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of all captures of urls(url): distinct keys in order, each bisected, then their records by range, archive by archive."""
+    files = index_files(spark, root)
 
-    def expand(batches):
+    def keys(batches):
         for pdf in batches:
-            for file, offset, length in zip(pdf["file"], pdf["offset"], pdf["length"], strict=True):
-                yield pd.DataFrame([(c.archive, c.offset, c.length) for c in _block(root, file, offset, length)], columns=["archive", "offset", "length"])
+            yield pd.DataFrame({"key": [url_key(u if isinstance(u, str) else None) for u in pdf["url"]]})
+
+    def search(batches):
+        lookup = Lookup(root, files)
+        for pdf in batches:
+            found = []
+            for key in pdf["key"]:
+                for c in lookup.captures(key):
+                    found.append((c.archive, c.offset, c.length))
+                    if len(found) == BATCH:  # one key may have many captures
+                        yield pd.DataFrame(found, columns=["archive", "offset", "length"])
+                        found = []
+            yield pd.DataFrame(found, columns=["archive", "offset", "length"])
 
     def fetch(batches):
         for pdf in batches:
@@ -218,37 +269,19 @@ def read(spark: SparkSession, root: str, payloads: bool = True) -> DataFrame:
             yield frame if payloads else frame.drop(columns="payload")
 
     n = shards(spark)
-    ranges = directory(spark, root).repartition(n).mapInPandas(expand, "archive string, offset long, length long")
+    asked = urls.select("url").mapInPandas(keys, "key string").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
+    ranges = asked.mapInPandas(search, "archive string, offset long, length long")
     return ranges.repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset").mapInPandas(fetch, RECORD if payloads else RECORD.removesuffix(", payload string"))
 
 
 class Index:
-    """Lookups of single URLs. Holds one first key per index file; the directory of a file is read when it is asked for."""
+    """Lookups of single URLs by the driver; it holds one first key an index file."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.root, self.entries = root, directory(spark, root)
-        firsts = self.entries.groupBy("file").agg(F.min("first_key").alias("first_key")).orderBy("file").collect()  # a row for each index file: as many as partitions
-        self.files, self.first_keys, self.of_file = [r["file"] for r in firsts], [r["first_key"] for r in firsts], {}
-
-    def _blocks(self, file: str) -> list:
-        if file not in self.of_file:
-            self.of_file[file] = self.entries.filter(F.col("file") == file).orderBy("offset").collect()
-        return self.of_file[file]
-
-    def captures(self, url: str) -> list[Capture]:
-        key, found = url_key(url), []
-        at = max(bisect.bisect_left(self.first_keys, key) - 1, 0)  # a key may begin in the file before the first that starts with it
-        for file, first in zip(self.files[at:], self.first_keys[at:], strict=True):
-            if first > key:
-                break
-            blocks = self._blocks(file)
-            for b in blocks[max(bisect.bisect_left([b["first_key"] for b in blocks], key) - 1, 0) :]:
-                if b["first_key"] > key:
-                    break
-                rows = _block(self.root, file, b["offset"], b["length"])
-                keys = [c.key for c in rows]
-                found += rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-        return found
-
-    def records(self, url: str) -> list[dict]:
+        self.root, self.lookup = root, Lookup(root, index_files(spark, root))
+
+    def captures(self, url: str | None) -> list[Capture]:
+        return list(self.lookup.captures(url_key(url)))
+
+    def records(self, url: str | None) -> list[dict]:
         return [next(_records(self.root, c.archive, [(c.offset, c.length)])) for c in self.captures(url)]

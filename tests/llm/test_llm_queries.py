@@ -92,10 +92,12 @@ def test_archive_round_trip_and_lookups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 3)
     rows = [(i, f"https://www.h{i % 4}.example.org/p?q={i % 9}", f"<p>payload {i % 6} é</p>") for i in range(40)]
     rows += [(3, rows[3][1], rows[3][2]), (90, None, None), (91, "http://[bad", ""), (None, "http://x.org/", "only"), (92, rows[0][1], "x" * 300_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    pages = spark.createDataFrame([(*r, "k", "a", 1, 2) for r in rows], "page_id long, url string, html string, key string, archive string, offset long, _first long").repartition(3)
     root = warc.write(pages)
-    got = warc.read(spark, root).collect()
+    got = warc.read(spark, root, pages).collect()
     assert len(got) == len(rows)
+    some = warc.read(spark, root, pages.filter("page_id = 2")).collect()
+    assert sorted(r["page_id"] for r in some) == sorted(p for p, u, _ in rows if warc.url_key(u) == warc.url_key(rows[2][1]))
     first = {}
     for p, _, h in rows:
         h = h or ""
@@ -117,9 +119,26 @@ def test_archive_round_trip_and_lookups(spark, tmp_path, monkeypatch):
 
 def test_small_payloads_are_all_responses_and_empty_tables_pass(spark):
     pages = spark.createDataFrame([(1, "http://a.org/", "same"), (2, "http://b.org/", "same"), (3, "http://c.org/", "longer same"), (4, "http://d.org/", "longer same")], "page_id long, url string, html string")
-    r = {x["page_id"]: x["record_type"] for x in warc.read(spark, warc.write(pages, least=5)).collect()}
+    r = {x["page_id"]: x["record_type"] for x in warc.read(spark, warc.write(pages, least=5), pages).collect()}
     assert r == {1: "response", 2: "response", 3: "response", 4: "revisit"}
-    assert warc.read(spark, warc.write(pages.limit(0))).collect() == []
+    assert warc.read(spark, warc.write(pages.limit(0)), pages).collect() == []
+
+
+def test_a_repeated_attempt_has_files_of_its_own(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", f"page {i}") for i in range(20)], "page_id long, url string, html string")
+    for k in "ab":  # the second write stands for later attempts over the same partitions
+        warc.write(pages, root=f"file://{tmp_path}/{k}")
+    first, second = ({p.name for p in (tmp_path / k / "archives").iterdir()} for k in "ab")
+    assert first and second and not first & second
+
+
+def test_a_key_over_many_blocks_and_files_is_found_whole(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 2)
+    pages = spark.createDataFrame([(i, f"http://{'b' if 5 <= i < 45 else 'ac'[i % 2]}.org/", f"p{i}") for i in range(50)], "page_id long, url string, html string").repartition(4)
+    root = warc.write(pages)
+    assert sorted(c.page for c in warc.Index(spark, root).captures("http://b.org/")) == list(range(5, 45))
+    assert len(warc.index_files(spark, root)) > 1 and warc.Index(spark, root).captures("http://d.org/") == []
+    assert warc.read(spark, root, pages).count() == 50
 
 
 def test_url_keys_reverse_the_host():
