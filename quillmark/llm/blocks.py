@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +26,6 @@ from .runtime import cut
 BLOCK_BYTES = 4 << 20
 with contextlib.suppress(OSError, AttributeError):  # large arrays go back to the system when freed, so idle workers stay small
     ctypes.CDLL(None).mallopt(-3, 1 << 18)
-KEY_BITS = 48
-KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -105,9 +102,14 @@ def read_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> I
 
 
 def steady(docs: DataFrame) -> DataFrame:
-    """docs, written first unless it is a plain scan: its partitions then hold the same rows in each pass."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    return cut(docs, "steady") if re.search(r"\b(Join|Aggregate|Window|Sort|RepartitionByExpression|RebalancePartitions|GlobalLimit|LocalLimit|Sample|Union|Generate)\b", plan) else docs
+    """docs, written first unless it is a plain scan of files: its partitions then hold the same rows in each pass."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    todo, plain = [plan], plan.deterministic()
+    while todo and plain:
+        node = todo.pop()
+        plain = node.nodeName() in ("Project", "Filter", "LogicalRelation") or node.nodeName().startswith("Relation")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return docs if plain else cut(docs, "steady")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -122,19 +124,25 @@ def spread(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def key_bits(shards: int) -> int:
+    """Bits of a key beside its shard's number; shard and key tell almost all of a 64-bit hash apart once there are 65,536 shards."""
+    return min(48, 64 - (shards - 1).bit_length())
+
+
 def place(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Shard in the high 16 bits, key in the low 48."""
-    return (((hashes >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)) << np.uint64(KEY_BITS)) | (hashes & KEY_MASK)
+    """Shard in the high bits, key in the low key_bits(shards)."""
+    bits = key_bits(shards)
+    return (((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)) << np.uint64(bits)) | (hashes & np.uint64((1 << bits) - 1))
 
 
 def cuts(placed: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard begins in sorted placed keys."""
-    return np.searchsorted(placed, np.arange(shards + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
+    return np.append(np.searchsorted(placed, np.arange(shards, dtype=np.uint64) << np.uint64(key_bits(shards))), len(placed))
 
 
-def pack_keys(placed: np.ndarray) -> bytes:
+def pack_keys(placed: np.ndarray, shards: int) -> bytes:
     """Sorted keys of one shard as their differences, byte by byte: the high bytes are mostly zero and shrink to nothing."""
-    steps = np.diff(placed & KEY_MASK, prepend=np.uint64(0))
+    steps = np.diff(placed & np.uint64((1 << key_bits(shards)) - 1), prepend=np.uint64(0))
     return squeeze(np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
 
 
@@ -166,5 +174,5 @@ QUESTION_DDL = "block long, shard int, keys binary, extra binary"
 def questions(b: Block, placed: np.ndarray, shards: int, extra) -> pa.RecordBatch:
     """Sorted distinct placed keys as a row a shard; extra(from, to) packs what goes with them."""
     at = cuts(placed, shards)
-    rows = [(s, pack_keys(placed[i:j]), extra(i, j)) for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+    rows = [(s, pack_keys(placed[at[s] : at[s + 1]], shards), extra(at[s], at[s + 1])) for s in np.flatnonzero(np.diff(at)).tolist()]
     return pa.record_batch([pa.array([b.no] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=QUESTION)

@@ -8,7 +8,8 @@ that occurs elsewhere, times A for each word of context given up; a word that oc
 occurrences. The total N is the count of the empty n-gram; it has a shard to itself, after the others.
 Counts travel as 32 bits, and as 64 where a shard's answer to a block holds a larger one.
 
-n-grams are 64-bit hashes, of which 48 bits and the shard are kept. Defined cases: null or empty texts have no
+n-grams are 64-bit hashes, of which 48 bits and the shard are kept. A shard answers for a bounded number of bytes of text
+(runtime.shards_for), so what a task holds doesn't grow with the corpus; very long texts are blocks of their own. Defined cases: null or empty texts have no
 words and score 0; repeated rows are occurrences like any other; an empty table gives no rows.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .runtime import shards
+from .runtime import shards_for
 
 BACKOFF, ORDER = 0.4, 3
 #: Bytes of a block's texts; larger ones ask fewer keys twice and take more of a worker's memory.
@@ -78,7 +79,7 @@ def ask(docs: DataFrame, order: int, n_shards: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
             placed, counts = keys[first], np.diff(np.concatenate([first, [len(keys)]]))
             yield B.questions(b, placed, n_shards, lambda i, j, counts=counts: B.numbers(counts[i:j].astype(np.uint32)))
-            yield pa.record_batch([[b.no], [n_shards], [B.pack_keys(_TOTAL)], [B.numbers(np.array([len(h)], np.uint32))]], schema=B.QUESTION)
+            yield pa.record_batch([[b.no], [n_shards], [B.pack_keys(_TOTAL, n_shards)], [B.numbers(np.array([len(h)], np.uint32))]], schema=B.QUESTION)
 
     return B.scan(docs).mapInArrow(run, B.QUESTION_DDL)
 
@@ -150,7 +151,7 @@ def score_block(b: B.Block, counts: np.ndarray, total: int, order: int, n_shards
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Each row of docs(doc_id, text): doc_id, n_words, n_level0.. (words by longest n-gram found elsewhere; 0: none), log_score (natural)."""
     docs = B.steady(docs.select("doc_id", "text"))
-    n = shards(docs.sparkSession)
+    n = shards_for(docs)
     answers = ask(docs, order, n).groupBy("shard").applyInPandas(answer, B.QUESTION_DDL)
     kind = dict(docs.dtypes)["doc_id"]
     out = f"doc_id {kind}, n_words long, {', '.join(f'n_level{k} long' for k in range(order + 1))}, log_score double"

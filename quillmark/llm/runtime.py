@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,18 +14,22 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of at most so many rows, all of fixed-width or short columns, may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of text for which a hash shard answers, and how much larger texts are than their compressed files, about.
+SHARD_TEXT, UNPACKED = 16 << 20, 3
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. A local session without the setting gets a temporary one; a cluster must have it."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillmark-"))
     return shared_dir(spark)
 
@@ -67,3 +72,10 @@ def null_key(column: str):
 
 def shards(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shards_for(docs: DataFrame, most: int = 1 << 22) -> int:
+    """Hash shards for the words, n-grams or strings of docs, a file scan: one for every SHARD_TEXT bytes of text, as the sizes of its files tell, at least the shuffle partitions."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    on_disk = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(max(shards(docs.sparkSession), -(-on_disk * UNPACKED // SHARD_TEXT)), most)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .runtime import cut, shards
+from .runtime import cut, shards_for
 
 SPAN, K = 50, 24
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members.
@@ -190,10 +190,10 @@ def _segments(n_shards: int):
         c = _candidates(b, answers, n_shards)
         at = B.cuts(c["d_placed"], n_shards)
         rows = []
-        for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if j > i:
-                text = gather(b.data, c["d_first"][i:j], c["d_size"][i:j])
-                rows.append((b.no, s, B.pack_keys(c["d_placed"][i:j]), B.squeeze(c["d_size"][i:j].astype(np.uint8).tobytes() + c["d_anchor"][i:j].tobytes() + c["d_least"][i:j].tobytes() + text.tobytes(), 3)))
+        for s in np.flatnonzero(np.diff(at)).tolist():
+            i, j = at[s], at[s + 1]
+            text = gather(b.data, c["d_first"][i:j], c["d_size"][i:j])
+            rows.append((b.no, s, B.pack_keys(c["d_placed"][i:j], n_shards), B.squeeze(c["d_size"][i:j].astype(np.uint8).tobytes() + c["d_anchor"][i:j].tobytes() + c["d_least"][i:j].tobytes() + text.tobytes(), 3)))
         return pd.DataFrame(rows, columns=["block", "shard", "keys", "extra"])
 
     return run
@@ -354,7 +354,7 @@ def removed(b: B.Block, keyed: pd.DataFrame, owners: pd.DataFrame, n_shards: int
 def _marked(docs: DataFrame, finish, schema: str) -> DataFrame:
     """finish(block, removed bytes) for every block of the scan of docs(doc_id, text)."""
     docs = B.steady(docs)
-    n = shards(docs.sparkSession)
+    n = shards_for(docs)
     keyed = cut(_ask(docs, n).groupBy("shard").applyInPandas(_shared_keys, B.QUESTION_DDL), "suffix-keys")
     bodies = B.packed_blocks(docs)
     segments = bodies.unionByName(keyed).groupBy("block").applyInPandas(_segments(n), B.QUESTION_DDL)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.llm import blocks, decontaminate, html_text, lm_score, mixing, near_dedup, oracle, quality_model, quality_rules, queries, suffix_dedup, toxicity, warc
+from quillmark.llm import blocks, decontaminate, html_text, lm_score, mixing, near_dedup, oracle, quality_model, quality_rules, queries, runtime, suffix_dedup, toxicity, warc
 from tests.oracle import same
 
 from .conftest import SMALL
@@ -382,7 +382,7 @@ def test_many_blocks_agree_with_one(spark, monkeypatch):
 def test_counts_beyond_32_bits_are_kept():
     a, b, most = 7 << 40, 9 << 40, (1 << 32) - 1  # what two blocks ask: key a of both, key b of the second
     asked = [(0, [a], [most]), (1, [a, b], [most, 5])]
-    pdf = pd.DataFrame([(no, 0, blocks.pack_keys(np.array(k, np.uint64)), blocks.numbers(np.array(n, np.uint32))) for no, k, n in asked], columns=["block", "shard", "keys", "extra"])
+    pdf = pd.DataFrame([(no, 0, blocks.pack_keys(np.array(k, np.uint64), 1), blocks.numbers(np.array(n, np.uint32))) for no, k, n in asked], columns=["block", "shard", "keys", "extra"])
     raw = [blocks.spread(x) for x in lm_score.answer(pdf)["extra"]]
     assert [np.frombuffer(x, f"u{len(x) // n}").tolist() for x, n in zip(raw, (1, 2), strict=True)] == [[2 * most], [2 * most, 5]]
 
@@ -415,13 +415,65 @@ def test_blocks_survive_packing():
     c = blocks.unpack(7, b.pack())
     assert c.ids.to_pylist() == [1, None] and c.offsets.tolist() == [0, 3, 3] and (c.data == b.data).all()
     keys = np.unique(np.random.default_rng(0).integers(0, 2**48, 1000).astype(np.uint64))
-    assert (blocks.unpack_keys(blocks.pack_keys(keys)) == keys).all()
+    assert (blocks.unpack_keys(blocks.pack_keys(keys, 1)) == keys).all()
+
+
+@pytest.mark.parametrize("n", [1, 7, 65_536, 1 << 20])
+def test_placed_keys_keep_shards_apart_and_in_order(n):
+    h = np.random.default_rng(1).integers(0, 2**64, 50_000, dtype=np.uint64)
+    placed = np.unique(blocks.place(h, n))
+    at = blocks.cuts(placed, n)
+    assert len(placed) == len(np.unique(h)) and at[0] == 0 and at[-1] == len(placed) and len(at) == n + 1
+    s = int(np.flatnonzero(np.diff(at))[-1])
+    back = blocks.unpack_keys(blocks.pack_keys(placed[at[s] : at[s + 1]], n))
+    assert ((back | np.uint64(s << blocks.key_bits(n))) == placed[at[s] : at[s + 1]]).all()
+
+
+def test_shards_follow_the_bytes_of_the_files(spark, monkeypatch):
+    few = runtime.shards_for(documents(spark))
+    monkeypatch.setattr(runtime, "SHARD_TEXT", 10_000)
+    many = runtime.shards_for(documents(spark))
+    assert few == runtime.shards(spark) and many > 20
+    f = documents(spark)
+    assert sorted(map(tuple, suffix_dedup.report(f).collect())) == brute_repeats([(r["doc_id"], r["text"]) for r in f.collect()])
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class Context:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class Nothing:
+                                @staticmethod
+                                def isDefined():
+                                    return False
+
+                            return Nothing
+
+                    return Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session)
 
 
 def test_blocks_of_a_shuffled_table_are_written_first(spark):
     f = documents(spark)
     joined = f.join(f.select("doc_id").distinct(), "doc_id")
     assert blocks.steady(f) is f and blocks.steady(joined).inputFiles() != joined.inputFiles()
+    drawn = f.withColumn("r", F.rand())
+    assert all(blocks.steady(x) is not x for x in (drawn, f.limit(5), f.orderBy("doc_id"), f.mapInArrow(lambda b: b, f.schema)))
 
 
 # --- pipeline
