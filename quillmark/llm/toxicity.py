@@ -1,19 +1,23 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios (Wang & Manning 2012).
 
 Features are hashed n-grams of ORDERS code points with A-Z lowered, present or absent. The fit takes at most `rows`
-labelled texts (those of least hash of their id, a documented bound); one task turns them into log-count ratios,
-keeps features whose ratio is clear of its standard error, and fits a logistic regression on the scaled features.
-The weights, 2**BITS floats whatever the corpus, are sent to all tasks, which score whole texts.
-
-Defined cases: null and empty texts score the intercept; labels that are null or not 0/1 are left out; with no
-label of either class every text scores the share of toxic labels, one half without labels; an empty table gives
-no rows.
+labelled texts (those of least hash of their id, a documented bound), written once in PARTS parts. Each part counts its
+features; the counts, 2**BITS of each label, are summed and become log-count ratios; the features whose ratio is clear
+of its standard error are kept, and each part finds those in its texts. One task then fits a logistic regression on the
+scaled features: it holds the kept features of at most `rows` texts, no text. The weights, 2**BITS floats whatever the corpus, are sent to all tasks, which score whole texts.
+
+Defined cases: null and empty texts score the intercept; very long texts are scored whole, in blocks of their own;
+labels that are null or not 0/1 are left out; of several labels of a document the larger one counts; every row of a
+repeated document is a text of the fit; repeated rows get equal scores; other columns of docs are ignored, whatever
+their names; with no label of either class every text scores the share of toxic labels, one half without labels; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .runtime import cut
 
-ORDERS, BITS = (4, 5, 6), 20
+ORDERS, BITS = (4, 5, 6, 7, 8), 20
 #: Bound on the labelled texts of a fit, least texts with a feature, least distance of its ratio from 0 in standard errors.
 ROWS, LEAST, CLEAR = 16000, 4, 3.0
 RIDGE, STEPS = 1e-4, 200
+#: Parts of the sample, each a task of the fit.
+PARTS = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
@@ -55,54 +61,98 @@ def features(b: B.Block, keep: np.ndarray | None = None) -> tuple[np.ndarray, np
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def fit(parts) -> tuple[np.ndarray, float]:
-    """Weights (ratio times coefficient) and intercept, from pairs of a block and its labels."""
-    size = 1 << BITS
-    labels, each, cols, bad, good = [np.zeros(0)], [np.zeros(0, int)], [np.zeros(0, np.int32)], np.ones(size), np.ones(size)
+def count(parts) -> tuple[np.ndarray, int]:
+    """How many clean and toxic texts have each feature, and the number of toxic ones, from pairs of a block and its labels."""
+    counts, toxic = np.zeros((2, 1 << BITS), np.int32), 0
     for b, label in parts:
         row, col = features(b)
-        labels.append(label)
-        each.append(np.bincount(row, minlength=len(label)))
-        cols.append(col.astype(np.int32))
-        toxic = label[row] == 1
-        bad += np.bincount(col[toxic], minlength=size)
-        good += np.bincount(col[~toxic], minlength=size)
-    y = np.concatenate(labels)
+        for k in (0, 1):
+            counts[k] += np.bincount(col[label[row] == k], minlength=1 << BITS).astype(np.int32)
+        toxic += int(label.sum())
+    return counts, toxic
+
+
+def ratios(counts: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Log-count ratio of each feature, 0 where it isn't clear of its standard error."""
+    good, bad = counts + 1.0
+    ratio = np.log(bad / (n_toxic + 2)) - np.log(good / (n_clean + 2))
+    return np.where((counts.sum(0) >= LEAST) & (np.abs(ratio) > CLEAR * np.sqrt(1 / bad + 1 / good)), ratio, 0.0)
+
+
+def intercept(y: np.ndarray) -> float:
     share = (y.sum() + 0.5) / (len(y) + 1)
-    nothing = np.zeros(size, np.float32), float(np.log(share / (1 - share)))
-    if not 0 < y.sum() < len(y):
-        return nothing
-    ratio = np.log(bad / (y.sum() + 2)) - np.log(good / (len(y) - y.sum() + 2))
-    clear = (bad + good - 2 >= LEAST) & (np.abs(ratio) > CLEAR * np.sqrt(1 / bad + 1 / good))
-    if not clear.any():
-        return nothing
-    number = np.cumsum(clear) - 1
-    row = np.concatenate([np.repeat(np.arange(len(n), dtype=np.int32) + at, n)[clear[c]] for n, c, at in zip(each, cols, np.cumsum([0, *map(len, each)]), strict=False)])
-    col = np.concatenate([c[clear[c]] for c in cols])
-    x, f = ratio[col], number[col]
-    w, m, v, c = np.zeros(int(clear.sum())), 0.0, 0.0, nothing[1]
+    return float(np.log(share / (1 - share)))
+
+
+def fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights (ratio times coefficient) and intercept, from labels and the (row, feature) pairs with a ratio."""
+    weights, c = np.zeros(1 << BITS, np.float32), intercept(y)
+    if not 0 < y.sum() < len(y) or not len(row):
+        return weights, c
+    kept, f = np.unique(col, return_inverse=True)
+    x = ratio[col]
+    w, m, v = np.zeros(len(kept)), 0.0, 0.0
     for step in range(1, STEPS + 1):  # Adam on the whole sample
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[f], len(y)) + c, -30, 30)))
-        g = np.append(np.bincount(f, x * (p - y)[row], len(w)) / len(y) + RIDGE * w, (p - y).mean())
+        off = (p - y) / len(y)
+        g = np.append(np.bincount(f, x * off[row], len(w)) + RIDGE * w, off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, c = w - move[:-1], c - move[-1]
-    weights = np.zeros(size, np.float32)
-    weights[clear] = ratio[clear] * w
+    weights[kept] = ratio[kept] * w
     return weights, float(c)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndarray, float]:
-    """The model from labels(doc_id, toxic) of docs(doc_id, text); one task fits it, one row brings it back."""
+    """The model from labels(doc_id, toxic) of docs(doc_id, text)."""
     chosen = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text").orderBy("toxic", F.xxhash64("text"))
-
-    def run(batches):
-        weights, intercept = fit((b, b.ids.to_numpy().astype(float)) for b in B.read_blocks(batches, 1 << 20))
-        yield pa.record_batch([[B.numbers(weights)], [intercept]], names=["weights", "intercept"])
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = cut(found.select("toxic", F.coalesce("text", F.lit(b"")).alias("text")).repartition(PARTS, F.xxhash64("text")), "toxicity-texts")
+    labelled = lambda batches: ((b, b.ids.to_numpy().astype(float)) for b in B.read_blocks(batches, 1 << 20))
+
+    def counts(batches):
+        size, table, toxic = 0, np.zeros((2, 1 << BITS), np.int32), 0
+        for part in labelled(batches):
+            more, bad = count([part])
+            table, toxic, size = table + more, toxic + bad, size + len(part[1])
+        yield pa.record_batch([[B.numbers(table)], [size], [toxic]], names=["counts", "n", "n_toxic"])
+
+    def add(batches):
+        table, n, toxic = np.zeros((2, 1 << BITS), np.int64), 0, 0
+        for batch in batches:
+            for blob, size, bad in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                table += np.frombuffer(B.spread(blob), np.int32).reshape(2, -1)
+                n, toxic = n + size, toxic + bad
+        yield pa.record_batch([[B.numbers(ratios(table, n - toxic, toxic))]], names=["ratio"])
+
+    tables = cut(texts.mapInArrow(counts, "counts binary, n long, n_toxic long"), "toxicity-counts")
+    told = cut(tables.coalesce(1).mapInArrow(add, "ratio binary"), "toxicity-ratios").first()
+    nothing = np.zeros(1 << BITS, np.float32), intercept(np.zeros(0))
+    if told is None:  # no labelled text, hence no task
+        return nothing
+    sent = docs.sparkSession.sparkContext.broadcast(told["ratio"])
 
-    model = cut(texts.coalesce(1).mapInArrow(run, "weights binary, intercept double"), "toxicity-model").first()
-    return (np.frombuffer(B.spread(model["weights"]), np.float32), model["intercept"]) if model else fit([])
+    def find(batches):
+        keep = np.frombuffer(B.spread(sent.value), np.float64) != 0
+        for b, label in labelled(batches):
+            row, col = features(b, keep)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(label)))])
+            digest = [hashlib.sha1(b.data[i:j].tobytes()).digest() for i, j in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(label.astype(np.int32)), pa.array(digest, pa.binary()), pa.array([col[i:j].astype(np.int32).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["toxic", "digest", "features"])
+
+    def solve(batches):
+        y, each, cols = [np.zeros(0)], [np.zeros(0, int)], [np.zeros(0, np.int32)]
+        for batch in batches:
+            y.append(batch.column(0).to_numpy().astype(float))
+            cols += [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
+            each.append(np.array([len(x) // 4 for x in batch.column(2).to_pylist()]))
+        y, each = np.concatenate(y), np.concatenate(each)
+        weights, c = fit(y, np.repeat(np.arange(len(y)), each), np.concatenate(cols), np.frombuffer(B.spread(sent.value), np.float64))
+        yield pa.record_batch([[B.numbers(weights)], [c]], names=["weights", "intercept"])
+
+    sparse = texts.mapInArrow(find, "toxic int, digest binary, features binary").repartition(1).sortWithinPartitions("toxic", "digest")
+    model = cut(sparse.mapInArrow(solve, "weights binary, intercept double"), "toxicity-model").first()
+    return (np.frombuffer(B.spread(model["weights"]), np.float32), model["intercept"]) if model else nothing
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -169,6 +169,15 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {x["score"] for x in toxicity.toxicity(f.select("doc_id", "text"), labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_of_real_held_out_labels(spark):
+    where = "/root/testdata/sf0.01"
+    f, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    r = toxicity.toxicity(f, labels).filter("held_out").join(labels, "doc_id").select("toxic", "score").collect()
+    bad, good = ([x["score"] for x in r if x["toxic"] == k] for k in (1, 0))
+    above = np.mean([(a > b) + (a == b) / 2 for a in bad for b in good])
+    assert len(bad) >= 5 and above > 0.9
+
+
 # --- 5
 
 PAGES = [
