@@ -10,7 +10,8 @@ Counts travel as 32 bits, and as 64 where a shard's answer to a block holds a la
 
 n-grams are 64-bit hashes, of which 48 bits and the shard are kept. A shard answers for a bounded number of bytes of text
 (runtime.shards_for), so what a task holds doesn't grow with the corpus; very long texts are blocks of their own. Defined cases: null or empty texts have no
-words and score 0; repeated rows are occurrences like any other; an empty table gives no rows.
+words and score 0; repeated rows are occurrences like any other; other columns of docs are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations

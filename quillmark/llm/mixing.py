@@ -5,7 +5,9 @@ which a source's budget is used up is refined by the next 12 bits, and so on. Wh
 source, so the mix is a filter: nothing is sorted, and only histograms of at most 4096 buckets a source are shuffled.
 
 Defined cases: null or empty text has size 0 and is taken 0 times; a null source is a source of its own, ordered
-last; a null doc_id hashes as one fixed value; repeated rows are taken alike; an empty table gives no rows.
+last; a null doc_id hashes as one fixed value; rows with one doc_id have one hash and are taken or left together, whatever
+the bucket's edge; sources with equal room fill by name; very long texts are counted whole; the operator reads doc_id,
+text and source, so other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ several classes is compared in full, in blocks where it is large. So a large gro
 member, no list of its pairs is made, and no pair of different classes is skipped.
 
 Defined cases: null and wordless texts are alone in their class; a null doc_id is a document like any other and
-never names a class that has another; repeated rows get equal classes; an empty table gives no rows.
+never names a class that has another; repeated rows get equal classes; a pair of similarity 0.8 exactly is a link; very
+long texts are compared whole, as all their shingles; keep_one() carries all other columns, whatever their names (but
+_gone and _text), and keeps each row of a repeated document that names its class; an empty table gives no rows.
 """
 
 from __future__ import annotations

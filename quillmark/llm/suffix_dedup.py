@@ -14,7 +14,8 @@ A byte goes if a string of SPAN bytes that covers it also starts in a document w
 4. The answers go back to the blocks, which mark bytes, cut and hash.
 
 Defined cases: a null text is empty; texts under SPAN bytes are kept whole; rows with one doc_id don't remove each
-other; a null doc_id counts as larger than any; an empty table gives no rows.
+other; a null doc_id counts as larger than any; very long texts are blocks of their own and their matches are found
+whole; remove_repeats() carries all other columns, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

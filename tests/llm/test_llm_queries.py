@@ -266,6 +266,52 @@ def test_kneser_ney_probabilities_add_up(spark):
     assert sum(unigrams) + model[root]["gamma"] / (len(chars) + 1) == pytest.approx(1)
 
 
+def plain_kneser_ney(texts, order=4):
+    """p(window) by dictionaries: modified Kneser-Ney, interpolated; the lowest order with one symbol more for the unseen."""
+    seen = Counter(w for t in texts for w in plain_windows(t, order))
+    counts = {order: seen}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    off, sums, back = {}, {}, {}
+    for k, table in counts.items():
+        n = Counter(table.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [0.999 * min(max(c - (c + 1) * y * n[c + 1] / n[c], 0.1), c) if n[c] else 0.5 * c for c in (1, 2, 3)]
+        off[k] = lambda c, d=d: d[min(c, 3) - 1]
+        sums[k], back[k] = Counter(), Counter()
+        for g, c in table.items():
+            sums[k][g[:-1]] += c
+            back[k][g[:-1]] += off[k](c)
+
+    def p(g):
+        k, below = len(g), (p(g[1:]) if len(g) > 1 else 1 / (len(counts[1]) + 1))
+        if g[:-1] not in sums[k]:
+            return below
+        gamma = back[k][g[:-1]] / sums[k][g[:-1]]
+        if g not in counts[k]:
+            return gamma * (below if k > 1 else 1 / quality_model.UNSEEN)
+        return (counts[k][g] - off[k](counts[k][g])) / sums[k][g[:-1]] + gamma * below
+
+    return p
+
+
+def plain_windows(text, order=4):
+    padded = "\0" * (order - 1) + text
+    return [padded[i : i + order] for i in range(len(text))]
+
+
+def test_perplexities_are_those_of_plain_dictionaries(spark):
+    f = documents(spark).filter("length(text) BETWEEN 20 AND 3000").orderBy("doc_id").limit(40)
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in f.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    trusted, labels = rows[::2][:15], "doc_id long, quality int"
+    p = plain_kneser_ney([t for _, _, t in trusted])
+    got = {r["doc_id"]: r["perplexity"] for r in quality_model.judge(docs, spark.createDataFrame([(i, 1) for i, _, _ in trusted], labels)).collect()}
+    assert len(got) == 40
+    for i, _, t in rows:
+        assert got[i] == pytest.approx(np.exp(-np.mean([np.log(p(w)) for w in plain_windows(t)])), rel=1e-4)
+
+
 def test_junk_is_rejected_and_trusted_text_kept(spark, odd, none):
     f, labels = documents(spark), spark.read.parquet(f"{SMALL}/labels.parquet")
     judged = {r["doc_id"]: r["kept"] for r in quality_model.judge(f, labels).collect()}
@@ -346,6 +392,16 @@ def test_texts_that_differ_by_repeated_passages_meet(spark):
     assert got == brute_classes(rows)
 
 
+def test_half_of_a_text_repeated_forty_times_keeps_its_link(spark):
+    rows = []
+    for k in range(12):
+        words = [f"a{k}b{j}" for j in range(160)]
+        half = words[:80]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + half * 40))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(12)) and got == brute_classes(rows)
+
+
 def test_large_open_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIRS", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
