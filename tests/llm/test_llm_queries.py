@@ -549,6 +549,7 @@ def test_mix_stage_of_odd_rows(spark, odd):
 
     out = corpus_pipeline.mixed(spark, odd, SMALL)
     assert len(set(out.columns)) == len(out.columns) and {r["_size"] for r in out.collect()} == {7}
+    assert {r["taken"] for r in out.collect()} == {3} and all(r["mix_taken"] > 0 for r in out.collect())
     assert out.filter("doc_id IN (3, 4)").count() == 0
 
 
