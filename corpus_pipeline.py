@@ -33,12 +33,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with size (words), target (of the source) and taken (words, repeats counted)."""
+    """Documents of the mix, with size (words), source_size, target (of the source) and taken (words, repeats counted).
+
+    Where docs has a column of such a name, it stays, and the new one is called mix_<name>.
+    """
     sized = mixing.with_hash(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source"))
     limits = mixing.thresholds(runtime.cut(sized.select("_key", "source", "_hash", "_size"), "mix-sizes"))
-    names = {"_size": "size", "_source_size": "source_size", "_target": "target", "_taken": "taken"}
-    kept = [F.col(f"_row.{c}").alias(c) for c in docs.columns if c not in names.values()]
-    return mixing.mix(sized, limits).filter("_taken > 0").select(*kept, *(F.col(c).alias(n) for c, n in names.items()))
+    new = {"_size": "size", "_source_size": "source_size", "_target": "target", "_taken": "taken"}
+    kept = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
+    return mixing.mix(sized, limits).filter("_taken > 0").select(*kept, *(F.col(c).alias(f"mix_{n}" if n in docs.columns else n) for c, n in new.items()))
 
 
 STAGES = [
