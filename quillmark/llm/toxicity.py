@@ -31,6 +31,8 @@ ROWS, LEAST, CLEAR = 16000, 4, 3.0
 RIDGE, STEPS = 1e-4, 200
 #: Parts of the sample, each a task of the fit.
 PARTS = 16
+#: Texts at a time in a step of the fit.
+PIECE = 500
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
@@ -84,22 +86,33 @@ def intercept(y: np.ndarray) -> float:
     return float(np.log(share / (1 - share)))
 
 
-def fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (ratio times coefficient) and intercept, from labels and the (row, feature) pairs with a ratio."""
+def fit(y: np.ndarray, each: np.ndarray, col: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights (ratio times coefficient) and intercept, from labels, the number of features of each text, and these (int32), text by text.
+
+    Steps go through PIECE texts at a time, so beside the features themselves memory is bounded.
+    """
     weights, c = np.zeros(1 << BITS, np.float32), intercept(y)
-    if not 0 < y.sum() < len(y) or not len(row):
+    used = np.zeros(1 << BITS, bool)
+    used[col] = True
+    kept = np.flatnonzero(used)
+    if not 0 < y.sum() < len(y) or not len(kept):
         return weights, c
-    kept, f = np.unique(col, return_inverse=True)
-    x = ratio[col]
+    f = (np.cumsum(used, dtype=np.int32) - 1)[col]
+    ends, r = np.concatenate([[0], np.cumsum(each)]), ratio[kept]
     w, m, v = np.zeros(len(kept)), 0.0, 0.0
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[f], len(y)) + c, -30, 30)))
-        off = (p - y) / len(y)
-        g = np.append(np.bincount(f, x * off[row], len(w)) + RIDGE * w, off.sum())
+        g, gc, scaled = RIDGE * w, 0.0, r * w
+        for i in range(0, len(y), PIECE):
+            n, part = each[i : i + PIECE], f[ends[i] : ends[min(i + PIECE, len(y))]]
+            of = np.repeat(np.arange(len(n)), n)
+            off = (1 / (1 + np.exp(-np.clip(np.bincount(of, scaled[part], len(n)) + c, -30, 30))) - y[i : i + PIECE]) / len(y)
+            g += r * np.bincount(part, off[of], len(w))
+            gc += off.sum()
+        g = np.append(g, gc)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, c = w - move[:-1], c - move[-1]
-    weights[kept] = ratio[kept] * w
+    weights[kept] = r * w
     return weights, float(c)
 
 
@@ -107,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndar
     """The model from labels(doc_id, toxic) of docs(doc_id, text)."""
     chosen = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = cut(found.select("toxic", F.coalesce("text", F.lit(b"")).alias("text")).repartition(PARTS, F.xxhash64("text")), "toxicity-texts")
+    texts = cut(found.repartition(PARTS, "doc_id").select("toxic", F.coalesce("text", F.lit(b"")).alias("text")), "toxicity-texts")
     labelled = lambda batches: ((b, b.ids.to_numpy().astype(float)) for b in B.read_blocks(batches, 1 << 20))
 
     def counts(batches):
@@ -147,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndar
             cols += [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
             each.append(np.array([len(x) // 4 for x in batch.column(2).to_pylist()]))
         y, each = np.concatenate(y), np.concatenate(each)
-        weights, c = fit(y, np.repeat(np.arange(len(y)), each), np.concatenate(cols), np.frombuffer(B.spread(sent.value), np.float64))
+        weights, c = fit(y, each, np.concatenate(cols), np.frombuffer(B.spread(sent.value), np.float64))
         yield pa.record_batch([[B.numbers(weights)], [c]], names=["weights", "intercept"])
 
     sparse = texts.mapInArrow(find, "toxic int, digest binary, features binary").repartition(1).sortWithinPartitions("toxic", "digest")
