@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -30,10 +30,21 @@ class Config:
     max_anomalies: int = 3
     legacy_backward_bibliography: bool = False
     legacy_passive_twice: bool = True
+    sources_per_service: int = 3
+    skip_clustering: bool = False
+    skip_reasoning: bool = False
+    skip_sources: bool = False
 
 
 DEFAULT = Config()
 
+
+def from_session(spark) -> Config:
+    """DEFAULT with the session's settings quillmark.<field>, for flags and numbers; stages are switched here and never by the environment."""
+    plain = {f.name: f.default for f in fields(Config) if isinstance(f.default, (bool, int, float))}
+    told = {name: spark.conf.get(f"quillmark.{name}", None) for name in plain}
+    return replace(DEFAULT, **{name: value.lower() == "true" if isinstance(plain[name], bool) else type(plain[name])(value) for name, value in told.items() if value is not None})
+
 FEATURES = ("avg_sentence_length", "avg_word_length", "pronoun_ratio", "preposition_ratio", "conjunction_ratio", "passive_voice_pct", "yules_k", "burstiness_score")
 SEMANTIC = ("semantic_1", "semantic_2", "semantic_3")
 
@@ -44,8 +55,21 @@ NOT_AUTHORS = tuple("additionally also although consequently furthermore however
 PRONOUNS = tuple("i me my mine myself you your yours yourself yourselves he him his himself she her hers herself it its itself we us our ours ourselves they them their theirs themselves who whom whose what which this that these those someone anyone everyone nobody something anything everything nothing".split())
 PREPOSITIONS = tuple("of in to for with on at from by about into through during before after above below between under over against among within without toward towards upon across behind beyond near since until per via than".split())
 CONJUNCTIONS = tuple("and or but nor yet so although because if unless while whereas though whether when where as once".split())
+DETERMINERS = ("the", "a", "an", "each", "every", "either", "neither", "some", "any", "no", "all", "both", "another")
+AUXILIARIES = tuple("am is are was were be been being do does did have has had can could may might must shall should will would".split())
 FUNCTION_WORDS = tuple(sorted({*PRONOUNS, *PREPOSITIONS, *CONJUNCTIONS, "the", "a", "an", "is", "are", "was", "were", "be", "been", "not"}))
-STOP_WORDS = FUNCTION_WORDS
 
 # Penalties of the integrity score.
 SCORE_START = 10.0
+PENALTY = {
+    "noise": 8.0,
+    "author": 1.5,
+    "generated": 6.0,
+    "anomaly": (0.5, 3.0),
+    "boundary": (0.3, 1.5),
+    "high": 1.5,
+    "medium": 0.8,
+    "late": 0.3,
+    "source": (3.0, 2.0, 1.5),
+    "explanation": (0.3, 1.5),
+}

@@ -6,6 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def round_even(x, digits: int) -> Column:
+    """x to decimal digits as Python's round() has it: by the exact binary value, exact halves to even.
+
+    y = 2 * 10**digits * x is rounded, and rest is what the rounding took (a two-product by Veltkamp's split), so a y
+    that is an odd integer tells on which side of the half the value lies.
+    """
+    s = 2.0 * 10**digits
+    x = x.cast("double")
+    y, c = x * s, x * 134217729.0
+    high = c - (c - x)
+    rest = (high * s - y) + (x - high) * s
+    near = F.floor((y + 1) / 2).cast("double")
+    down = (y == 2 * near - 1) & ((rest < 0) | ((rest == 0) & (near % 2 != 0)))
+    return F.when(down, near - 1).otherwise(near) / 10.0**digits
+
+
 def clamp(value, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
@@ -54,10 +70,11 @@ def burstiness(lengths) -> Column:
 
 
 def inverted_index_text(index, title) -> Column:
-    """Places each word of a map word -> positions; gaps stay empty; no index gives the title."""
-    last = F.array_max(F.flatten(F.map_values(index)))
-    at = lambda i: F.coalesce(F.get(F.map_keys(F.map_filter(index, lambda w, p: F.array_contains(p, i))), F.lit(0)), F.lit(""))
-    return F.when(index.isNull() | (F.size(index) == 0), title).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), last), at), " "))
+    """Places each word of a map word -> positions, with a space for each step to the next; of words at one position the later key stays; no index gives the title."""
+    placed = F.sort_array(F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w"))))))
+    last = lambda a: F.filter(a, lambda x, i: (i == F.size(a) - 1) | (F.get(a, i + 1)["p"] != x["p"]))
+    joined = lambda a: F.array_join(F.transform(a, lambda x, i: F.concat(F.repeat(F.lit(" "), x["p"] - F.when(i == 0, 0).otherwise(F.get(a, i - 1)["p"])), x["w"])), "")
+    return F.when(index.isNull() | (F.size(index) == 0), title).otherwise(F.element_at(F.transform(F.array(placed), lambda a: F.element_at(F.transform(F.array(last(a)), joined), 1)), 1))
 
 
 def ai_probability(count, average) -> Column:

@@ -9,29 +9,35 @@ from ..config import CONJUNCTIONS, NOT_AUTHORS, PREPOSITIONS, PRONOUNS
 
 HEADING = r"(?i)^\s*(references|bibliography|works cited|cited works|literature cited)\s*$"
 ENTRY_START = r"^(\[\d+\]|[•–—-]|\d+\.)\s"
+# White space as Python's str methods and Unicode patterns have it.
+SPACE = r"[\s\x1C-\x1F]"
 SENTENCE_GAP = r"(?<=[.!?])\s+"
 ALPHA = r"\p{L}+"
 ANY_TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
 PASSIVE = r"(?:^|[^\p{L}])(?:am|is|are|was|were|be|been|being|get|gets|got|gotten|getting)\s+(?:\p{L}+\s+)?\p{L}+(?:ed|en)(?:[^\p{L}]|$)"
+
+# The language of citations. Author: surname, perhaps a second one, perhaps "et al."; white space is free
+# between these, around the comma and the semicolon, and before a narrative year's bracket, but not inside brackets' edges.
 SURNAME = r"[A-Z][A-Za-z'’`-]+"
 YEAR = r"(?:19|20)\d{2}"
-CITE = rf"{SURNAME}(?:\s+(?:and|&)\s+{SURNAME})?(?:\s+et\s+al\.?)?,\s*{YEAR}"
-PARENTHETICAL = rf"(?U)\(\s*{CITE}(?:\s*;\s*{CITE})*\s*\)"
-NARRATIVE = rf"(?U)(?<![(\w]){SURNAME}(?:\s+(?:and|&)\s+{SURNAME})?(?:\s+et\s+al\.?)?\s*\(\s*{YEAR}\s*\)"
+AUTHOR = rf"{SURNAME}(?:{SPACE}+(?:and|&){SPACE}+{SURNAME})?(?:{SPACE}+et{SPACE}+al\.?)?"
+CITE = rf"{AUTHOR}{SPACE}*,{SPACE}*{YEAR}"
+PARENTHETICAL = rf"(?U)\({CITE}(?:{SPACE}*;{SPACE}*{CITE})*\)"
+NARRATIVE = rf"(?U)(?<![(\w]){AUTHOR}{SPACE}*\({YEAR}\)"
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def clean(text) -> Column:
     """Joins words broken over lines, then collapses white space."""
-    joined = F.regexp_replace(F.regexp_replace(text, r"-[ \t]*\n[ \t]*", ""), r"(?U)-\s+", "")
-    return strip(F.regexp_replace(joined, r"(?U)\s+", " "))
+    joined = F.regexp_replace(F.regexp_replace(text, r"-[ \t]*\n[ \t]*", ""), rf"(?U)-{SPACE}+", "")
+    return strip(F.regexp_replace(joined, rf"(?U){SPACE}+", " "))
 
 
 def words(text) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, rf"(?U){SPACE}+"), lambda w: w != "")
 
 
 def word_count(text) -> Column:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import numeric as N
 from ..functions import text as T
 
-#: Added before rounding, so that exact halves go up whatever their binary form.
-HALF = 1e-9
-
-
 def extract(paragraphs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """paragraphs with citations, citation_count, years, median_year."""
     found = paragraphs.withColumn("citations", T.citations("text")).withColumn("years", T.years("citations", *config.years))
@@ -33,19 +29,37 @@ def baselines(cited: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def temporal_anomalies(cited: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Paragraphs whose median year lies more than year_gap from their document's core median."""
-    compared = cited.join(baselines(cited, config).select("doc_id", F.col("core_median").alias("baseline_year")), "doc_id")
-    gap = F.abs(F.col("median_year") - F.col("baseline_year"))
-    far = compared.withColumn("year_difference", gap).filter(F.col("year_difference") > config.year_gap)
+    """Paragraphs whose median year lies more than year_gap from their document's core median. One shuffle, by document."""
+    core = F.flatten(F.collect_list(F.when(F.col("cluster_id") != -1, F.col("years"))).over(Window.partitionBy("doc_id")))
+    rows = cited.select("doc_id", "paragraph_index", "median_year", "cluster_id", "years").withColumn("baseline_year", N.median_year(core))
+    far = rows.withColumn("year_difference", F.abs(F.col("median_year") - F.col("baseline_year"))).filter(F.col("year_difference") > config.year_gap)
     return far.select("doc_id", "paragraph_index", "median_year", "baseline_year", "year_difference", "cluster_id", (F.col("cluster_id") == -1).alias("is_noise_cluster"), T.severity(F.col("year_difference")).alias("severity"))
 
 
+def anomaly_query(labelled: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The anomalies of labelled(doc_id, paragraph_index, text, cluster_id) by themselves: citations are extracted here, and no noise flag is told."""
+    return temporal_anomalies(extract(labelled, config), config).drop("is_noise_cluster")
+
+
+def with_citations(cited: DataFrame) -> DataFrame:
+    """The paragraphs that cite."""
+    return cited.filter("citation_count > 0")
+
+
+def density(words=None):
+    """Citations a 100 words of a paragraph's row."""
+    return F.col("citation_count") / F.greatest(T.word_count("text") if words is None else words, F.lit(1)) * 100
+
+
 def densities(cited: DataFrame) -> DataFrame:
-    """(doc_id, core_density, noise_density, density_ratio): citations a 100 words, paragraphs without any included; the ratio is of the rounded averages."""
-    density = cited.withColumn("_d", F.round(F.col("citation_count") * 100.0 / F.greatest(T.word_count("text"), F.lit(1)) + HALF, 4))
-    side = lambda noise: F.coalesce(F.round(F.avg(F.when((F.col("cluster_id") == -1) == F.lit(noise), F.col("_d"))) + HALF, 4), F.lit(0.0))
-    both = density.groupBy("doc_id").agg(side(False).alias("core_density"), side(True).alias("noise_density"))
-    return both.withColumn("density_ratio", F.when(F.col("core_density") != 0, F.round(F.col("noise_density") / F.greatest(F.col("core_density"), F.lit(0.001)) + HALF, 2)))
+    """(doc_id, core_density, noise_density, density_ratio): means of the unrounded densities by side, 0 for an empty side; the ratio is of the rounded means."""
+    side = lambda noise: F.coalesce(N.round_even(F.avg(F.when((F.col("cluster_id") == -1) == F.lit(noise), F.col("_d"))), 4), F.lit(0.0))
+    both = cited.withColumn("_d", density()).groupBy("doc_id").agg(side(False).alias("core_density"), side(True).alias("noise_density"))
+    return both.withColumn("density_ratio", density_ratio())
+
+
+def density_ratio():
+    return F.when(F.col("core_density") != 0, N.round_even(F.col("noise_density") / F.greatest(F.col("core_density"), F.lit(0.001)), 2))
 
 
 def totals(cited: DataFrame) -> DataFrame:
@@ -64,3 +78,8 @@ def verify(references: DataFrame, registry: DataFrame, config: Config = DEFAULT)
     asked = references.filter((F.col("ref_index") < config.verify_first) & (F.length("ref_text") > config.verify_min_chars)).withColumn("ref_key", F.lower(F.substring("ref_text", 1, 150)))
     found = asked.join(registry.select("ref_key", "score"), "ref_key", "left")
     return found.select("doc_id", "ref_index", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.col("score") > config.verify_score, F.lit(True)).alias("is_valid"))
+
+
+def hallucinations(verified: DataFrame) -> DataFrame:
+    """(doc_id, n_verified, hallucination_count) of what verify() tells."""
+    return verified.groupBy("doc_id").agg(F.count("*").alias("n_verified"), F.count_if(~F.col("is_valid")).alias("hallucination_count"))

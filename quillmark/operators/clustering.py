@@ -6,11 +6,13 @@ reach Python.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, FEATURES, SEMANTIC, Config
+from ..functions import numeric as N
 from ..functions import text as T
 from . import kernel
 
@@ -46,13 +48,30 @@ def sizes(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def summary(labels: DataFrame, config: Config = DEFAULT, key: str = "doc_id") -> DataFrame:
-    """Authors, anomalies, noise and confidence of each document from (cluster_id, probability)."""
+    """Authors, anomalies, noise and confidence of each document from (cluster_id, probability), and noise_override from outcome, where there is one."""
+    rows = labels.groupBy(key).agg(*summary_aggregates(labels.columns, config))
+    return rows.select(key, *summary_columns())
+
+
+def summary_aggregates(columns: list[str], config: Config = DEFAULT) -> list:
+    """The aggregates of summary(), for a group of which other aggregates are taken too."""
     noise = F.avg((F.col("cluster_id") == -1).cast("double"))
-    sure = F.coalesce(F.avg(F.when(F.col("cluster_id") != -1, F.col("probability"))), F.lit(0.5))
+    override = F.bool_or(F.col("outcome") == "noise_override") if "outcome" in columns else noise > config.noise_limit
+    return [
+        F.count("cluster_id").alias("paragraph_count"),
+        F.count_distinct(F.when(F.col("cluster_id") != -1, F.col("cluster_id"))).alias("_authors"),
+        F.count_if(F.col("cluster_id") == -1).alias("anomaly_count"),
+        noise.alias("_noise"),
+        F.coalesce(F.avg(F.when(F.col("cluster_id") != -1, F.col("probability"))), F.lit(0.5)).alias("_sure"),
+        override.alias("noise_override"),
+    ]
+
+
+def summary_columns() -> list:
+    """The columns of summary() over its aggregates."""
     few = F.when(F.col("_authors").between(1, 5), 1.0).otherwise(0.7)
-    rows = labels.groupBy(key).agg(F.count("*").alias("paragraph_count"), F.count_distinct(F.when(F.col("cluster_id") != -1, F.col("cluster_id"))).alias("_authors"), F.count_if(F.col("cluster_id") == -1).alias("anomaly_count"), noise.alias("_noise"), sure.alias("_sure"))
     score = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("_sure") * F.greatest(F.lit(0.0), 1 - 2 * F.col("_noise")) * few))
-    return rows.select(key, "paragraph_count", F.col("_authors").alias("estimated_authors"), "anomaly_count", F.round("_noise", 4).alias("noise_percentage"), F.round(score, 4).alias("confidence"), (F.col("_noise") > config.noise_limit).alias("noise_override"))
+    return ["paragraph_count", F.col("_authors").alias("estimated_authors"), "anomaly_count", N.round_even(F.col("_noise"), 4).alias("noise_percentage"), N.round_even(score, 4).alias("confidence"), "noise_override"]
 
 
 def scaled(vectors: DataFrame, column: str, key: str) -> DataFrame:
@@ -84,29 +103,75 @@ def guards(features: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return stats.withColumn("outcome", outcome)
 
 
-LABELS = "doc_id long, paragraph_index int, cluster_id int, probability double"
-
-
-def label(features: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(doc_id, paragraph_index, cluster_id, probability) of every paragraph.
+def label(features: DataFrame, config: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, paragraph_index, cluster_id, probability, outcome, carry...) of every paragraph; outcome is the document's.
 
-    Guarded documents are one author by expression; the others go to the kernel, whole documents in batches.
+    One pass over whole documents: their guards are judged beside the kernel, so features are computed and moved once.
+    Rows without a paragraph_index stand for documents without paragraphs and pass with null labels. Where features has
+    a column `vector`, its principal components over the valid paragraphs join the features (0 for the others).
     """
-    decided = guards(features, config).select("doc_id", "outcome")
-    rows = features.join(decided, "doc_id")
-    single = rows.filter("outcome <> 'cluster'").select("doc_id", "paragraph_index", F.lit(0).alias("cluster_id"), F.lit(1.0).alias("probability"))
-    columns = [c for c in (*FEATURES, *SEMANTIC) if c in features.columns]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("paragraph_index")
-        labels, probability = kernel.cluster(pdf[columns].to_numpy(float), config, n_semantic=sum(c in SEMANTIC for c in columns))
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "paragraph_index": pdf["paragraph_index"], "cluster_id": labels, "probability": probability})
-
-    return single.unionByName(rows.filter("outcome = 'cluster'").select("doc_id", "paragraph_index", *columns).groupBy("doc_id").applyInPandas(run, LABELS))
+    kinds = dict(features.dtypes)
+    columns, more = [c for c in (*FEATURES, *SEMANTIC) if c in kinds], ["vector"] if "vector" in kinds else []
+    schema = f"doc_id {kinds['doc_id']}, paragraph_index int, cluster_id int, probability double, outcome string" + "".join(f", {c} {kinds[c]}" for c in carry)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("paragraph_index")  # nulls last
+        there = rows["paragraph_index"].is_valid().to_numpy()
+        x, valid = np.column_stack([rows[c].to_numpy() for c in columns])[there], rows["is_valid"].to_numpy()[there].astype(bool)
+        if more:
+            x = np.hstack([x, semantic(rows["vector"].to_pylist()[: len(x)], valid)])
+        outcome, labels, probability = kernel.guard(x, valid, config), np.zeros(len(x), int), np.ones(len(x))
+        if outcome == "cluster":
+            labels, probability, outcome = kernel.cluster(x, config, sum(c in SEMANTIC for c in columns) + 3 * len(more))
+        none = [None] * int((~there).sum())
+        made = {"doc_id": rows["doc_id"], "paragraph_index": rows["paragraph_index"], "cluster_id": pa.array([*labels.tolist(), *none], pa.int32()), "probability": pa.array([*probability.tolist(), *none], pa.float64()), "outcome": pa.array([outcome] * len(rows))}
+        return pa.table(made | {c: rows[c] for c in carry})
+
+    return features.select("doc_id", "paragraph_index", "is_valid", *columns, *more, *carry).groupBy("doc_id").applyInArrow(run, schema)
+
+
+def semantic(vectors: list, valid: np.ndarray) -> np.ndarray:
+    """Three components for each row: of the vectors of valid rows that have one, else 0."""
+    out, usable = np.zeros((len(vectors), 3)), valid & np.array([v is not None for v in vectors], bool)
+    if usable.any():
+        out[usable] = kernel.pca(np.array([v for v, ok in zip(vectors, usable, strict=True) if ok], float))
+    return out
 
 
 def colours(labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, cluster_id, hue): hues dealt by the rank of the label among those that aren't noise."""
+    """(key, cluster_id, hue, app_hue): hues dealt by the rank of the label among those that aren't noise, and by the label itself."""
     one = labels.filter("cluster_id <> -1").select(key, "cluster_id").distinct()
     n, rank = F.count("*").over(Window.partitionBy(key)), F.dense_rank().over(Window.partitionBy(key).orderBy("cluster_id")) - 1
-    return one.select(key, "cluster_id", ((rank * 360.0 / n + 220) % 360).alias("hue"))
+    return one.select(key, "cluster_id", ((rank * 360.0 / n + 220) % 360).alias("hue"), (F.col("cluster_id") * 360.0 / n % 360).alias("app_hue"))
+
+
+def highlighted(enriched: DataFrame, cluster: int) -> DataFrame:
+    """The paragraphs of one cluster (-1: the anomalies), as a reader's filter shows them."""
+    return enriched.filter(F.col("cluster_id") == cluster)
+
+
+def result(labels: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(doc_id, clustering): the cluster result as one struct of eleven fields. labels is what label() gives."""
+    at, step = F.struct("paragraph_index", "cluster_id"), lambda a, b: (a["cluster_id"] == -1) | (b["cluster_id"] == -1)
+    rows = labels.filter("paragraph_index IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(at)).alias("_l"), F.max("outcome").alias("_outcome"), *summary_aggregates(labels.columns, config))
+    pairs = F.when(F.size("_l") > 1, F.transform(F.sequence(F.lit(0), F.size("_l") - 2), lambda i: F.struct(F.get("_l", i).alias("a"), F.get("_l", i + 1).alias("b")))).otherwise(F.expr("slice(array(struct(_l[0] AS a, _l[0] AS b)), 1, 0)"))
+    changes = F.transform(F.filter(pairs, lambda x: x["a"]["cluster_id"] != x["b"]["cluster_id"]), lambda x: F.struct(x["a"]["paragraph_index"].alias("after_paragraph"), x["a"]["cluster_id"].alias("from_cluster"), x["b"]["cluster_id"].alias("to_cluster"), step(x["a"], x["b"]).alias("is_anomaly_transition")))
+    clusters = F.transform("_l", lambda x: x["cluster_id"])
+    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(clusters)), lambda c: F.struct(c.cast("string"), F.size(F.filter(clusters, lambda k: k == c)))))
+    told = rows.select("doc_id", "_l", "_outcome", *summary_columns()).withColumn("boundaries", changes)
+    return told.select(
+        "doc_id",
+        F.struct(
+            clusters.alias("clusters"),
+            "estimated_authors",
+            F.transform(F.filter("_l", lambda x: x["cluster_id"] == -1), lambda x: x["paragraph_index"]).alias("anomaly_indices"),
+            "anomaly_count",
+            "boundaries",
+            F.size("boundaries").alias("boundary_count"),
+            "noise_percentage",
+            counts.alias("cluster_sizes"),
+            "confidence",
+            "noise_override",
+            (F.col("_outcome").isin("skipped", "too_short") | (F.size("_l") < 2 * config.min_cluster_size)).alias("too_short"),
+        ).alias("clustering"),
+    )

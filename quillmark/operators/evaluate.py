@@ -5,38 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import STOP_WORDS
+from ..config import FUNCTION_WORDS
 from ..functions import text as T
 
 BOUNDARY, MAX_TERMS = 0.15, 500
 
 
 def tfidf(paragraphs: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(doc_id, position, term, weight): unit vectors of term counts times ln((1 + n) / (1 + df)) + 1, within each document, of its max_terms most frequent terms."""
-    kept = paragraphs.filter(T.word_count("text") >= 10)
-    numbered = kept.withColumns({"position": F.row_number().over(Window.partitionBy("doc_id").orderBy("paragraph_index")), "_n": F.count("*").over(Window.partitionBy("doc_id"))})
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    counts = numbered.select("doc_id", "position", "_n", F.explode(words).alias("term")).groupBy("doc_id", "position", "_n", "term").agg(F.count("*").alias("_tf"))
-    terms = counts.groupBy("doc_id", "_n", "term").agg(F.count("*").alias("_df"), F.sum("_tf").alias("_all"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("_all").desc(), "term"))
-    terms = terms.withColumn("_rank", rank).filter(F.col("_rank") <= max_terms).select("doc_id", "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
-    weighted = counts.join(terms, ["doc_id", "term"]).withColumn("_w", F.col("_tf") * F.col("_idf"))
+    """(doc_id, position, n, term, weight): unit vectors of term counts times ln((1 + n) / (1 + df)) + 1, within each document, of its max_terms most frequent terms.
+
+    Terms are counted inside the paragraph's row; what is exploded is shuffled once, by document.
+    """
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*FUNCTION_WORDS))
+    kept = paragraphs.filter(T.word_count("text") >= 10).select("doc_id", "paragraph_index", words.alias("_words"))
+    doc = Window.partitionBy("doc_id")
+    numbered = kept.withColumns({"position": F.row_number().over(doc.orderBy("paragraph_index")), "n": F.count("*").over(doc)})
+    counts = numbered.select("doc_id", "position", "n", F.explode_outer("_words").alias("term")).groupBy("doc_id", "position", "n", "term").agg(F.count("term").alias("_tf"))
+    of = Window.partitionBy("doc_id", "term")
+    spread = counts.withColumns({"_df": F.count("*").over(of), "_all": F.sum("_tf").over(of)})
+    order = Window.partitionBy("doc_id").orderBy(F.col("_all").desc(), "term")
+    ranked = spread.withColumn("_rank", F.dense_rank().over(order)).filter((F.col("_rank") <= max_terms) | F.col("term").isNull())
+    weighted = ranked.withColumn("_w", F.col("_tf") * (F.log((1 + F.col("n")) / (1 + F.col("_df"))) + 1))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id", "position")))
-    return weighted.select("doc_id", "position", "term", (F.col("_w") / norm).alias("weight"))
+    return weighted.select("doc_id", "position", "n", "term", F.when(F.col("term").isNotNull(), F.col("_w") / norm).alias("weight"))
+
+
+def _neighbours(vectors: DataFrame) -> DataFrame:
+    """vectors with _product, the weight times that of the same term at the next position, null where it isn't there."""
+    order = Window.partitionBy("doc_id", "term").orderBy("position")
+    follows = F.lead("position").over(order) == F.col("position") + 1
+    return vectors.withColumn("_product", F.when(follows & F.col("term").isNotNull(), F.col("weight") * F.lead("weight").over(order)))
 
 
 def adjacent(vectors: DataFrame) -> DataFrame:
     """(doc_id, position, similarity) of each position and the next one that has a common term."""
-    after = vectors.select("doc_id", (F.col("position") - 1).alias("position"), "term", F.col("weight").alias("_next"))
-    return vectors.join(after, ["doc_id", "position", "term"]).groupBy("doc_id", "position").agg(F.sum(F.col("weight") * F.col("_next")).alias("similarity"))
+    return _neighbours(vectors).filter("_product IS NOT NULL").groupBy("doc_id", "position").agg(F.sum("_product").alias("similarity"))
 
 
 def tfidf_verdict(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, n_texts, boundary_count, mean_similarity, detected, confidence): fewer than three texts are never detected."""
-    n = paragraphs.filter(T.word_count("text") >= 10).groupBy("doc_id").agg(F.count("*").alias("n_texts"))
-    near = adjacent(tfidf(paragraphs)).groupBy("doc_id").agg(F.sum("similarity").alias("_sum"), F.count_if(F.col("similarity") >= BOUNDARY).alias("_close"))
+    near = _neighbours(tfidf(paragraphs)).groupBy("doc_id", "n", "position").agg(F.sum("_product").alias("_s"))
+    joined = near.groupBy("doc_id", F.col("n").alias("n_texts")).agg(F.sum("_s").alias("_sum"), F.count_if(F.col("_s") >= BOUNDARY).alias("_close"))
     pairs = F.greatest(F.col("n_texts") - 1, F.lit(0))
-    joined = n.join(near, "doc_id", "left").withColumns({"boundary_count": pairs - F.coalesce("_close", F.lit(0)), "_mean": F.when(pairs > 0, F.coalesce("_sum", F.lit(0.0)) / pairs).otherwise(1.0)})
+    joined = joined.withColumns({"boundary_count": pairs - F.col("_close"), "_mean": F.when(pairs > 0, F.coalesce("_sum", F.lit(0.0)) / pairs).otherwise(1.0)})
     enough = F.col("n_texts") >= 3
     return joined.select("doc_id", "n_texts", F.when(enough, F.col("boundary_count")).otherwise(0).alias("boundary_count"), F.round("_mean", 4).alias("mean_similarity"), (enough & (F.col("boundary_count") >= 2)).alias("detected"), F.when(enough, F.round(1 - F.col("_mean"), 4)).otherwise(0.0).alias("confidence"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, FEATURES, FUNCTION_WORDS, Config
+from ..config import AUXILIARIES, CONJUNCTIONS, DEFAULT, DETERMINERS, FEATURES, FUNCTION_WORDS, PREPOSITIONS, PRONOUNS, Config
 from ..functions import numeric as N
 from ..functions import text as T
 
@@ -16,9 +18,9 @@ def annotate(paragraphs: DataFrame) -> DataFrame:
     return split.withColumn("_lengths", F.transform("_sentences", lambda s: F.size(T.words(s)))).drop("_sentences")
 
 
-def measured(paragraphs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def measured(paragraphs: DataFrame, config: Config = DEFAULT, keep: bool = False) -> DataFrame:
     """paragraphs with num_sentences, is_valid and the eight unrounded features (0 where a paragraph is too short)."""
-    rows = annotate(paragraphs)
+    rows = paragraphs if "_words" in paragraphs.columns else annotate(paragraphs)
     n = F.greatest(F.size("_lengths"), F.lit(1))
     factor = 2 if config.legacy_passive_twice else 1
     values = {
@@ -34,27 +36,52 @@ def measured(paragraphs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     valid = F.lit(False)
     for f in FEATURES:
         valid = valid | (F.col(f) != 0)
-    return out.withColumn("is_valid", valid).drop("_words", "_lengths", "_tokens", "_enough")
+    out = out.withColumn("is_valid", F.coalesce(valid, F.lit(False))).drop("_enough")
+    return out if keep else out.drop("_words", "_lengths", "_tokens")
 
 
 def profiles(paragraphs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The presentation of the features, to 4 decimals."""
     rows = measured(paragraphs, config)
-    return rows.select("doc_id", "paragraph_index", "is_valid", "num_sentences", *(F.round(f, 4).alias(f) for f in FEATURES))
+    return rows.select("doc_id", "paragraph_index", "is_valid", "num_sentences", *(N.round_even(F.col(f), 4).alias(f) for f in FEATURES))
+
+
+def summary(paragraphs: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row a paragraph: words, sentences, distinct words, counts of seven word classes, the five most frequent function words, the features.
+
+    tagger adds a column `tags`, array of (word, tag), to paragraphs, tags as in TAGS; by default words are tagged by the
+    closed lists, and by endings where no list has them.
+    """
+    rows = annotate(paragraphs if tagger is None else tagger(paragraphs))
+    tags = F.transform("_words", tag) if tagger is None else F.transform("tags", lambda x: x["tag"])
+    counted = measured(rows.withColumn("_tags", tags), keep=True)
+    count = lambda names: F.size(F.filter("_tags", lambda t: t.isin(*names)))
+    used = F.filter("_words", lambda w: w.isin(*FUNCTION_WORDS))
+    return counted.select(
+        "doc_id",
+        "paragraph_index",
+        F.size("_words").alias("word_count"),
+        F.size("_lengths").alias("sentence_count"),
+        F.size(F.array_distinct("_words")).alias("unique_words"),
+        *(count(names).alias(n) for n, names in TAGS.items()),
+        F.transform(_ranked(used, 5), lambda b: F.concat_ws(":", b["word"], (-b["_n"]).cast("string"))).alias("top_function_words"),
+        F.array(*(N.round_even(F.col(f), 4) for f in FEATURES)).alias("features"),
+    )
 
 
-def with_semantic(features: DataFrame, semantic: DataFrame) -> DataFrame:
-    """Structural features joined with semantic_1..3 by paragraph; missing ones are 0."""
-    joined = features.join(semantic, ["doc_id", "paragraph_index"], "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("semantic_1", "semantic_2", "semantic_3")})
+#: Name of a count to the tags that it counts.
+TAGS = {"nouns": ("NOUN", "PROPN"), "verbs": ("VERB", "AUX"), "adjectives": ("ADJ",), "adverbs": ("ADV",), "pronouns": ("PRON",), "prepositions": ("ADP",), "conjunctions": ("CCONJ", "SCONJ")}
 
 
-def summary(paragraphs: DataFrame) -> DataFrame:
-    """Counts of words, sentences, distinct words and word classes of each paragraph."""
-    rows = annotate(paragraphs)
-    count = lambda share: F.round(share * F.greatest(F.col("_tokens"), F.lit(1))).cast("int")
-    ratios = T.pos_ratios("_words", F.col("_tokens"))
-    return rows.select("doc_id", "paragraph_index", F.size("_words").alias("word_count"), F.size("_lengths").alias("sentence_count"), F.size(F.array_distinct("_words")).alias("unique_words"), *(count(ratios[r]).alias(n) for r, n in (("pronoun_ratio", "pronouns"), ("preposition_ratio", "prepositions"), ("conjunction_ratio", "conjunctions"))))
+def tag(word: Column) -> Column:
+    """A word's class by list, else by ending, else NOUN."""
+    listed = F.when(word.isin(*PRONOUNS), "PRON").when(word.isin(*PREPOSITIONS), "ADP").when(word.isin(*CONJUNCTIONS), "CCONJ").when(word.isin(*DETERMINERS), "DET").when(word.isin(*AUXILIARIES), "AUX")
+    return listed.when(word.rlike("ly$"), "ADV").when(word.rlike("(ous|ful|ive|able|ible|ic|less)$"), "ADJ").when(word.rlike("(ize|ise|ify|ing|ed)$"), "VERB").otherwise("NOUN")
+
+
+def _ranked(used, k: int) -> Column:
+    """(_n: minus the count, _at, word) of the k most frequent words of an array, ties by first place."""
+    return F.slice(F.sort_array(F.transform(F.array_distinct(used), lambda w: F.struct((-F.size(F.filter(used, lambda x: x == w))).alias("_n"), F.array_position(used, w).alias("_at"), w.alias("word")))), 1, k)
 
 
 def top_function_words(paragraphs: DataFrame, k: int = 5) -> DataFrame:
@@ -74,8 +101,14 @@ def keywords(paragraphs: DataFrame, k: int = 3) -> DataFrame:
     return rows.filter("_n >= 10 AND size(_k) > 0").select("doc_id", "paragraph_index", F.array_join("_k", " AND ").alias("query"))
 
 
+def triplet_array(text) -> Column:
+    """Distinct runs of three content words, the stand-in for subject, verb and object without a parser."""
+    content = F.filter(T.alpha_words(text), lambda w: ~w.isin(*FUNCTION_WORDS))
+    return F.array_distinct(F.filter(F.transform(content, lambda w, i: F.when(i + 2 < F.size(content), F.concat_ws("_", w, F.get(content, i + 1), F.get(content, i + 2)))), lambda t: t.isNotNull()))
+
+
 def triplets(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph_index, triplets): distinct runs of three content words, the stand-in for subject, verb and object without a parser."""
+    """(doc_id, paragraph_index, triplets): see triplet_array()."""
     content = paragraphs.select("doc_id", "paragraph_index", F.filter(T.alpha_words("text"), lambda w: ~w.isin(*FUNCTION_WORDS)).alias("_w"))
     made = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.concat_ws("_", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<string>"))
     return content.select("doc_id", "paragraph_index", F.array_distinct(made).alias("triplets"))

@@ -37,14 +37,55 @@ def chunks(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return kept.select("doc_id", F.posexplode_outer("_p").alias("paragraph_index", "text")).filter("paragraph_index IS NOT NULL")
 
 
-def extraction(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(doc_id, extraction_method, degraded_mode, parts): the first method in order that yields a paragraph; the raw chunks also where text is left but no chunk is."""
-    by_line = _kept(F.split("text", "\n", -1), config.min_paragraph_chars)
-    by_gap = _kept(F.transform(F.split("text", r"\n{2,}", -1), T.clean), config.min_paragraph_chars)
-    tried = docs.select("doc_id", "text", by_line.alias("_lines"), by_gap.alias("_gaps"), _chunks("text", config.chunk_chars, config.min_paragraph_chars).alias("_chunks"))
-    method = F.when(F.size("_lines") > 0, "lines").when(F.size("_gaps") > 0, "pages").when(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0, "raw_chunk").otherwise("none")
-    parts = F.when(F.size("_lines") > 0, F.col("_lines")).when(F.size("_gaps") > 0, F.col("_gaps")).otherwise(F.col("_chunks"))
-    return tried.select("doc_id", method.alias("extraction_method"), (method != "lines").alias("degraded_mode"), parts.alias("parts"))
+def extraction(docs: DataFrame, config: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carry..., extraction_method, degraded_mode, parts): the first method in order that yields a paragraph; the raw chunks also where text is left but no chunk is.
+
+    Where a reader of layouts gave docs a column elements, array of (type, text), its narrative texts come first, then of
+    blocks, array of (kind, text), the cleaned text blocks (kind 0); then lines, pages and chunks of the text.
+    """
+    none, least = F.array().cast("array<string>"), config.min_paragraph_chars
+    methods = [
+        ("elements", _kept(F.transform(F.filter("elements", lambda e: e["type"] == "NarrativeText"), lambda e: e["text"]), least) if "elements" in docs.columns else none),
+        ("blocks", _kept(F.transform(F.filter("blocks", lambda e: e["kind"] == 0), lambda e: T.clean(e["text"])), least) if "blocks" in docs.columns else none),
+        ("lines", _kept(F.split("text", "\n", -1), least)),
+        ("pages", _kept(F.transform(F.split("text", r"\n{2,}", -1), T.clean), least)),
+        ("raw_chunk", _chunks("text", config.chunk_chars, least)),
+    ]
+    methods = [m for m in methods if m[0] in ("lines", "pages", "raw_chunk") or m[0] in docs.columns]
+    tried = docs.select("doc_id", *carry, *(["text"] if "text" not in carry else []), *(c.alias(f"_{n}") for n, c in methods))
+    method = parts = None
+    for n, _ in methods[:-1]:
+        some = F.size(f"_{n}") > 0
+        method = F.when(some, n) if method is None else method.when(some, n)
+        parts = F.when(some, F.col(f"_{n}")) if parts is None else parts.when(some, F.col(f"_{n}"))
+    method = method.when(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0, "raw_chunk").otherwise("none")
+    degraded = ~method.isin("elements", "blocks", "lines")
+    return tried.select("doc_id", *carry, method.alias("extraction_method"), degraded.alias("degraded_mode"), parts.otherwise(F.col("_raw_chunk")).alias("parts"))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt by doc_id where its files are fewer than the cores, so that one small file doesn't keep all but one idle. Frames without files stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if 0 < len(docs.inputFiles()) < cores else docs
+
+
+def parsed(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """extraction() of each document with its references, and without the parts that contain a reference's first characters.
+
+    The references are those of merge_references() over bibliography(), here inside the row: nothing is shuffled.
+    """
+    tried = extraction(docs, config, carry=("text", *(c for c in docs.columns if c not in ("doc_id", "text", "elements", "blocks"))))
+    all_lines = F.split("text", "\n", -1)
+    heads = F.transform(all_lines, lambda x: x.rlike(T.HEADING))
+    at = F.coalesce(F.array_position(heads, True), F.lit(0)).cast("int")
+    after = F.when(at > 0, F.slice(all_lines, at + 1, F.greatest(F.size(all_lines) - at, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    listed = F.filter(after, lambda x: ~x.rlike(T.HEADING) & (F.length(T.strip(x)) > 10))
+    mark = "\x02"  # begins an entry
+    joined = F.array_join(F.transform(listed, lambda x, i: F.concat(F.when((i == 0) | x.rlike(T.ENTRY_START), F.lit(mark)).otherwise(F.lit(" ")), F.replace(T.strip(x), F.lit(mark), F.lit("")))), "")
+    entries = F.when(F.size(listed) > 0, F.split(F.substr(joined, F.lit(2)), mark)).otherwise(F.array().cast("array<string>"))
+    marked = tried.withColumn("references", entries).withColumn("_marks", F.filter(F.array_distinct(F.transform("references", T.fingerprint)), lambda m: m != ""))
+    kept = F.filter("parts", lambda p: ~F.exists("_marks", lambda m: F.contains(F.lower(p), m)))
+    return marked.withColumn("parts", F.when(F.size("_marks") > 0, kept).otherwise(F.col("parts"))).drop("_marks", "text")
 
 
 def bibliography(document_lines: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -111,16 +111,32 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int, allow_single
     return np.array([number.get(c, -1) for c in labels.tolist()]), probability
 
 
-def cluster(x: np.ndarray, config: Config, n_semantic: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of one document's feature rows: drop constant columns, scale, weigh semantics, cluster; mostly noise is one author."""
+def guard(x: np.ndarray, valid: np.ndarray, config: Config) -> str:
+    """The first rule that decides a document without clustering, or cluster."""
+    n, varying = len(x), int((x.var(0) >= config.least_variance).sum()) if len(x) else 0
+    if config.skip_clustering or n < config.min_paragraphs or valid.sum() < config.min_valid_to_cluster:
+        return "skipped"
+    if n < 2 * config.min_cluster_size:
+        return "too_short"
+    return "zero_variance" if varying == 0 else "one_column" if varying < 2 else "cluster"
+
+
+def cluster(x: np.ndarray, config: Config, n_semantic: int = 0) -> tuple[np.ndarray, np.ndarray, str]:
+    """Labels of one document's feature rows, probabilities, and the outcome: drop constant columns, scale, weigh semantics, cluster.
+
+    Mostly noise is one author (noise_override), and so is a document that scaling or clustering fails on (failed).
+    """
     varying = x.var(0) >= config.least_variance
-    z = (x[:, varying] - x[:, varying].mean(0)) / x[:, varying].std(0)
-    if n_semantic and varying.all():
-        z[:, -n_semantic:] *= config.semantic_weight
-    labels, probability = hdbscan(z, config.min_cluster_size, config.min_samples, config.allow_single_cluster)
+    try:
+        z = (x[:, varying] - x[:, varying].mean(0)) / x[:, varying].std(0)
+        if n_semantic and varying.all():
+            z[:, -n_semantic:] *= config.semantic_weight
+        labels, probability = hdbscan(z, config.min_cluster_size, config.min_samples, config.allow_single_cluster)
+    except (ArithmeticError, LookupError, ValueError, MemoryError):
+        return np.zeros(len(x), int), np.ones(len(x)), "failed"
     if (labels == -1).mean() > config.noise_limit:
-        return np.zeros(len(x), int), np.full(len(x), config.override_confidence)
-    return labels, probability
+        return np.zeros(len(x), int), np.full(len(x), config.override_confidence), "noise_override"
+    return labels, probability, "cluster"
 
 
 def pca(x: np.ndarray, components: int = 3) -> np.ndarray:

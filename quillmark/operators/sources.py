@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import numeric as N
 from ..functions import text as T
+from . import features
+
+#: Vectors of a block, of queries and of candidates.
+BLOCK = 4096
+#: Code points of a text by which texts that contain it are found.
+KEY = 40
 
 
 def longest_anomalies(labelled: DataFrame, first: int = 3) -> DataFrame:
@@ -17,14 +25,36 @@ def longest_anomalies(labelled: DataFrame, first: int = 3) -> DataFrame:
     return hit.filter(T.word_count("text") >= 10)
 
 
-def matches(queries: DataFrame, candidates: DataFrame, on: str, k: int) -> DataFrame:
-    """(query_id, source_id, similarity, rank): the k most similar candidates that share the key with a query.
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, source_id, similarity, rank): of each of queries(query_id, vector) the k most similar of all candidates(source_id, vector) but itself.
 
-    Candidates meet queries by equality of the key only; rank ties go to the smaller source_id.
+    Every query meets every candidate, block by block: a row holds a block of each, its similarities are one product of
+    matrices, and it answers k rows a query. Rank ties (to 12 decimals) go to the smaller source_id; zero vectors are similar to none.
     """
-    pairs = queries.join(candidates, on).withColumn("similarity", N.cosine("query_vector", "source_vector"))
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "source_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "source_id", "similarity", "rank")
+    pieces = max(1, -(-candidates.count() // block))
+    packed = lambda f, n, names: f.groupBy(F.pmod(F.xxhash64(names[0]), F.lit(n).cast("long")).alias(names[2])).agg(F.collect_list(F.struct(names[0], "vector")).alias("_x")).select(names[2], F.col(f"_x.{names[0]}").alias(names[0]), F.col("_x.vector").alias(names[1]))
+    asked = packed(queries.select("query_id", "vector"), max(1, -(-queries.count() // block)), ("query_id", "_q", "_a")).select("query_id", "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).alias("_b"))
+    both = asked.join(packed(candidates.select("source_id", "vector"), pieces, ("source_id", "_s", "_b")), "_b").select("query_id", "_q", "source_id", "_s")
+
+    def unit(vectors) -> np.ndarray:
+        x = np.array(vectors, float)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(norm == 0, 1, norm)
+
+    def run(batches):
+        for batch in batches:
+            for ids, q, sources, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                ids, sources = np.array(ids), np.array(sources)
+                similar = unit(q) @ unit(s).T
+                similar[ids[:, None] == sources[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(sources, similar.shape), -similar.round(12)))[:, :k]
+                found = np.take_along_axis(similar, order, 1)
+                real = np.isfinite(found)
+                yield pa.record_batch([np.repeat(ids, real.sum(1)), sources[order][real], found[real]], names=["query_id", "source_id", "similarity"])
+
+    few = both.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, source_id {dict(candidates.dtypes)['source_id']}, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "source_id")
+    return few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def accept(best: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -38,10 +68,41 @@ def contains_exactly(text: str, abstract: str, title: str):
     return F.contains(F.lower(abstract), low) | F.contains(F.lower(title), low)
 
 
+def containing(paragraphs: DataFrame, texts: DataFrame, key: int = KEY) -> DataFrame:
+    """(doc_id, paragraph_index, source_id) where the lower-cased text(source_id, body) contains the whole lower-cased paragraph.
+
+    An index of the texts' substrings of key code points, by hash, meets the paragraphs' first key code points; what
+    meets is compared whole. Paragraphs are longer than key.
+    """
+    at = lambda i: F.xxhash64(F.substring("_body", i, F.lit(key)))
+    bodies = texts.select("source_id", F.lower("body").alias("_body")).filter(F.length("_body") >= key)
+    index = bodies.select("source_id", "_body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_body") - key + 1), at))).alias("_key"))
+    low = paragraphs.select("doc_id", "paragraph_index", F.lower(T.strip("text")).alias("_low")).withColumn("_key", F.xxhash64(F.substring("_low", 1, key)))
+    return low.join(index, "_key").filter(F.contains("_body", F.col("_low"))).select("doc_id", "paragraph_index", "source_id")
+
+
 def overlap(a: str, b: str):
     return F.size(F.array_intersect(a, b))
 
 
+def search(queries: DataFrame, candidates: DataFrame, k: int = DEFAULT.sources_per_service) -> DataFrame:
+    """queries(query, ...) with the first k answers of each service from candidates(query, origin, rank, ...), the table of what services answered."""
+    order = Window.partitionBy("query", "origin").orderBy("rank", "source_id")
+    return queries.join(candidates.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k"), "query")
+
+
+def trace(anomalies: DataFrame, candidates: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(doc_id, paragraph_index, source_id, origin, title, similarity): the accepted best source of each of anomalies(doc_id, paragraph_index, text, vector).
+
+    candidates(query, origin, rank, source_id, title, abstract, source_vector): answers of services to keyword queries.
+    """
+    asked = anomalies.select("doc_id", "paragraph_index", "text", "vector").join(features.keywords(anomalies), ["doc_id", "paragraph_index"])
+    met = search(asked, candidates.filter("source_id IS NOT NULL"), config.sources_per_service).withColumn("similarity", F.coalesce(N.cosine("vector", "source_vector"), F.lit(0.0)))
+    best = met.groupBy("doc_id", "paragraph_index").agg(F.max(F.struct("similarity", (-F.col("rank")).alias("_r"), "origin", "source_id", "title", "abstract", "text")).alias("b")).select("doc_id", "paragraph_index", "b.*")
+    told = best.withColumns({"_a": features.triplet_array("text"), "_b": features.triplet_array("abstract")}).withColumns({"overlap": overlap("_a", "_b"), "is_exact": contains_exactly("text", "abstract", "title")})
+    return accept(told, config).select("doc_id", "paragraph_index", "source_id", "origin", "title", N.round_even(F.col("similarity"), 4).alias("similarity"))
+
+
 def union(*found: DataFrame) -> DataFrame:
     """Candidates of several services, in order, repeats kept."""
     out = found[0]

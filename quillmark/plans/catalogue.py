@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import CONJUNCTIONS, FUNCTION_WORDS, NOT_AUTHORS, PREPOSITIONS, PRONOUNS
+from ..config import AUXILIARIES, CONJUNCTIONS, DETERMINERS, FEATURES, FUNCTION_WORDS, NOT_AUTHORS, PREPOSITIONS, PRONOUNS
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import citations, clustering, evaluate, features, ingest, kernel, report, sources, warnings
 from ..sources import documents as uploads
 from ..sources import providers
-from .analyze import analyze
+from .analyze import Inputs, analyze
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -40,17 +40,38 @@ def documents(spark, d) -> DataFrame:
 
 
 def paragraphs(spark, d) -> DataFrame:
-    return ingest.paragraphs(documents(spark, d))
+    return ingest.paragraphs(ingest.spread(documents(spark, d)))
 
 
 def _in(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+# White space of DuckDB's patterns is ASCII; this is Unicode's, with the separators that Python counts.
+S = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+class _Pattern(str):
+    """SQL with one place for an expression; the braces of its patterns stay."""
+
+    def format(self, expression: str) -> str:
+        return self.replace("{}", expression)
+
+
+STRIP = _Pattern(rf"regexp_replace({{}}, '^{S}+|{S}+$', '', 'g')")
+
+
+def R(expression: str, digits: int) -> str:
+    """Rounding of the binary value, exact halves to even: the remainder of 2 * 10**digits * x tells the side of a half."""
+    k = 10**digits
+    rest = f"((v * 134217729.0::DOUBLE - (v * 134217729.0::DOUBLE - v)) * {2 * k}.0::DOUBLE - v * {2 * k}.0::DOUBLE + (v - (v * 134217729.0::DOUBLE - (v * 134217729.0::DOUBLE - v))) * {2 * k}.0::DOUBLE)"
+    near = f"floor((v * {2 * k}.0::DOUBLE + 1) / 2)"
+    return f"list_transform([({expression})::DOUBLE], lambda v: (CASE WHEN v * {2 * k}.0::DOUBLE = 2 * {near} - 1 AND ({rest} < 0 OR {rest} = 0 AND {near} % 2 <> 0) THEN {near} - 1 ELSE {near} END) / {k}.0::DOUBLE)[1]"
+
+
 P = f"""p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS paragraph_index, text FROM (
   SELECT doc_id, i, {STRIP.format("l[i]")} AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE length(text) >= 80)"""
-WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
+WORDS = _Pattern(rf"list_filter(regexp_split_to_array({{}}, '{S}+'), lambda w: w <> '')")
 ALPHA = r"regexp_extract_all(lower({}), '\p{{L}}+')"
 SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
 F1 = f"""{P}, a AS (SELECT doc_id, paragraph_index, text, {ALPHA.format("text")} AS w, list_transform({SENTENCES}, lambda s: len({WORDS.format("s")})) AS ls FROM p)"""
@@ -63,7 +84,7 @@ def paragraph_scan(spark, d):
     return paragraphs(spark, d)
 
 
-@query(rf"""SELECT doc_id, {STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(text, '-[ \t]*\n[ \t]*', '', 'g'), '-\s+', '', 'g'), '\s+', ' ', 'g')")} AS text FROM documents""")
+@query(rf"""SELECT doc_id, {STRIP.format(rf"regexp_replace(regexp_replace(regexp_replace(text, '-[ \t]*\n[ \t]*', '', 'g'), '-{S}+', '', 'g'), '{S}+', ' ', 'g')")} AS text FROM documents""")
 def clean_text(spark, d):
     return documents(spark, d).select("doc_id", T.clean("text").alias("text"))
 
@@ -86,10 +107,10 @@ def fallback_chain_method(spark, d):
 def _reference_lines(spark, d) -> DataFrame:
     """Lines of documents, every third the start of a numbered entry."""
     prefix = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("["), (F.col("line_no") + 1).cast("string"), F.lit("] "))).otherwise("")
-    return ingest.lines(documents(spark, d)).withColumn("line", F.concat(prefix, F.substring("line", 1, 200)))
+    return ingest.lines(documents(spark, d)).withColumn("line", F.concat(prefix, F.col("line")))
 
 
-REF_LINES = "rl AS (SELECT doc_id, i - 1 AS line_no, (CASE WHEN (i - 1) % 3 = 0 THEN '[' || i || '] ' ELSE '' END) || substr(l[i], 1, 200) AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+REF_LINES = "rl AS (SELECT doc_id, i - 1 AS line_no, (CASE WHEN (i - 1) % 3 = 0 THEN '[' || i || '] ' ELSE '' END) || l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
 REFS = rf"""{REF_LINES}, rs AS (SELECT *, CASE WHEN regexp_matches(line, '^(\[\d+\]|[•–—-]|\d+\.)\s') OR row_number() OVER (PARTITION BY doc_id ORDER BY line_no) = 1 THEN 1 ELSE 0 END AS st FROM rl),
 rn AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS ref_index FROM rs),
 refs AS (SELECT doc_id, ref_index::INT AS ref_index, string_agg({STRIP.format("line")}, ' ' ORDER BY line_no) AS ref_text FROM rn GROUP BY doc_id, ref_index)"""
@@ -128,49 +149,59 @@ f AS (SELECT doc_id, paragraph_index, unnest(w) AS x FROM a), fc AS (SELECT doc_
 y AS (SELECT doc_id, paragraph_index, CASE WHEN sum(c) < 2 THEN 0.0::DOUBLE ELSE 10000.0::DOUBLE * (sum(c * c) - sum(c)) / (sum(c) * sum(c)) END AS k FROM fc GROUP BY ALL)"""
 
 
-@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, n_s::INT AS num_sentences, round(asl, 4) AS avg_sentence_length FROM m")
+@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, n_s::INT AS num_sentences, {R('asl', 4)} AS avg_sentence_length FROM m")
 def sentence_lengths(spark, d):
     rows = features.annotate(paragraphs(spark, d))
-    return rows.select("doc_id", "paragraph_index", F.greatest(F.size("_lengths"), F.lit(1)).alias("num_sentences"), F.round(N.mean("_lengths"), 4).alias("avg_sentence_length"))
+    return rows.select("doc_id", "paragraph_index", F.greatest(F.size("_lengths"), F.lit(1)).alias("num_sentences"), N.round_even(N.mean("_lengths"), 4).alias("avg_sentence_length"))
 
 
-@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, round(burst, 4) AS burstiness_score FROM m")
+@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, {R('burst', 4)} AS burstiness_score FROM m")
 def burstiness(spark, d):
-    return features.annotate(paragraphs(spark, d)).select("doc_id", "paragraph_index", F.round(N.burstiness("_lengths"), 4).alias("burstiness_score"))
+    return features.annotate(paragraphs(spark, d)).select("doc_id", "paragraph_index", N.round_even(N.burstiness("_lengths"), 4).alias("burstiness_score"))
 
 
-@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, round(awl, 4) AS avg_word_length FROM m")
+@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, {R('awl', 4)} AS avg_word_length FROM m")
 def avg_word_length(spark, d):
     rows = features.annotate(paragraphs(spark, d))
-    return rows.select("doc_id", "paragraph_index", F.round(F.length(F.array_join("_words", "")) / F.greatest(F.size("_words"), F.lit(1)), 4).alias("avg_word_length"))
+    return rows.select("doc_id", "paragraph_index", N.round_even(F.length(F.array_join("_words", "")) / F.greatest(F.size("_words"), F.lit(1)), 4).alias("avg_word_length"))
 
 
-@query(f"WITH {F1}, {MEASURES} SELECT m.doc_id, m.paragraph_index, round(coalesce(k, 0), 4) AS yules_k FROM m LEFT JOIN y USING (doc_id, paragraph_index)")
+@query(f"WITH {F1}, {MEASURES} SELECT m.doc_id, m.paragraph_index, {R('coalesce(k, 0)', 4)} AS yules_k FROM m LEFT JOIN y USING (doc_id, paragraph_index)")
 def yules_k(spark, d):
-    return features.annotate(paragraphs(spark, d)).select("doc_id", "paragraph_index", F.round(N.yules_k("_words"), 4).alias("yules_k"))
+    return features.annotate(paragraphs(spark, d)).select("doc_id", "paragraph_index", N.round_even(N.yules_k("_words"), 4).alias("yules_k"))
 
 
-@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, n_alpha AS word_count, n_s AS sentence_count, uniq AS unique_words, pr AS pronouns, pp AS prepositions, cj AS conjunctions FROM m")
-def paragraph_summary(spark, d):
-    return features.summary(paragraphs(spark, d))
-
-
-@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, round(pr::DOUBLE / greatest(tok, 1), 4) AS pronoun_ratio, round(pp::DOUBLE / greatest(tok, 1), 4) AS preposition_ratio, round(cj::DOUBLE / greatest(tok, 1), 4) AS conjunction_ratio FROM m")
+@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, {R('pr::DOUBLE / greatest(tok, 1)', 4)} AS pronoun_ratio, {R('pp::DOUBLE / greatest(tok, 1)', 4)} AS preposition_ratio, {R('cj::DOUBLE / greatest(tok, 1)', 4)} AS conjunction_ratio FROM m")
 def pos_ratios(spark, d):
     rows = features.annotate(paragraphs(spark, d))
-    return rows.select("doc_id", "paragraph_index", *(F.round(c, 4).alias(n) for n, c in T.pos_ratios("_words", F.col("_tokens")).items()))
+    return rows.select("doc_id", "paragraph_index", *(N.round_even(c, 4).alias(n) for n, c in T.pos_ratios("_words", F.col("_tokens")).items()))
 
 
-@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, round(pv, 4) AS passive_voice_pct FROM m")
+@query(f"WITH {F1}, {MEASURES} SELECT doc_id, paragraph_index, {R('pv', 4)} AS passive_voice_pct FROM m")
 def passive_voice(spark, d):
     rows = features.annotate(paragraphs(spark, d))
-    return rows.select("doc_id", "paragraph_index", F.round(2 * F.regexp_count(F.lower("text"), F.lit(T.PASSIVE)) * 100.0 / F.greatest(F.size("_lengths"), F.lit(1)), 4).alias("passive_voice_pct"))
+    return rows.select("doc_id", "paragraph_index", N.round_even(2 * F.regexp_count(F.lower("text"), F.lit(T.PASSIVE)) * 100.0 / F.greatest(F.size("_lengths"), F.lit(1)), 4).alias("passive_voice_pct"))
 
 
 V = "CASE WHEN n_alpha >= 10 THEN {} ELSE 0.0::DOUBLE END"
 PROFILE = f"""pf AS (SELECT m.doc_id, m.paragraph_index, n_alpha >= 10 AS is_valid, CASE WHEN n_alpha >= 10 THEN n_s ELSE 1 END::INT AS num_sentences, {V.format("asl")} AS avg_sentence_length, {V.format("awl")} AS avg_word_length,
   {V.format("pr::DOUBLE / greatest(tok, 1)")} AS pronoun_ratio, {V.format("pp::DOUBLE / greatest(tok, 1)")} AS preposition_ratio, {V.format("cj::DOUBLE / greatest(tok, 1)")} AS conjunction_ratio, {V.format("pv")} AS passive_voice_pct, {V.format("coalesce(k, 0)")} AS yules_k, {V.format("burst")} AS burstiness_score FROM m LEFT JOIN y USING (doc_id, paragraph_index))"""
-_ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in ("avg_sentence_length", "avg_word_length", "pronoun_ratio", "preposition_ratio", "conjunction_ratio", "passive_voice_pct", "yules_k", "burstiness_score"))
+_ROUNDED = ", ".join(f"{R(c, 4)} AS {c}" for c in ("avg_sentence_length", "avg_word_length", "pronoun_ratio", "preposition_ratio", "conjunction_ratio", "passive_voice_pct", "yules_k", "burstiness_score"))
+
+
+_TAG = f"CASE WHEN x IN {_in(PRONOUNS)} THEN 'PRON' WHEN x IN {_in(PREPOSITIONS)} THEN 'ADP' WHEN x IN {_in(CONJUNCTIONS)} THEN 'CCONJ' WHEN x IN {_in(DETERMINERS)} THEN 'DET' WHEN x IN {_in(AUXILIARIES)} THEN 'AUX' WHEN regexp_matches(x, 'ly$') THEN 'ADV' WHEN regexp_matches(x, '(ous|ful|ive|able|ible|ic|less)$') THEN 'ADJ' WHEN regexp_matches(x, '(ize|ise|ify|ing|ed)$') THEN 'VERB' ELSE 'NOUN' END"
+_COUNTS = ", ".join(f"count(*) FILTER (tg IN {_in(names)})::INT AS {n}" for n, names in features.TAGS.items())
+
+
+@query(f"""WITH {F1}, {MEASURES}, {PROFILE}, u AS (SELECT doc_id, paragraph_index, x, i FROM (SELECT doc_id, paragraph_index, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM a)),
+tg AS (SELECT doc_id, paragraph_index, {_COUNTS} FROM (SELECT doc_id, paragraph_index, {_TAG} AS tg FROM u) GROUP BY ALL),
+fw AS (SELECT doc_id, paragraph_index, x, count(*) AS n, min(i) AS pos FROM u WHERE x IN {_in(FUNCTION_WORDS)} GROUP BY doc_id, paragraph_index, x QUALIFY row_number() OVER (PARTITION BY doc_id, paragraph_index ORDER BY n DESC, pos) <= 5),
+fj AS (SELECT doc_id, paragraph_index, string_agg(x || ':' || n, ',' ORDER BY n DESC, pos) AS top_function_words FROM fw GROUP BY ALL)
+SELECT m.doc_id, m.paragraph_index, n_alpha::INT AS word_count, n_s_raw::INT AS sentence_count, uniq::INT AS unique_words, {", ".join(f"coalesce({n}, 0)::INT AS {n}" for n in features.TAGS)}, coalesce(top_function_words, '') AS top_function_words, {_ROUNDED}
+FROM (SELECT *, n_s AS n_s_raw FROM m) m JOIN pf USING (doc_id, paragraph_index) LEFT JOIN tg USING (doc_id, paragraph_index) LEFT JOIN fj USING (doc_id, paragraph_index)""")
+def paragraph_summary(spark, d):
+    rows = features.summary(paragraphs(spark, d))
+    return rows.select(*(c for c in rows.columns if c not in ("features", "top_function_words")), F.array_join("top_function_words", ",").alias("top_function_words"), *(F.get("features", i).alias(f) for i, f in enumerate(FEATURES)))
 
 
 @query(f"WITH {F1}, {MEASURES}, {PROFILE} SELECT doc_id, paragraph_index, is_valid, num_sentences, {_ROUNDED} FROM pf")
@@ -178,7 +209,7 @@ def feature_profiles(spark, d):
     return features.profiles(paragraphs(spark, d))
 
 
-@query(f"WITH {F1}, {MEASURES}, {PROFILE} SELECT doc_id, paragraph_index, round(yules_k, 4) AS x, round(avg_sentence_length, 4) AS y, round(pronoun_ratio, 4) AS pronoun, round(preposition_ratio, 4) AS preposition, round(conjunction_ratio, 4) AS conjunction FROM pf WHERE is_valid")
+@query(f"WITH {F1}, {MEASURES}, {PROFILE} SELECT doc_id, paragraph_index, {R('yules_k', 4)} AS x, {R('avg_sentence_length', 4)} AS y, {R('pronoun_ratio', 4)} AS pronoun, {R('preposition_ratio', 4)} AS preposition, {R('conjunction_ratio', 4)} AS conjunction FROM pf WHERE is_valid")
 def chart_series(spark, d):
     rows = features.profiles(paragraphs(spark, d)).filter("is_valid")
     return rows.select("doc_id", "paragraph_index", F.col("yules_k").alias("x"), F.col("avg_sentence_length").alias("y"), F.col("pronoun_ratio").alias("pronoun"), F.col("preposition_ratio").alias("preposition"), F.col("conjunction_ratio").alias("conjunction"))
@@ -263,12 +294,12 @@ def estimated_authors(spark, d):
     return clustering.summary(_labelled(spark, d)).select("doc_id", "estimated_authors", "anomaly_count")
 
 
-@query(f"WITH {SUMMARY} SELECT doc_id, round(noise, 4) AS noise_percentage, noise > 0.9 AS noise_override FROM sm")
+@query(f"WITH {SUMMARY} SELECT doc_id, {R('noise', 4)} AS noise_percentage, noise > 0.9 AS noise_override FROM sm")
 def noise_ratio(spark, d):
     return clustering.summary(_labelled(spark, d)).select("doc_id", "noise_percentage", "noise_override")
 
 
-@query(f"WITH {SUMMARY} SELECT doc_id, round(greatest(0.1, least(1.0, sure * greatest(0.0, 1 - 2 * noise) * CASE WHEN estimated_authors BETWEEN 1 AND 5 THEN 1.0 ELSE 0.7 END)), 4)::DOUBLE AS confidence FROM sm")
+@query(f"WITH {SUMMARY} SELECT doc_id, {R('greatest(0.1::DOUBLE, least(1.0::DOUBLE, sure * greatest(0.0::DOUBLE, 1 - 2 * noise) * CASE WHEN estimated_authors BETWEEN 1 AND 5 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END))', 4)} AS confidence FROM sm")
 def cluster_confidence(spark, d):
     return clustering.summary(_labelled(spark, d)).select("doc_id", "confidence")
 
@@ -279,9 +310,25 @@ def cluster_labels(spark, d):
     return clustering.enrich(paragraphs(spark, d), labelled.filter("paragraph_index % 9 <> 8").select("doc_id", "paragraph_index", "cluster_id")).select("doc_id", "paragraph_index", "cluster_id", "is_anomaly", "cluster_label")
 
 
-@query(f"WITH {L}, u AS (SELECT DISTINCT doc_id, cluster_id FROM lb WHERE cluster_id <> -1) SELECT doc_id, cluster_id, round((dense_rank() OVER (PARTITION BY doc_id ORDER BY cluster_id) - 1) * 360.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) + 220, 6) % 360 AS hue FROM u")
+@query(f"WITH {L} SELECT doc_id, paragraph_index FROM lb WHERE cluster_id = 2")
+def cluster_filter(spark, d):
+    return clustering.highlighted(_labelled(spark, d), 2).select("doc_id", "paragraph_index")
+
+
+@query(f"""WITH {SUMMARY}, o AS (SELECT *, lag(cluster_id) OVER (PARTITION BY doc_id ORDER BY paragraph_index) AS f FROM lb),
+g AS (SELECT doc_id, string_agg(cluster_id, ',' ORDER BY paragraph_index) AS clusters, coalesce(string_agg(CASE WHEN cluster_id = -1 THEN paragraph_index END, ',' ORDER BY paragraph_index), '') AS anomaly_indices,
+  coalesce(string_agg(CASE WHEN f <> cluster_id THEN (paragraph_index - 1) || ':' || f || ':' || cluster_id || ':' || (f = -1 OR cluster_id = -1) END, ',' ORDER BY paragraph_index), '') AS boundaries, count(*) FILTER (f <> cluster_id)::INT AS boundary_count, count(*) < 4 AS too_short FROM o GROUP BY doc_id)
+SELECT doc_id, clusters, estimated_authors, anomaly_indices, anomaly_count, boundaries, boundary_count, {R("noise", 4)} AS noise_percentage, noise > 0.9 AS noise_override, too_short FROM g JOIN sm USING (doc_id)""")
+def clusters_response(spark, d):
+    c = clustering.result(_labelled(spark, d).withColumn("outcome", F.lit("cluster"))).select("doc_id", "clustering.*").withColumn("noise_override", F.col("noise_percentage") > 0.9)
+    text = lambda array: F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
+    borders = F.array_join(F.transform("boundaries", lambda b: F.concat_ws(":", *(b[f].cast("string") for f in ("after_paragraph", "from_cluster", "to_cluster", "is_anomaly_transition")))), ",")
+    return c.select("doc_id", text("clusters").alias("clusters"), "estimated_authors", text("anomaly_indices").alias("anomaly_indices"), "anomaly_count", borders.alias("boundaries"), "boundary_count", "noise_percentage", "noise_override", "too_short")
+
+
+@query(f"WITH {L}, u AS (SELECT DISTINCT doc_id, cluster_id FROM lb WHERE cluster_id <> -1) SELECT doc_id, cluster_id, round((dense_rank() OVER (PARTITION BY doc_id ORDER BY cluster_id) - 1) * 360.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) + 220, 6) % 360 AS hue, round(cluster_id * 360.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) % 360, 6) AS app_hue FROM u")
 def cluster_colours(spark, d):
-    return clustering.colours(_labelled(spark, d)).withColumn("hue", F.round("hue", 6) % 360)
+    return clustering.colours(_labelled(spark, d)).withColumns({"hue": F.round("hue", 6) % 360, "app_hue": F.round("app_hue", 6)})
 
 
 @query(f"WITH {L} SELECT doc_id, count(DISTINCT cluster_id) AS cluster_count, count(*) FILTER (cluster_id = -1) AS anomaly_count FROM lb GROUP BY doc_id")
@@ -310,19 +357,21 @@ def _cited(spark, d) -> DataFrame:
     i, j = F.col("doc_id") + F.col("paragraph_index"), F.col("doc_id") * 3 + F.col("paragraph_index") + 1
     n1, n2 = F.element_at(names, (i % 5 + 1).cast("int")), F.element_at(names, (j % 5 + 1).cast("int"))
     y1, y2 = ((a + (F.col("doc_id") * b + F.col("paragraph_index") * c) % m).cast("string") for a, b, c, m in ((1950, 13, 7, 76), (1960, 5, 11, 60)))
-    made = F.concat(F.substring("text", 1, 100), F.lit(" ("), n1, F.lit(" and "), n2, F.lit(", "), y1, F.lit("; "), n2, F.lit(" et al., "), y2, F.lit(") while "), n1, F.lit(" ("), y2, F.lit(") and "), n1, F.lit(" ("), y2, F.lit(") and However ("), y1, F.lit(") agree."))
-    return _labelled(spark, d).withColumn("text", F.when(F.col("paragraph_index") % 3 == 0, F.substring("text", 1, 100)).otherwise(made))
+    nbsp = "\u00a0"
+    made = F.concat(F.col("text"), F.lit(" ("), n1, F.lit(" and "), n2, F.lit(", "), y1, F.lit("; "), n2, F.lit(" et al., "), y2, F.lit(") while "), n1, F.lit(" ("), y2, F.lit(") and "), n1, F.lit(" ("), y2, F.lit(") and However ("), y1, F.lit(") agree. Not so ( "), n1, F.lit(", "), y1, F.lit(" ) nor "), n2, F.lit(" ( "), y2, F.lit(" ), but ("), n2, F.lit(" , "), y1, F.lit(f") and {nbsp}"), n1, F.lit(f"{nbsp}and{nbsp}"), n2, F.lit(f"{nbsp}("), y2, F.lit(") are."))
+    return _labelled(spark, d).withColumn("text", F.when(F.col("paragraph_index") % 3 == 0, F.col("text")).otherwise(made))
 
 
 _LIST = "['" + "', '".join(_NAMES) + "']"
 CITED = f"""{L}, k AS (SELECT *, {_LIST}[(doc_id + paragraph_index) % 5 + 1] AS n1, {_LIST}[(doc_id * 3 + paragraph_index + 1) % 5 + 1] AS n2, (1950 + (doc_id * 13 + paragraph_index * 7) % 76)::VARCHAR AS y1, (1960 + (doc_id * 5 + paragraph_index * 11) % 60)::VARCHAR AS y2 FROM lb),
-ct AS (SELECT doc_id, paragraph_index, cluster_id, CASE WHEN paragraph_index % 3 = 0 THEN substr(text, 1, 100) ELSE substr(text, 1, 100) || ' (' || n1 || ' and ' || n2 || ', ' || y1 || '; ' || n2 || ' et al., ' || y2 || ') while ' || n1 || ' (' || y2 || ') and ' || n1 || ' (' || y2 || ') and However (' || y1 || ') agree.' END AS text FROM k)"""
+ct AS (SELECT doc_id, paragraph_index, cluster_id, CASE WHEN paragraph_index % 3 = 0 THEN text ELSE text || ' (' || n1 || ' and ' || n2 || ', ' || y1 || '; ' || n2 || ' et al., ' || y2 || ') while ' || n1 || ' (' || y2 || ') and ' || n1 || ' (' || y2 || ') and However (' || y1 || ') agree. Not so ( ' || n1 || ', ' || y1 || ' ) nor ' || n2 || ' ( ' || y2 || ' ), but (' || n2 || ' , ' || y1 || ') and ' || chr(160) || n1 || chr(160) || 'and' || chr(160) || n2 || chr(160) || '(' || y2 || ') are.' END AS text FROM k)"""
 _SUR = r"[A-Z][A-Za-z''’`-]+"
-_CITE = rf"{_SUR}(?:\s+(?:and|&)\s+{_SUR})?(?:\s+et\s+al\.?)?,\s*(?:19|20)\d{{2}}"
-_NARR = rf"{_SUR}(?:\s+(?:and|&)\s+{_SUR})?(?:\s+et\s+al\.?)?\s*\(\s*(?:19|20)\d{{2}}\s*\)"
-_TRUE = f"list_filter({{}}, lambda c: NOT lower(regexp_extract(c, '[A-Za-z]+')) IN {_in(NOT_AUTHORS)})"
-_PAR = _TRUE.format(rf"regexp_extract_all(text, '\(\s*{_CITE}(?:\s*;\s*{_CITE})*\s*\)')")
-_NAR = _TRUE.format(rf"regexp_extract_all(text, '(?:^|[^(\w])({_NARR})', 1)")
+_AUTHOR = rf"{_SUR}(?:{S}+(?:and|&){S}+{_SUR})?(?:{S}+et{S}+al\.?)?"
+_CITE = rf"{_AUTHOR}{S}*,{S}*(?:19|20)\d{{2}}"
+_NARR = rf"{_AUTHOR}{S}*\((?:19|20)\d{{2}}\)"
+_TRUE = _Pattern(f"list_filter({{}}, lambda c: NOT lower(regexp_extract(c, '[A-Za-z]+')) IN {_in(NOT_AUTHORS)})")
+_PAR = _TRUE.format(rf"regexp_extract_all(text, '\({_CITE}(?:{S}*;{S}*{_CITE})*\)')")
+_NAR = _TRUE.format(rf"regexp_extract_all(text, '(?:^|[^(\p{{L}}\p{{N}}_])({_NARR})', 1)")
 YEARS = f"""{CITED}, c0 AS (SELECT *, {_PAR} AS pa, {_NAR} AS na FROM ct), c1 AS (SELECT doc_id, paragraph_index, cluster_id, text, list_concat(pa, list_filter(list_transform(range(1, len(na) + 1), lambda i: CASE WHEN list_position(na, na[i]) = i AND NOT list_contains(pa, na[i]) THEN na[i] END), lambda c: c IS NOT NULL)) AS cites FROM c0),
 c2 AS (SELECT *, list_filter(list_transform(flatten(list_transform(cites, lambda c: regexp_extract_all(c, '(?:19|20)\\d{{2}}'))), lambda y: y::INT), lambda y: y BETWEEN 1900 AND 2030) AS years FROM c1)""".replace("\\\\d", "\\d")
 
@@ -363,13 +412,25 @@ def temporal_anomalies(spark, d):
     return citations.temporal_anomalies(citations.extract(_cited(spark, d)))
 
 
-@query(f"""WITH {YEARS}, de AS (SELECT doc_id, cluster_id, round(len(cites) * 100.0::DOUBLE / greatest(len({WORDS.format("text")}), 1) + 1e-9::DOUBLE, 4) AS dn FROM c2),
-dd AS (SELECT doc_id, coalesce(round(avg(dn) FILTER (cluster_id <> -1) + 1e-9::DOUBLE, 4), 0) AS core_density, coalesce(round(avg(dn) FILTER (cluster_id = -1) + 1e-9::DOUBLE, 4), 0) AS noise_density FROM de GROUP BY doc_id)
-SELECT *, CASE WHEN core_density <> 0 THEN round(noise_density / greatest(core_density, 0.001) + 1e-9::DOUBLE, 2) END AS density_ratio FROM dd""")
+@query(f"""WITH {BASE}, mm AS (SELECT c2.doc_id, paragraph_index, cluster_id, round_even(list_aggregate(years, 'median'), 0)::INT AS median_year, core_median FROM c2 JOIN bl ON c2.doc_id = bl.doc_id)
+SELECT doc_id, paragraph_index, median_year, core_median AS baseline_year, abs(median_year - core_median) AS year_difference, cluster_id, CASE WHEN abs(median_year - core_median) > 20 THEN 'high' WHEN abs(median_year - core_median) > 10 THEN 'medium' ELSE 'low' END AS severity FROM mm WHERE abs(median_year - core_median) > 10""")
+def anomaly_query(spark, d):
+    return citations.anomaly_query(_cited(spark, d))
+
+
+@query(f"""WITH {YEARS}, de AS (SELECT doc_id, cluster_id, len(cites)::DOUBLE / greatest(len({WORDS.format("text")}), 1) * 100 AS dn FROM c2),
+dd AS (SELECT doc_id, coalesce({R("avg(dn) FILTER (cluster_id <> -1)", 4)}, 0) AS core_density, coalesce({R("avg(dn) FILTER (cluster_id = -1)", 4)}, 0) AS noise_density FROM de GROUP BY doc_id)
+SELECT *, CASE WHEN core_density <> 0 THEN {R("noise_density / greatest(core_density, 0.001)", 2)} END AS density_ratio FROM dd""")
 def citation_density(spark, d):
     return citations.densities(citations.extract(_cited(spark, d)))
 
 
+@query(f"WITH {YEARS} SELECT doc_id, paragraph_index, {R('len(cites)::DOUBLE / greatest(len(' + WORDS.format('text') + '), 1) * 100', 4)} AS citation_density FROM c2 WHERE len(cites) > 0")
+def citing_paragraphs(spark, d):
+    rows = citations.with_citations(citations.extract(_cited(spark, d)))
+    return rows.select("doc_id", "paragraph_index", N.round_even(citations.density(), 4).alias("citation_density"))
+
+
 @query(f"WITH {YEARS} SELECT doc_id, sum(len(cites))::BIGINT AS total_citations, array_to_string(list_sort(list_distinct(flatten(list(years)))), ',') AS unique_years FROM c2 GROUP BY doc_id")
 def citation_totals(spark, d):
     rows = citations.totals(citations.extract(_cited(spark, d)))
@@ -400,18 +461,24 @@ def reference_verification(spark, d):
     return citations.verify(refs, registry)
 
 
+@query(f"""WITH {REFERENCES}, rg AS (SELECT lower(substr(ref_text, 1, 150)) AS ref_key, ((doc_id + ref_index) % 80)::DOUBLE AS score FROM rf WHERE (doc_id + ref_index) % 2 = 0),
+q AS (SELECT doc_id, lower(substr(ref_text, 1, 150)) AS ref_key FROM rf WHERE ref_index < 5 AND length(ref_text) > 15)
+SELECT doc_id, count(*) AS n_verified, count(*) FILTER (NOT coalesce(score > 35, true)) AS hallucination_count FROM q LEFT JOIN rg USING (ref_key) GROUP BY doc_id""")
+def hallucinations(spark, d):
+    return citations.hallucinations(reference_verification(spark, d))
+
+
 # --- sources
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-MATCHES = f"""mt AS (SELECT a.vec_id AS query_id, b.vec_id AS source_id, {COS} AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, source_id) AS rank FROM mt)"""
+MATCHES = f"""mt AS (SELECT a.vec_id AS query_id, b.vec_id AS source_id, {COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, source_id) AS rank FROM mt)"""
 
 
 def _matches(spark, d, k: int) -> DataFrame:
-    """Every tenth vector is a paragraph's, the others are sources'; they meet by label, as by a search's keywords."""
+    """Every vector whose id is divisible by 50, against all others."""
     e = table(spark, d, "embeddings")
-    queries = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
-    return sources.matches(queries, e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("source_id"), "label", F.col("embedding").alias("source_vector")), "label", k)
+    return sources.nearest(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vector")), k)
 
 
 @query(f"WITH {MATCHES} SELECT query_id, source_id, round(similarity, 6) AS similarity, rank FROM rk WHERE rank <= 3")
@@ -430,19 +497,20 @@ def similarity_boost(spark, d):
     return sources.accept(best).select("query_id", "source_id", F.round("similarity", 6).alias("similarity"), "is_exact")
 
 
-@query(f"WITH {P} SELECT p.doc_id, paragraph_index, contains(lower(d.text), lower(p.text)) AS in_abstract, contains(lower(substr(d.text, 1, 120)), lower(p.text)) AS in_title FROM p JOIN documents d USING (doc_id)")
+@query(f"WITH {P}, w AS (SELECT item_id AS source_id, 'before ' || text || ' after' AS body FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 50 = 0) SELECT p.doc_id, paragraph_index, source_id FROM p JOIN w ON contains(lower(body), lower(p.text))")
 def exact_containment(spark, d):
-    whole = documents(spark, d).select("doc_id", F.col("text").alias("abstract"))
-    low = F.lower(T.strip("text"))
-    return paragraphs(spark, d).join(whole, "doc_id").select("doc_id", "paragraph_index", F.contains(F.lower("abstract"), low).alias("in_abstract"), F.contains(F.lower(F.substring("abstract", 1, 120)), low).alias("in_title"))
+    """Paragraphs that stand whole in a benchmark text or in a document whose id is divisible by 50."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("source_id"), F.concat(F.lit("before "), F.col("text"), F.lit(" after")).alias("body"))
+    some = documents(spark, d).filter("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("source_id"), F.col("text").alias("body"))
+    return sources.containing(paragraphs(spark, d), b.unionByName(some))
 
 
-@query(rf"""WITH w AS (SELECT doc_id, {WORDS.format("text")}[1:30] AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS text FROM w WHERE len(w) > 0""")
+@query(f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS text FROM w WHERE len(w) > 0")
 def inverted_index_rebuild(spark, d):
-    """The first words of each text, through a map from word to positions and back."""
-    w = documents(spark, d).select("doc_id", F.slice(T.words("text"), 1, 30).alias("_w")).filter("size(_w) > 0")
-    entries = F.transform(F.array_distinct("_w"), lambda x: F.struct(x.alias("key"), F.filter(F.transform("_w", lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull()).alias("value")))
-    return w.withColumn("_index", F.map_from_entries(entries)).select("doc_id", N.inverted_index_text(F.col("_index"), F.lit("")).alias("text"))
+    """The words of each text, through a map from word to positions and back."""
+    places = documents(spark, d).select("doc_id", F.posexplode(T.words("text")).alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("at"))
+    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("_index"))
+    return index.select("doc_id", N.inverted_index_text(F.col("_index"), F.lit("")).alias("text"))
 
 
 @query(f"WITH {L}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, paragraph_index) AS rank FROM lb WHERE cluster_id = -1) SELECT doc_id, paragraph_index, rank FROM r WHERE rank <= 3 AND len({WORDS.format('text')}) >= 10")
@@ -598,7 +666,7 @@ def json_response(spark, d):
 
 @query()
 def hdbscan_labels(spark, d):
-    return clustering.label(features.measured(paragraphs(spark, d))).withColumn("probability", F.round("probability", 6))
+    return clustering.label(features.measured(paragraphs(spark, d)).drop("text")).withColumn("probability", F.round("probability", 6))
 
 
 @query()
@@ -615,14 +683,52 @@ def pca_project(spark, d):
 
 @query()
 def full_analyze(spark, d):
-    return analyze(documents(spark, d))["report"].select("doc_id", "integrity_score", "verdict", "estimated_authors", "anomaly_count", "noise", "confidence", "boundary_count", "executive_summary")
+    told = analyze(ingest.spread(documents(spark, d)))["report"]
+    return told.select("doc_id", "status", "integrity_score", "verdict", "estimated_authors", "anomaly_count", "noise", "confidence", "boundary_count", "noise_override", "executive_summary", "conclusion")
+
+
+@query()
+def noise_override(spark, d):
+    """Documents that the kernel found to be almost all noise, with the warning that says so."""
+    a = analyze(ingest.spread(documents(spark, d)))
+    return a["warnings"].filter("stage = 'cluster'").select("doc_id", "code", "severity")
+
+
+@query(f"""WITH {P}, n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), c AS (SELECT doc_id, {STRIP.format("text")} AS t FROM documents)
+SELECT doc_id, CASE WHEN n > 0 OR length(t) >= 80 THEN 'success' ELSE 'error' END AS status, CASE WHEN n > 0 THEN 'lines' WHEN length(t) >= 80 THEN 'pages' WHEN length(t) > 0 THEN 'raw_chunk' ELSE 'none' END AS extraction_method, CASE WHEN n > 0 THEN n WHEN length(t) >= 80 THEN 1 ELSE 0 END AS n_paragraphs FROM c LEFT JOIN n USING (doc_id)""")
+def analyze_status(spark, d):
+    return analyze(ingest.spread(documents(spark, d)))["report"].select("doc_id", "status", "extraction_method", "n_paragraphs")
+
+
+#: What analyze() makes of given labels: the paragraphs of texts that have lines, the one page of the others.
+GIVEN = rf"""{P}, pg AS (SELECT * FROM p UNION ALL SELECT doc_id, 0, {STRIP.format(rf"regexp_replace(regexp_replace(regexp_replace(text, '-[ \t]*\n[ \t]*', '', 'g'), '-{S}+', '', 'g'), '{S}+', ' ', 'g')")} FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p) AND length({STRIP.format("text")}) >= 80)"""
+GIVEN_LABELS = GIVEN + ", lb AS (SELECT *, ((doc_id * 7 + paragraph_index) % 5 - 1)::INT AS cluster_id, 0.5::DOUBLE + (paragraph_index % 5)::DOUBLE / 10 AS probability FROM pg)"
+_FROM_TEXT = F1.replace(P + ", ", "", 1).replace(" FROM p)", " FROM pg)")
+
+
+@query(rf"""WITH {GIVEN_LABELS}, {_FROM_TEXT}, {MEASURES}, {PROFILE}, {SUMMARY.replace(L + ", ", "", 1)},
+z AS (SELECT *, {_PAR} AS pa, {_NAR} AS na FROM lb), y0 AS (SELECT doc_id, paragraph_index, cluster_id, list_filter(list_transform(flatten(list_transform(list_concat(pa, list_filter(na, lambda n: NOT list_contains(pa, n))), lambda c: regexp_extract_all(c, '(?:19|20)\d{{2}}'))), lambda q: q::INT), lambda q: q BETWEEN 1900 AND 2030) AS years FROM z),
+bs AS (SELECT doc_id, round_even(median(q) FILTER (cluster_id <> -1), 0) AS core FROM (SELECT doc_id, cluster_id, unnest(years) AS q FROM y0) GROUP BY doc_id),
+sv AS (SELECT doc_id, abs(round_even(list_aggregate(years, 'median'), 0) - core) AS gap FROM y0 JOIN bs USING (doc_id)),
+sq AS (SELECT doc_id, count(*) FILTER (gap > 10) AS late, count(*) FILTER (gap > 20) AS high FROM sv GROUP BY doc_id),
+bo AS (SELECT doc_id, count(*) FILTER (f <> cluster_id) AS n FROM (SELECT *, lag(cluster_id) OVER (PARTITION BY doc_id ORDER BY paragraph_index) AS f FROM lb) GROUP BY doc_id),
+bu AS (SELECT doc_id, count(*) AS n, avg(burstiness_score) AS m FROM pf WHERE num_sentences >= 2 GROUP BY doc_id),
+al AS (SELECT sm.doc_id, estimated_authors, anomaly_count, {R("noise", 4)} AS noise, coalesce(bo.n, 0) AS boundary_count, 8.0::DOUBLE * {R("noise", 4)} + 1.5::DOUBLE * greatest(estimated_authors - 1, 0) + CASE WHEN coalesce(bu.n, 0) >= 3 AND bu.m < 0.3 THEN 6.0::DOUBLE ELSE 0 END + least(0.5::DOUBLE * anomaly_count, 3.0::DOUBLE)
+  + CASE WHEN bo.n > 2 THEN least(0.3::DOUBLE * (bo.n - 2), 1.5::DOUBLE) ELSE 0 END + 1.5::DOUBLE * coalesce(high, 0) + 0.8::DOUBLE * (coalesce(late, 0) - coalesce(high, 0)) + 0.3::DOUBLE * coalesce(late, 0) AS off FROM sm LEFT JOIN bo USING (doc_id) LEFT JOIN bu USING (doc_id) LEFT JOIN sq USING (doc_id)),
+sc AS (SELECT *, greatest(0.0, least(10.0, {R("10.0::DOUBLE - off", 1)}))::DOUBLE AS score FROM al)
+SELECT doc_id, score AS integrity_score, CASE WHEN score < 4.0 THEN 'Highly Plagiarized' WHEN score < 7.5 THEN 'Suspicious' WHEN score IS NOT NULL THEN 'Clean' END AS verdict, estimated_authors, anomaly_count, noise, boundary_count::INT AS boundary_count FROM (SELECT doc_id FROM documents) LEFT JOIN sc USING (doc_id)""")
+def analyze_given_labels(spark, d):
+    """The whole report where labels are given, so that SQL can follow it."""
+    docs = ingest.spread(documents(spark, d))
+    whole = analyze(docs)["paragraphs"].select("doc_id", "paragraph_index", ((F.col("doc_id") * 7 + F.col("paragraph_index")) % 5 - 1).cast("int").alias("cluster_id"), (F.lit(0.5) + (F.col("paragraph_index") % 5) / 10).alias("probability"))
+    report_rows = analyze(docs, inputs=Inputs(labels=whole))["report"]
+    return report_rows.select("doc_id", "integrity_score", "verdict", "estimated_authors", "anomaly_count", "noise", "boundary_count")
 
 
 #: Columns that are INT here and BIGINT in DuckDB.
 _NARROW = {
-    "paragraph_index": [n for n in QUERIES if n in ("paragraph_scan", "fixed_chunk_fallback", "reference_antijoin", "sentence_lengths", "burstiness", "avg_word_length", "yules_k", "paragraph_summary", "pos_ratios", "passive_voice", "feature_profiles", "chart_series", "top_function_words", "keyword_topk", "triplet_overlap", "cluster_labels", "citations_parenthetical", "citations_narrative", "citation_union", "median_year", "temporal_anomalies", "exact_containment", "anomaly_topk", "first_anomaly")],
+    "paragraph_index": [n for n in QUERIES if n in ("paragraph_scan", "fixed_chunk_fallback", "reference_antijoin", "sentence_lengths", "burstiness", "avg_word_length", "yules_k", "paragraph_summary", "pos_ratios", "passive_voice", "feature_profiles", "chart_series", "top_function_words", "keyword_topk", "triplet_overlap", "cluster_labels", "citations_parenthetical", "citations_narrative", "citation_union", "median_year", "temporal_anomalies", "exact_containment", "anomaly_topk", "first_anomaly", "cluster_filter", "citing_paragraphs", "anomaly_query")],
     "line_no": ["bibliography_section"],
-    **{c: ["paragraph_summary"] for c in ("conjunctions", "prepositions", "pronouns", "sentence_count", "unique_words", "word_count")},
     "overlap": ["triplet_overlap"],
     "rank": ["top_function_words", "cosine_topk", "anomaly_topk"],
     "n": ["top_function_words"],

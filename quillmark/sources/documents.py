@@ -19,6 +19,24 @@ def rejected(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Data
     return files.filter(~F.col("length").between(1, max_bytes)).select("path", "length", F.when(F.col("length") == 0, "pdf_empty_file").otherwise("pdf_too_large").alias("code"))
 
 
+def page_count(content: str = "content"):
+    """Pages of a PDF by its page objects in the clear; 0 where none is found or the file is no PDF. No decoder is needed."""
+    raw = F.decode(F.col(content), "ISO-8859-1")
+    return F.coalesce(F.when(F.startswith(raw, F.lit("%PDF")), F.regexp_count(raw, F.lit(r"/Type\s*/Page(?![A-Za-z])"))), F.lit(0))
+
+
+def metadata(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(filename, size, page_count) of uploads()."""
+    name = F.regexp_extract("path", r"[^/]*$", 0)
+    return uploads(spark, path, max_bytes).select(name.alias("filename"), F.col("length").alias("size"), page_count().alias("page_count"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(doc_id, text, size, page_count) of uploads(), as analyze() reads them: an unreadable file has no text, and no pages unless its page objects tell."""
+    told = decode(files).select("path", "text", F.col("page_count").alias("_pages"))
+    return files.select("path", "length", page_count().alias("_objects")).join(told, "path").select(F.col("path").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("length").alias("size"), F.greatest("_pages", "_objects").alias("page_count"))
+
+
 def accepted(name: str, content_type: str):
     """An upload counts as PDF by its type or by its name."""
     return (F.col(content_type) == "application/pdf") | F.lower(name).endswith(".pdf")

@@ -20,3 +20,57 @@ def requests(boundaries: DataFrame, anomalies: DataFrame, first: int = 3) -> Dat
 def answers(asked: DataFrame, provider: DataFrame | None = None) -> DataFrame:
     """asked with the provider's answer(doc_id, kind, key, answer), null without a provider."""
     return asked.join(provider, ["doc_id", "kind", "key"], "left") if provider is not None else asked.withColumn("answer", F.lit(None).cast("string"))
+
+
+# What an answer says where a call failed.
+FAILED, TIMED_OUT = "AI reasoning failed", "AI reasoning timed out"
+
+
+def outcome(answered: DataFrame) -> DataFrame:
+    """(doc_id, explanation_count, explanations, n_failed, n_timeouts) of answers(): a null answer is a failed call."""
+    boundary, text = F.col("kind") == "boundary", F.coalesce("answer", F.lit(FAILED))
+    late = F.startswith(text, F.lit(TIMED_OUT))
+    return answered.groupBy("doc_id").agg(
+        F.count_if(boundary).alias("explanation_count"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(boundary, F.struct("key", text.alias("answer"))))), lambda x: x["answer"]), "\n").alias("explanations"),
+        F.count_if(F.startswith(text, F.lit(FAILED)) & ~late).alias("n_failed"),
+        F.count_if(late).alias("n_timeouts"),
+    )
+
+
+def retried(ask, attempts: int = 2, first_wait: float = 2.0, sleep=None):
+    """ask(prompt) tried again after errors, with doubled waits; the last error's name becomes the answer. For a provider's own pandas function."""
+    import time
+
+    def call(prompt: str) -> str:
+        for turn in range(attempts + 1):
+            try:
+                return ask(prompt)
+            except TimeoutError:
+                error = TIMED_OUT
+            except Exception as e:  # noqa: BLE001  a failed call is an answer
+                error = f"{FAILED}: {e}"
+            if turn < attempts:
+                (sleep or time.sleep)(first_wait * 2**turn)
+        return error
+
+    return call
+
+
+#: Templates of prompts; {{a}} and {{b}} are paragraphs, {{evidence}} is JSON.
+PROMPTS = {
+    "profile": "Describe the writing style of this paragraph in two or three sentences: tone, sentence structure, vocabulary.\n\n{{a}}",
+    "boundary": 'Compare the styles of two neighbouring paragraphs and say what changes between them. Answer as JSON: {"explanation": "..."}.\n\nFirst:\n{{a}}\n\nSecond:\n{{b}}',
+    "report": 'Judge the integrity of a document from this evidence. Answer as JSON with "integrity_score" (0 to 10), "verdict", "executive_summary", "evidence_breakdown" and "conclusion".\n\n{{evidence}}',
+    "citations": "Explain what the years of these citations say about the origin of the passage.\n\n{{a}}",
+}
+
+
+def prompts(asked: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """requests() with their prompts: the paragraph of a profile, both paragraphs of a boundary."""
+    at = asked.withColumn("_first", F.regexp_extract("key", r"^\d+", 0).cast("int"))
+    first = paragraphs.select("doc_id", F.col("paragraph_index").alias("_first"), F.col("text").alias("_a"))
+    second = paragraphs.select("doc_id", (F.col("paragraph_index") - 1).alias("_first"), F.col("text").alias("_b"))
+    both = at.join(first, ["doc_id", "_first"]).join(second, ["doc_id", "_first"], "left")
+    filled = F.replace(F.replace(F.when(F.col("kind") == "boundary", PROMPTS["boundary"]).otherwise(PROMPTS["profile"]), F.lit("{{b}}"), F.coalesce("_b", F.lit(""))), F.lit("{{a}}"), F.col("_a"))
+    return both.select("doc_id", "kind", "key", filled.alias("prompt"))
