@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import secret_scan
 from .quality_rules import REACH, RULES
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -94,4 +95,30 @@ q AS (SELECT page_id, coalesce(url, '') AS url, strlen(html)::BIGINT AS n, array
 SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = one THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> one THEN one END AS refers_to, url FROM q
 """
 
-SQL = {"op3_warc_index": OP3, "op9_stupid_backoff": OP9, "op1_mix_sources": OP1, "op2_quality_rules": _rules(), "op10_decontaminate": OP10}
+def _secrets() -> str:
+    """Windows are counted anew here, each by itself."""
+    kinds = [(i, kind, pattern, group, least) for i, (kind, (pattern, group, least)) in enumerate(secret_scan.BASE.items())] + [(3, secret_scan.ENTROPY, secret_scan.CANDIDATE, 0, secret_scan.LEAST)]
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    cut = " UNION ALL ".join(f"SELECT r, {i} AS no, '{kind}' AS kind, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS found FROM d WHERE regexp_matches(t, {quoted(p)})" for i, kind, p, _, _ in kinds)
+    long = " OR ".join(f"no = {i} AND length(regexp_extract(m, {quoted(p)}, {group})) >= {least}" for i, _, p, group, least in kinds[:3])
+    known = " OR ".join([f"NOT regexp_matches(m, {quoted(secret_scan.PUT_TOGETHER)})", *(f"regexp_matches(m, {quoted(p)})" for p in secret_scan.ALLOWED)])
+    w, most = secret_scan.WINDOW, secret_scan.MOST
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+c AS ({cut}),
+m AS (SELECT r, no, kind, i, found[i] AS m, length(gaps[i]) AS gap FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM c)),
+p AS (SELECT r, no, kind, m, sum(gap + length(m)) OVER (PARTITION BY r, no ORDER BY i) - length(m) AS a FROM m),
+b AS (SELECT r, no, kind, a::BIGINT AS a, (a + length(m))::BIGINT AS e FROM p WHERE {long}),
+k AS (SELECT r, a, m, row_number() OVER () AS nth FROM p WHERE no = 3 AND NOT ({known})),
+s AS (SELECT nth, r, a, j, substr(m, j + 1, {w}) AS x FROM (SELECT *, unnest(range(0, length(m) - {w - 1})) AS j FROM k)),
+u AS (SELECT *, list_sum(list_transform(list_distinct(string_split(x, '')), lambda y: {secret_scan.TERMS}[1 + length(x) - length(replace(x, y, ''))])) AS h, regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]') AS two FROM s),
+hit AS (SELECT * FROM u WHERE h <= CASE WHEN two AND regexp_full_match(x, '[0-9A-Fa-f]+') THEN {most["hexadecimal"]} WHEN two THEN {most["mixed"]} WHEN regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') THEN {most["letters"]} ELSE -1 END),
+isle AS (SELECT *, sum(new) OVER (PARTITION BY nth ORDER BY j) AS isle FROM (SELECT *, CASE WHEN j - lag(j) OVER (PARTITION BY nth ORDER BY j) <= {w} THEN 0 ELSE 1 END AS new FROM hit)),
+e AS (SELECT r, 3 AS no, '{secret_scan.ENTROPY}' AS kind, (any_value(a) + min(j))::BIGINT AS a, (any_value(a) + max(j) + {w})::BIGINT AS e FROM isle GROUP BY r, nth, isle),
+al AS (SELECT *, kind || ':' || a || ':' || e AS told FROM (FROM b UNION ALL FROM e)),
+g AS (SELECT r, count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2, string_agg(told, ',' ORDER BY a, no) FILTER (no < 3) AS base, string_agg(told, ',' ORDER BY a, no) AS spans FROM al GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+SQL = {"op3_warc_index": OP3, "op9_stupid_backoff": OP9, "op1_mix_sources": OP1, "op2_quality_rules": _rules(), "op10_decontaminate": OP10, "op11_secret_scan": _secrets()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm_score, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, toxicity, warc
+from . import decontaminate, html_text, lm_score, mixing, near_dedup, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,4 +57,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_warc_index, op4_toxicity, op5_html_text, op6_suffix_dedup, op7_quality_model, op8_near_dedup, op9_stupid_backoff, op10_decontaminate)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    of = lambda no: F.size(F.filter("base", lambda s: s["no"] == no)).cast("long")
+    counts = (of(i).alias(f"n_{kind}") for i, kind in enumerate(secret_scan.BASE))
+    return found.select("doc_id", *counts, F.sha2(secret_scan.told("base").cast("binary"), 256).alias("base_sha256"), secret_scan.told("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_warc_index, op4_toxicity, op5_html_text, op6_suffix_dedup, op7_quality_model, op8_near_dedup, op9_stupid_backoff, op10_decontaminate, op11_secret_scan)}
