@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm_score, mixing, near_dedup, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity, warc
+from . import decontaminate, html_text, lm_score, mixing, near_dedup, periodic_runs, quality_model, quality_rules, runtime, secret_scan, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +64,28 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.told("base").cast("binary"), 256).alias("base_sha256"), secret_scan.told("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_warc_index, op4_toxicity, op5_html_text, op6_suffix_dedup, op7_quality_model, op8_near_dedup, op9_stupid_backoff, op10_decontaminate, op11_secret_scan)}
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The texts of the contract: where h = crc32(doc_id) has h % 10 = 0, with g = h div 10 and n words, words from a = g % n on repeat with p = 1 + (n - a) div (3 + g % 8). A null doc_id has no h."""
+    h, g = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.expr("_h div 10")
+    word = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(runtime.WORD), F.lit(0))
+
+    def looped(words):
+        n = F.size(words)
+        a = F.pmod(g, n.cast("long"))
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8).cast("long"))))
+        at = lambda i: F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, at(i).cast("int"))), " ")
+
+    new = F.element_at(F.transform(F.array(word), lambda w: F.when(F.size(w) > 0, looped(w)).otherwise("")), 1)
+    return docs.select("doc_id", "text", h.alias("_h")).select("doc_id", F.when(F.col("_h") % 10 == 0, new).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(with_planted_runs(_table(spark, sf_dir, "documents"))).withColumn("_top", periodic_runs.strongest("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    top = [F.col(f"_top.{c}").alias(c) for c in ("start", "length", "period")]
+    digests = (F.sha2(c.cast("binary"), 256).alias(n) for n, c in (("runs_sha256", lines), ("collapsed_sha256", F.col("collapsed"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *top, F.expr("1000 * _top.length div _top.period").alias("exponent_milli"), *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_warc_index, op4_toxicity, op5_html_text, op6_suffix_dedup, op7_quality_model, op8_near_dedup, op9_stupid_backoff, op10_decontaminate, op11_secret_scan, op12_periodic_runs)}
