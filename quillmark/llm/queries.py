@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm_score, mixing, near_dedup, periodic_runs, quality_model, quality_rules, runtime, secret_scan, suffix_dedup, toxicity, warc
+from . import decontaminate, divergence, html_text, lm_score, mixing, near_dedup, periodic_runs, quality_model, quality_rules, runtime, secret_scan, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,4 +88,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *top, F.expr("1000 * _top.length div _top.period").alias("exponent_milli"), *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_warc_index, op4_toxicity, op5_html_text, op6_suffix_dedup, op7_quality_model, op8_near_dedup, op9_stupid_backoff, op10_decontaminate, op11_secret_scan, op12_periodic_runs)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_warc_index, op4_toxicity, op5_html_text, op6_suffix_dedup, op7_quality_model, op8_near_dedup, op9_stupid_backoff, op10_decontaminate, op11_secret_scan, op12_periodic_runs, op13_source_divergence)}
