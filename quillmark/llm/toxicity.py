@@ -4,11 +4,11 @@ Features are hashed n-grams of ORDERS code points with A-Z lowered, present or a
 labelled texts (those of least hash of their id, a documented bound), written once in PARTS parts. Each part counts its
 features; the counts, 2**BITS of each label, are summed and become log-count ratios; the features whose ratio is clear
 of its standard error are kept, and each part finds those in its texts. One task then fits a logistic regression on the
-scaled features: it holds the kept features of at most `rows` texts, no text. The weights, 2**BITS floats whatever the corpus, are sent to all tasks, which score whole texts.
+scaled features, a toxic text weighing as much as WEIGHT clean ones: it holds the kept features of at most `rows` texts, no text. The weights, 2**BITS floats whatever the corpus, are sent to all tasks, which score whole texts.
 
 Defined cases: null and empty texts score the intercept; very long texts are scored whole, in blocks of their own;
 labels that are null or not 0/1 are left out; of several labels of a document the larger one counts; every row of a
-repeated document is a text of the fit; repeated rows get equal scores; other columns of docs are ignored, whatever
+repeated document is a text of the fit; repeated rows get equal scores; a score of exactly 0.5 is predicted toxic; other columns of docs are ignored, whatever
 their names; with no label of either class every text scores the share of toxic labels, one half without labels; an
 empty table gives no rows.
 """
@@ -27,7 +27,9 @@ from .runtime import cut
 
 ORDERS, BITS = (4, 5, 6, 7, 8), 20
 #: Bound on the labelled texts of a fit, least texts with a feature, least distance of its ratio from 0 in standard errors.
-ROWS, LEAST, CLEAR = 16000, 4, 3.0
+ROWS, LEAST, CLEAR = 16000, 3, 2.75
+#: Weight of a toxic text of the fit beside a clean one's.
+WEIGHT = 2.0
 RIDGE, STEPS = 1e-4, 200
 #: Parts of the sample, each a task of the fit.
 PARTS = 16
@@ -100,12 +102,13 @@ def fit(y: np.ndarray, each: np.ndarray, col: np.ndarray, ratio: np.ndarray) ->
     f = (np.cumsum(used, dtype=np.int32) - 1)[col]
     ends, r = np.concatenate([[0], np.cumsum(each)]), ratio[kept]
     w, m, v = np.zeros(len(kept)), 0.0, 0.0
+    weight = np.where(y == 1, WEIGHT, 1.0) / len(y)
     for step in range(1, STEPS + 1):  # Adam on the whole sample
         g, gc, scaled = RIDGE * w, 0.0, r * w
         for i in range(0, len(y), PIECE):
             n, part = each[i : i + PIECE], f[ends[i] : ends[min(i + PIECE, len(y))]]
             of = np.repeat(np.arange(len(n)), n)
-            off = (1 / (1 + np.exp(-np.clip(np.bincount(of, scaled[part], len(n)) + c, -30, 30))) - y[i : i + PIECE]) / len(y)
+            off = (1 / (1 + np.exp(-np.clip(np.bincount(of, scaled[part], len(n)) + c, -30, 30))) - y[i : i + PIECE]) * weight[i : i + PIECE]
             g += r * np.bincount(part, off[of], len(w))
             gc += off.sum()
         g = np.append(g, gc)

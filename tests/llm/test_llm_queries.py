@@ -178,6 +178,47 @@ def test_toxicity_of_real_held_out_labels(spark):
     assert len(bad) > 90 and np.mean(bad) > 0.87 and np.mean(good) < 0.01
 
 
+def test_toxicity_against_a_dense_fit(spark):
+    """Sets of n-grams text by text, ratios by counting, and the same steps on a dense matrix."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(90):
+        words = ["".join(rng.choice(["ka", "Lo", "mié", "ter"], 2)) for _ in range(12)]
+        words[i % 12] = "Grumfok" if i % 3 == 0 else words[i % 12]
+        rows.append((i, " ".join(words), int(i % 3 == 0 and i % 15 != 0)))
+    rows.append((200, "ab", 0))
+    f = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+    def buckets(text):
+        low, out, wide = "".join(c.lower() if c.isascii() else c for c in text), set(), 1 << 32
+        for n in toxicity.ORDERS:
+            for at in range(len(low) - n + 1):
+                h = ord(low[at])
+                for c in low[at + 1 : at + n]:
+                    h = (h * 0x01000193 + ord(c)) % wide
+                x = (h * 0x9E3779B1 + n) % wide
+                out.add(((x ^ (x >> 15)) * 0x85EBCA6B % wide) >> (32 - toxicity.BITS))
+        return out
+
+    found, y = [buckets(t) for _, t, _ in rows], np.array([r[2] for r in rows], float)
+    ratio = {}
+    for b in set().union(*found):
+        bad, good = (1 + sum(b in s for s, k in zip(found, y, strict=True) if k == want) for want in (1, 0))
+        r = np.log(bad / (y.sum() + 2)) - np.log(good / (len(y) - y.sum() + 2))
+        if bad + good - 2 >= toxicity.LEAST and abs(r) > toxicity.CLEAR * np.sqrt(1 / bad + 1 / good):
+            ratio[b] = r
+    x = np.array([[ratio[b] * (b in s) for b in sorted(ratio)] for s in found])
+    w, c, m, v = np.zeros(x.shape[1]), toxicity.intercept(y), 0.0, 0.0
+    for step in range(1, toxicity.STEPS + 1):
+        off = (1 / (1 + np.exp(-(x @ w + c))) - y) * np.where(y == 1, toxicity.WEIGHT, 1) / len(y)
+        g = np.append(toxicity.RIDGE * w + x.T @ off, off.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, c = w - move[:-1], c - move[-1]
+    want = 1 / (1 + np.exp(-(x @ w + c)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(f, toxicity.train(f, f)).collect()}
+    assert len(ratio) > 5 and max(abs(got[r[0]] - p) for r, p in zip(rows, want, strict=True)) < 1e-3
+
+
 # --- 5
 
 PAGES = [
