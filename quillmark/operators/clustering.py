@@ -1,7 +1,7 @@
 """Per-document clustering results, and the kernel that makes them.
 
-Everything around the kernel is windows and aggregates by document. Documents that a guard already decides never
-reach Python.
+Everything around the kernel is windows and aggregates by document. One pass over a document's rows in Arrow applies
+the guards and, where none decides, the kernel.
 """
 
 from __future__ import annotations

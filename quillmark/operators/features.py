@@ -10,24 +10,33 @@ from pyspark.sql import functions as F
 from ..config import AUXILIARIES, CONJUNCTIONS, DEFAULT, DETERMINERS, FEATURES, FUNCTION_WORDS, PREPOSITIONS, PRONOUNS, Config
 from ..functions import numeric as N
 from ..functions import text as T
+from . import clauses, lemmas, sentences
+
+#: Tags of function words.
+FUNCTION_TAGS = ("ADP", "CCONJ", "SCONJ", "PRON", "POSS", "DET", "AUX")
 
 
 def annotate(paragraphs: DataFrame) -> DataFrame:
     """paragraphs with _words (lower-case alphabetic), _lengths (words by sentence) and _tokens."""
     split = paragraphs.withColumns({"_words": T.alpha_words("text"), "_sentences": T.sentences("text"), "_tokens": T.token_count("text")})
-    return split.withColumn("_lengths", F.transform("_sentences", lambda s: F.size(T.words(s)))).drop("_sentences")
+    lengths = sentences.lengths() if "sentence_ends" in paragraphs.columns else F.transform("_sentences", lambda s: F.size(T.words(s)))
+    return split.withColumn("_lengths", lengths).drop("_sentences")
 
 
 def measured(paragraphs: DataFrame, config: Config = DEFAULT, keep: bool = False) -> DataFrame:
-    """paragraphs with num_sentences, is_valid and the eight unrounded features (0 where a paragraph is too short)."""
+    """paragraphs with num_sentences, is_valid and the eight unrounded features (0 where a paragraph is too short).
+
+    Where paragraphs have tags (tagging.tag), word classes and passives are read from them; where they have sentence_ends
+    (sentences.boundaries), sentences are. Otherwise closed lists and patterns stand in.
+    """
     rows = paragraphs if "_words" in paragraphs.columns else annotate(paragraphs)
     n = F.greatest(F.size("_lengths"), F.lit(1))
-    factor = 2 if config.legacy_passive_twice else 1
+    factor, tagged = 2 if config.legacy_passive_twice else 1, "tags" in paragraphs.columns
     values = {
         "avg_sentence_length": N.mean("_lengths"),
         "avg_word_length": F.length(F.array_join("_words", "")) / F.greatest(F.size("_words"), F.lit(1)),
-        **T.pos_ratios("_words", F.col("_tokens")),
-        "passive_voice_pct": factor * F.regexp_count(F.lower("text"), F.lit(T.PASSIVE)) * 100.0 / n,
+        **(tag_ratios("tags") if tagged else T.pos_ratios("_words", F.col("_tokens"))),
+        "passive_voice_pct": (clauses.passives(clauses.clauses("tags")) if tagged else factor * F.regexp_count(F.lower("text"), F.lit(T.PASSIVE))) * 100.0 / n,
         "yules_k": N.yules_k("_words"),
         "burstiness_score": N.burstiness("_lengths"),
     }
@@ -70,7 +79,7 @@ def summary(paragraphs: DataFrame, tagger: Callable[[DataFrame], DataFrame] | No
 
 
 #: Name of a count to the tags that it counts.
-TAGS = {"nouns": ("NOUN", "PROPN"), "verbs": ("VERB", "AUX"), "adjectives": ("ADJ",), "adverbs": ("ADV",), "pronouns": ("PRON",), "prepositions": ("ADP",), "conjunctions": ("CCONJ", "SCONJ")}
+TAGS = {"nouns": ("NOUN", "PROPN"), "verbs": ("VERB", "AUX"), "adjectives": ("ADJ",), "adverbs": ("ADV",), "pronouns": ("PRON", "POSS"), "prepositions": ("ADP",), "conjunctions": ("CCONJ", "SCONJ")}
 
 
 def tag(word: Column) -> Column:
@@ -101,6 +110,32 @@ def keywords(paragraphs: DataFrame, k: int = 3) -> DataFrame:
     return rows.filter("_n >= 10 AND size(_k) > 0").select("doc_id", "paragraph_index", F.array_join("_k", " AND ").alias("query"))
 
 
+def tag_ratios(tags: str) -> dict[str, Column]:
+    """Shares of pronouns, prepositions and conjunctions among all tokens, by tags."""
+    share = lambda *names: F.size(F.filter(tags, lambda x: x["tag"].isin(*names))) / F.greatest(F.size(tags), F.lit(1))
+    return {"pronoun_ratio": share("PRON", "POSS"), "preposition_ratio": share("ADP"), "conjunction_ratio": share("CCONJ", "SCONJ")}
+
+
+def tag_summary(tagged: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, paragraph_index, counts of seven word classes, top_function_words) of tagged(tags), ties by first place."""
+    count = lambda names: F.size(F.filter("tags", lambda x: x["tag"].isin(*names)))
+    used = F.transform(F.filter("tags", lambda x: x["tag"].isin(*FUNCTION_TAGS) & x["word"].rlike(rf"^(?:{T.ALPHA})$")), lambda x: F.lower(x["word"]))
+    top = F.transform(_ranked(used, k), lambda b: F.concat_ws(":", b["word"], (-b["_n"]).cast("string")))
+    return tagged.select("doc_id", "paragraph_index", *(count(names).alias(n) for n, names in TAGS.items()), F.array_join(top, ",").alias("top_function_words"))
+
+
+def lemma_keywords(tagged: DataFrame, table: DataFrame, k: int = 3) -> DataFrame:
+    """(doc_id, paragraph_index, query): the longest distinct lemmas of nouns and adjectives that aren't function words, ties by alphabet; table: a lemmas.lemma_table().
+
+    Paragraphs of fewer than ten words have none.
+    """
+    wanted = F.filter("tags", lambda x: x["tag"].isin("NOUN", "ADJ") & x["word"].rlike(rf"^(?:{T.ALPHA})$") & ~F.lower(x["word"]).isin(*FUNCTION_WORDS))
+    words = F.array_distinct(F.transform(wanted, lambda x: F.struct(F.lower(x["word"]).alias("word"), x["tag"].alias("tag"))))
+    each = tagged.filter(T.word_count("text") >= 10).select("doc_id", "paragraph_index", F.explode(words).alias("x")).select("doc_id", "paragraph_index", "x.*")
+    found = lemmas.lemmatised(each, table).groupBy("doc_id", "paragraph_index").agg(F.collect_set(F.struct((-F.length("lemma")).alias("_n"), "lemma")).alias("_k"))
+    return found.select("doc_id", "paragraph_index", F.array_join(F.transform(F.slice(F.sort_array("_k"), 1, k), lambda x: x["lemma"]), " AND ").alias("query"))
+
+
 def triplet_array(text) -> Column:
     """Distinct runs of three content words, the stand-in for subject, verb and object without a parser."""
     content = F.filter(T.alpha_words(text), lambda w: ~w.isin(*FUNCTION_WORDS))

@@ -10,7 +10,8 @@ from ..functions import numeric as N
 
 # Sentences of the report.
 AI_ALERT = (" 🚨 CRITICAL AI ALERT: The document's 'Burstiness' curve (sentence-length variance) is artificially flat (", "). This is statistically a guaranteed signature of an AI/ChatGPT Generative Language Model!")
-ADVICE = "Add OPENAI_API_KEY for a comprehensive AI-powered forensic synthesis."
+# Own wording: what adds a written synthesis here is a table of answers (analyze's Inputs.answers), not a key of a vendor.
+ADVICE = "Add a reasoning table for a comprehensive AI-powered forensic synthesis."
 
 
 def _mean(array: str) -> Column:

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import numeric as N
 from ..functions import text as T
-from . import features
+from . import clauses, features, tagging
+from .language import Language
 
 #: Vectors of a block, of queries and of candidates.
 BLOCK = 4096
 #: Code points of a text by which texts that contain it are found.
 KEY = 40
+#: Neighbouring hashes of which one is kept.
+WINDOW = 24
+#: Of two sources that are equally similar the one of the earlier service counts.
+SERVICES = ("arxiv", "openalex")
 
 
 def longest_anomalies(labelled: DataFrame, first: int = 3) -> DataFrame:
@@ -71,14 +76,35 @@ def contains_exactly(text: str, abstract: str, title: str):
 def containing(paragraphs: DataFrame, texts: DataFrame, key: int = KEY) -> DataFrame:
     """(doc_id, paragraph_index, source_id) where the lower-cased text(source_id, body) contains the whole lower-cased paragraph.
 
-    An index of the texts' substrings of key code points, by hash, meets the paragraphs' first key code points; what
-    meets is compared whole. Paragraphs are longer than key.
+    Both sides are winnowed: of each WINDOW neighbouring hashes of KEY code points the least is kept, so a text that
+    contains a paragraph of KEY + WINDOW - 1 code points or more keeps a hash that the paragraph keeps. The index has
+    hashes and ids, some 2 / WINDOW of the text's length; bodies and paragraphs meet only where a hash does, once a
+    pair, and are then compared whole. Shorter paragraphs meet by their first KEY code points and all hashes. Paragraphs are longer than key.
     """
-    at = lambda i: F.xxhash64(F.substring("_body", i, F.lit(key)))
+    least = key + WINDOW - 1
     bodies = texts.select("source_id", F.lower("body").alias("_body")).filter(F.length("_body") >= key)
-    index = bodies.select("source_id", "_body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_body") - key + 1), at))).alias("_key"))
-    low = paragraphs.select("doc_id", "paragraph_index", F.lower(T.strip("text")).alias("_low")).withColumn("_key", F.xxhash64(F.substring("_low", 1, key)))
-    return low.join(index, "_key").filter(F.contains("_body", F.col("_low"))).select("doc_id", "paragraph_index", "source_id")
+    low = paragraphs.select("doc_id", "paragraph_index", F.lower(T.strip("text")).alias("_low"))
+    marks = low.filter(F.length("_low") >= least).select("doc_id", "paragraph_index", F.get(_winnowed("_low", key), F.lit(0)).alias("_key"))
+    index = bodies.filter(F.length("_body") >= least).select("source_id", F.explode(_winnowed("_body", key)).alias("_key"))
+    pairs = marks.join(index.hint("merge"), "_key").select("doc_id", "paragraph_index", "source_id")
+    short = low.filter(F.length("_low") < least).select("doc_id", "paragraph_index", F.xxhash64(F.substring("_low", 1, key)).alias("_key"))
+    if not short.isEmpty():
+        every = bodies.select("source_id", F.explode(F.array_distinct(_hashes("_body", key))).alias("_key"))
+        pairs = pairs.unionByName(short.join(every.hint("merge"), "_key").select("doc_id", "paragraph_index", "source_id"))
+    met = pairs.distinct().join(low, ["doc_id", "paragraph_index"]).join(bodies, "source_id")
+    return met.filter(F.contains("_body", F.col("_low"))).select("doc_id", "paragraph_index", "source_id")
+
+
+def _hashes(text: str, key: int, piece: int = 1000):
+    """Of every key code points of a text, by pieces, as a place in a text is found from its beginning."""
+    pieces = F.transform(F.sequence(F.lit(0), F.length(text) - key, F.lit(piece)), lambda i: F.substring(text, i + 1, F.lit(piece + key - 1)))
+    return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - key + 1), lambda i: F.xxhash64(F.substring(p, i, F.lit(key))))))
+
+
+def _winnowed(text: str, key: int):
+    """The kept hashes of a text of key + WINDOW - 1 code points or more, each once, in order of place."""
+    kept = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.array_min(F.slice(h, i, WINDOW)))
+    return F.array_distinct(F.transform(F.array(_hashes(text, key)), kept)[0])
 
 
 def overlap(a: str, b: str):
@@ -91,16 +117,31 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = DEFAULT.sources_p
     return queries.join(candidates.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k"), "query")
 
 
-def trace(anomalies: DataFrame, candidates: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(doc_id, paragraph_index, source_id, origin, title, similarity): the accepted best source of each of anomalies(doc_id, paragraph_index, text, vector).
+def queries(paragraphs: DataFrame, language: Language | None = None) -> DataFrame:
+    """(doc_id, paragraph_index, query): what a service is asked about each paragraph, by lemmas of nouns and adjectives where there is a language."""
+    return features.keywords(paragraphs) if language is None else features.lemma_keywords(tagging.tag(paragraphs.select("doc_id", "paragraph_index", "text"), language.model), language.lemma)
+
+
+def trace(anomalies: DataFrame, candidates: DataFrame, config: Config = DEFAULT, language: Language | None = None) -> DataFrame:
+    """(doc_id, paragraph_index, source_id, origin, title, similarity): the accepted best source of each of anomalies(doc_id, paragraph_index, text, vector), with what candidates tell of it (authors, year, url, abstract).
 
     candidates(query, origin, rank, source_id, title, abstract, source_vector): answers of services to keyword queries.
+    Ties of the similarity go to the first of SERVICES, then to the lesser rank. Ideas are clauses where there is a
+    language, else runs of content words.
     """
-    asked = anomalies.select("doc_id", "paragraph_index", "text", "vector").join(features.keywords(anomalies), ["doc_id", "paragraph_index"])
+    told = [c for c in ("authors", "year", "url") if c in candidates.columns]
+    asked = anomalies.select("doc_id", "paragraph_index", "text", "vector").join(queries(anomalies, language), ["doc_id", "paragraph_index"])
     met = search(asked, candidates.filter("source_id IS NOT NULL"), config.sources_per_service).withColumn("similarity", F.coalesce(N.cosine("vector", "source_vector"), F.lit(0.0)))
-    best = met.groupBy("doc_id", "paragraph_index").agg(F.max(F.struct("similarity", (-F.col("rank")).alias("_r"), "origin", "source_id", "title", "abstract", "text")).alias("b")).select("doc_id", "paragraph_index", "b.*")
-    told = best.withColumns({"_a": features.triplet_array("text"), "_b": features.triplet_array("abstract")}).withColumns({"overlap": overlap("_a", "_b"), "is_exact": contains_exactly("text", "abstract", "title")})
-    return accept(told, config).select("doc_id", "paragraph_index", "source_id", "origin", "title", N.round_even(F.col("similarity"), 4).alias("similarity"))
+    service = F.array_position(F.array(*map(F.lit, SERVICES)), F.lower("origin"))
+    first = F.struct((-F.col("similarity")).alias("_s"), F.when(service > 0, service).otherwise(len(SERVICES) + 1).alias("_o"), F.lower("origin").alias("_n"), "rank", "source_id", "origin", "title", "abstract", "text", "similarity", *told)
+    best = met.groupBy("doc_id", "paragraph_index").agg(F.min(first).alias("b")).select("doc_id", "paragraph_index", "b.*")
+    if language is None:
+        ideas = best.withColumns({"_a": features.triplet_array("text"), "_b": features.triplet_array("abstract")})
+    else:
+        of = lambda c, n: clauses.triplets(tagging.tag(best.select("doc_id", "paragraph_index", F.col(c).alias("text")), language.model), language.lemma).withColumnRenamed("triplets", n)
+        ideas = best.join(of("text", "_a"), ["doc_id", "paragraph_index"], "left").join(of("abstract", "_b"), ["doc_id", "paragraph_index"], "left")
+    judged = ideas.withColumns({"overlap": F.greatest(overlap("_a", "_b"), F.lit(0)), "is_exact": contains_exactly("text", "abstract", "title")})
+    return accept(judged, config).select("doc_id", "paragraph_index", "source_id", "origin", "title", N.round_even(F.col("similarity"), 4).alias("similarity"), *told, "abstract")
 
 
 def union(*found: DataFrame) -> DataFrame:

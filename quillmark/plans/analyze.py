@@ -11,6 +11,7 @@ from ..config import DEFAULT, FEATURES, Config
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import citations, clustering, features, ingest, report, sources, warnings
+from ..operators.language import Language
 from ..sources import providers
 
 
@@ -20,7 +21,8 @@ class Inputs:
 
     vectors(doc_id, paragraph_index, vector): embeddings of paragraphs; candidates: see sources.trace();
     answers(doc_id, kind, key, answer): of a reasoning service; registry(ref_key, score): see citations.verify();
-    labels(doc_id, paragraph_index, cluster_id, probability): given ones, instead of the clustering's.
+    labels(doc_id, paragraph_index, cluster_id, probability): given ones, instead of the clustering's; language: tags,
+    sentences, lemmas and clauses of a learnt language, instead of word lists and patterns.
     """
 
     vectors: DataFrame | None = None
@@ -28,6 +30,7 @@ class Inputs:
     answers: DataFrame | None = None
     registry: DataFrame | None = None
     labels: DataFrame | None = None
+    language: Language | None = None
 
 
 #: Columns of a paragraph that travel with it through the clustering.
@@ -46,10 +49,12 @@ def labelled(docs: DataFrame, config: Config = DEFAULT, inputs: Inputs = Inputs(
     whole = docs.select(*docs.columns, *(F.lit(None).cast(k).alias(c) for c, k in (("size", "long"), ("page_count", "int")) if c not in docs.columns))
     parts = ingest.parsed(whole.select("doc_id", "text", "size", "page_count", *(c for c in ("elements", "blocks") if c in docs.columns)), config)
     rows = parts.select("doc_id", "extraction_method", "references", "size", "page_count", F.posexplode_outer("parts").alias("paragraph_index", "text"))
+    if inputs.language is not None:
+        rows = inputs.language.annotate(rows)
     measured = citations.extract(features.measured(rows, config), config).withColumns({"words": T.word_count("text"), "references": F.when(F.coalesce("paragraph_index", F.lit(0)) == 0, F.col("references"))})
     if inputs.vectors is not None:
         measured = measured.join(inputs.vectors.select("doc_id", "paragraph_index", "vector"), ["doc_id", "paragraph_index"], "left")
-    measured = measured.drop("text", "citations")
+    measured = measured.drop("text", "citations", "tags", "sentence_ends")
     if inputs.labels is not None:
         given = inputs.labels.select("doc_id", "paragraph_index", "cluster_id", "probability")
         return measured.join(given, ["doc_id", "paragraph_index"], "left").withColumns({"cluster_id": F.when(F.col("paragraph_index").isNotNull(), F.coalesce("cluster_id", F.lit(0))), "outcome": F.lit("cluster")})
@@ -121,8 +126,8 @@ def analyze(docs: DataFrame, config: Config = DEFAULT, inputs: Inputs = Inputs()
     traced = None
     if inputs.candidates is not None and inputs.vectors is not None and not config.skip_sources:
         anomalies = sources.longest_anomalies(enriched, config.max_anomalies).join(inputs.vectors, ["doc_id", "paragraph_index"], "left")
-        traced = sources.trace(anomalies.filter("vector IS NOT NULL"), inputs.candidates, config)
-        asked = anomalies.join(features.keywords(anomalies), ["doc_id", "paragraph_index"], "left")
+        traced = sources.trace(anomalies.filter("vector IS NOT NULL"), inputs.candidates, config, inputs.language)
+        asked = anomalies.join(sources.queries(anomalies, inputs.language), ["doc_id", "paragraph_index"], "left")
         wrong = asked.join(inputs.candidates.filter("error IS NOT NULL").select("query", "error").distinct(), "query", "left") if "error" in inputs.candidates.columns else asked.withColumn("error", F.lit(None).cast("string"))
         troubles = wrong.groupBy("doc_id").agg(F.count("error").alias("n_search_errors"), F.count_if(F.col("vector").isNull()).alias("n_unembedded"))
         found = found.join(traced.groupBy("doc_id").agg(F.array_sort(F.collect_list("similarity")).alias("similarities")), "doc_id", "left").join(troubles, "doc_id", "left")
@@ -151,5 +156,5 @@ def analyze(docs: DataFrame, config: Config = DEFAULT, inputs: Inputs = Inputs()
         *(F.when(there, F.col(c)).alias(c) for c in told),
         *(c for c in ("severities", "similarities", "explanations", "total_references", "bibliography_median")),
     )
-    out = {"paragraphs": enriched, "features": features.profiles(paragraphs, config), "labels": labels, "boundaries": borders, "summary": clustering.summary(labels, config), "clustering": clustering.result(labels, config), "citations": cited, "temporal_anomalies": citations.temporal_anomalies(cited, config), "report": final, "warnings": warnings.emit(found)}
+    out = {"paragraphs": enriched, "features": features.profiles(paragraphs if inputs.language is None else inputs.language.annotate(paragraphs), config), "labels": labels, "boundaries": borders, "summary": clustering.summary(labels, config), "clustering": clustering.result(labels, config), "citations": cited, "temporal_anomalies": citations.temporal_anomalies(cited, config), "report": final, "warnings": warnings.emit(found)}
     return out | ({"sources": traced} if traced is not None else {})

@@ -578,10 +578,11 @@ def warnings_rollup(spark, d):
     return warnings.rollup(warnings.emit(state)).withColumn("codes", F.array_join("codes", ","))
 
 
-@query("""SELECT f.name, replace(replace(array_to_string(list_transform(string_split(f.name, '_'), lambda w: upper(w[1]) || w[2:]), ' '), 'Pct', '%'), 'Avg', 'Avg.') AS title FROM (SELECT unnest(['avg_sentence_length', 'passive_voice_pct', 'yules_k', 'burstiness_score', 'pronoun_ratio']) AS name) f""")
+@query("""SELECT event_type AS name, count(*) AS n, replace(replace(array_to_string(list_transform(string_split(event_type || '_pct', '_'), lambda w: upper(w[1]) || w[2:]), ' '), 'Pct', '%'), 'Avg', 'Avg.') AS title FROM events GROUP BY event_type""")
 def feature_titles(spark, d):
-    names = ["avg_sentence_length", "passive_voice_pct", "yules_k", "burstiness_score", "pronoun_ratio"]
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", T.feature_title("name").alias("title"))
+    """Titles of the shares of each kind of event, as those of features are made."""
+    kinds = table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+    return kinds.withColumn("title", T.feature_title(F.concat("name", F.lit("_pct"))))
 
 
 # --- comparison methods
@@ -691,7 +692,7 @@ def full_analyze(spark, d):
 def noise_override(spark, d):
     """Documents that the kernel found to be almost all noise, with the warning that says so."""
     a = analyze(ingest.spread(documents(spark, d)))
-    return a["warnings"].filter("stage = 'cluster'").select("doc_id", "code", "severity")
+    return a["warnings"].filter("code = 'cluster_noise_override'").select("doc_id", "code", "severity")
 
 
 @query(f"""WITH {P}, n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), c AS (SELECT doc_id, {STRIP.format("text")} AS t FROM documents)
