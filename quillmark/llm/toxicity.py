@@ -35,6 +35,8 @@ RIDGE, STEPS = 1e-4, 200
 PARTS = 16
 #: Texts at a time in a step of the fit.
 PIECE = 500
+#: Bytes of text at a time: what fits a core's cache takes half the time of larger blocks.
+CACHED = 256 << 10
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
@@ -124,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndar
     chosen = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = cut(found.repartition(PARTS, "doc_id").select("toxic", F.coalesce("text", F.lit(b"")).alias("text")), "toxicity-texts")
-    labelled = lambda batches: ((b, b.ids.to_numpy().astype(float)) for b in B.read_blocks(batches, 1 << 20))
+    labelled = lambda batches, size=1 << 20: ((b, b.ids.to_numpy().astype(float)) for b in B.read_blocks(batches, size))
 
     def counts(batches):
         size, table, toxic = 0, np.zeros((2, 1 << BITS), np.int32), 0
@@ -150,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndar
 
     def find(batches):
         keep = np.frombuffer(B.spread(sent.value), np.float64) != 0
-        for b, label in labelled(batches):
+        for b, label in labelled(batches, CACHED):
             row, col = features(b, keep)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(label)))])
             digest = [hashlib.sha1(b.data[i:j].tobytes()).digest() for i, j in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True)]
@@ -178,7 +180,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def run(batches):
         weights, intercept = np.frombuffer(B.spread(sent.value[0]), np.float32), sent.value[1]
         keep = weights != 0
-        for b in B.read_blocks(batches, 4 << 20):
+        for b in B.read_blocks(batches, CACHED):
             row, col = features(b, keep)
             z = np.bincount(row, weights[col], len(b.ids)) + intercept
             yield pa.record_batch([b.ids, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
