@@ -316,7 +316,7 @@ def test_prompts_retries_and_page_counts(spark, tmp_path):
     (tmp_path / "two.pdf").write_bytes(b"%PDF-1.4 << /Type /Pages >> << /Type /Page >> <</Type/Page>>")
     (tmp_path / "bad.pdf").write_bytes(b"no pdf /Type /Page")
     assert sorted(map(tuple, documents.metadata(spark, str(tmp_path)).collect())) == [("bad.pdf", 18, 0), ("two.pdf", 60, 2)]
-    r = {x["doc_id"].rsplit("/", 1)[1]: x for x in documents.decoded(documents.uploads(spark, str(tmp_path))).collect()}
+    r = {x["doc_id"].rsplit("/", 1)[1]: x for x in documents.decoded(documents.uploads(spark, str(tmp_path))).select("doc_id", "text", "size", "page_count").collect()}
     codes = {(x["doc_id"].rsplit("/", 1)[1], x["code"]) for x in analyze(spark.createDataFrame(list(r.values()), "doc_id string, text string, size long, page_count int"))["warnings"].collect()}
     assert {("bad.pdf", "pdf_corrupt"), ("bad.pdf", "pdf_no_text"), ("two.pdf", "pdf_no_text")} <= codes and ("two.pdf", "pdf_corrupt") not in codes
 
