@@ -34,11 +34,12 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style template noscript textarea iframe svg title xmp noembed noframes".split())
 NEVER_TAGS = frozenset("head nav footer aside button select menu dialog option datalist".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-HINTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead footer copyright cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe signup login search pagination pager toolbar widget".split())
+HINTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead footer copyright cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist disqus discussion feedback reply replies respond responses talkback share sharing social related recommended recommendations newsletter subscribe signup login search pagination pager toolbar widget".split())
 #: Beside a hint in a name, these leave it what it is: comment-list, site-footer.
-PLAIN = frozenset("area bar block body bottom box button buttons container feed form group header holder icons inner item items left links list main outer page panel post posts right row section site slot thread top unit us wrap wrapper".split())
+PLAIN = frozenset("area bar block body bottom box button buttons container feed form group header holder icons inner item items left links list main outer page panel post posts right row reader readers section site slot thread top unit user us wrap wrapper".split())
 CONTAINERS = frozenset("html body article main section div td center blockquote form".split())
 HEADINGS = frozenset(("h1", "h2"))
+_TITLES = frozenset(("h1", "h2", "h3", "h4"))
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?--!?>|.*\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]|=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))*+)>)""", re.S)
@@ -47,12 +48,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+# What stands in a reader's comment beside its text, and over comments.
+_REPLY = re.compile(r"\W*(?:reply|respond|quote|like|upvote|flag|report|permalink|antworten|zitieren|melden|gefällt mir|répondre|citer|signaler|responder|citar|denunciar|me gusta)\b.{0,25}", re.I)
+_WHEN = re.compile(r"\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b|\bvor \d+ |\bil y a \d+ |\bhace \d+ ", re.I)
+_OVER = re.compile(r"(?:\d+\s+)?(?:comments?|responses?|replies|discussion|reader comments|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)\b.{0,20}", re.I)
 _RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 #: Standard deviations of smoothing, in blocks; share of the mean fused ratio that makes a path content; share of content that the article holds.
 SIGMA, THRESHOLD, HOLDS = 1.0, 0.5, 0.8
 #: Share of a path's text in links from which it is a menu; code points and marks of a block of prose; longest copyright line.
 LINKS, PROSE, MARKS, RIGHTS = 0.5, 40, 1, 200
+#: Longest block that is a comment's name, time or reply link; share of alike siblings that must have such; longest line over comments.
+SHORT, ALIKE, OVER = 60, 0.8, 40
 #: Prose outside a hinted element, as a share of the text inside, from which the element goes: whole names, parts of names.
 OUTSIDE = {2: 0.1, 1: 2.0}
 #: Share of the most prose in a hinted element from which the first such element counts as the article's wrapper.
@@ -223,6 +230,29 @@ def without_hinted(blocks: list[Text]) -> list[Text]:
     return [b for b in blocks if not any(e.number in gone for e in b.up)]
 
 
+def without_comments(blocks: list[Text]) -> list[Text]:
+    """blocks less comments that no name gives away: two siblings or more of one tag and class, after prose, that have a reply link each, or a short line with a time."""
+    members: dict[tuple, dict[int, list[int]]] = {}
+    for i, b in enumerate(blocks):
+        for above, e in zip(b.up, b.up[1:]):
+            if e.tag in ("div", "li", "section", "article", "tr", "dd"):
+                members.setdefault((above.number, e.tag, e.label), {}).setdefault(e.number, []).append(i)
+    gone: set[int] = set()
+    prose = np.cumsum([0, *(len(b.text) if _prose(b) else 0 for b in blocks)])
+    for (above, _, _), each in sorted(members.items(), key=lambda x: min(map(min, x[1].values()))):
+        first, last = min(map(min, each.values())), max(map(max, each.values()))
+        short = [[blocks[i].text for i in at if len(blocks[i].text) <= SHORT] for at in each.values()]
+        # all of a comment but its short lines must be prose of its own: an entry with a heading is an article
+        marked = sum(any(_REPLY.fullmatch(t) for t in lines) or len(lines) < len(at) and any(_WHEN.search(t) for t in lines) for lines, at in zip(short, each.values(), strict=True))
+        headed = any(e.tag in _TITLES for at in each.values() for i in at for e in blocks[i].up)
+        if len(each) < 2 or marked < ALIKE * len(each) or headed or first in gone or prose[first] < (prose[last + 1] - prose[first]) * OUTSIDE[2]:
+            continue
+        gone.update(i for at in each.values() for i in at)
+        if first and len(blocks[first - 1].text) <= OVER and _OVER.fullmatch(blocks[first - 1].text):
+            gone.add(first - 1)
+    return [b for i, b in enumerate(blocks) if i not in gone]
+
+
 def content(blocks: list[Text]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each block: whether its path's fused ratio makes it content, what it weighs as such, and whether its path's text is mostly links."""
     number: dict[str, int] = {}
@@ -252,7 +282,7 @@ def _outer(blocks: list[Text], article: Element, first: int) -> Element:
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by one space."""
-    blocks = without_hinted(text_blocks(page or ""))
+    blocks = without_comments(without_hinted(text_blocks(page or "")))
     if not blocks:
         return ""
     chosen, weight, menu = content(blocks)
@@ -276,7 +306,9 @@ def main_text(page: str | None) -> str:
     for i, (b, ok, links) in enumerate(zip(blocks, chosen, menu, strict=True)):
         heading = next((k for k, e in enumerate(b.up) if e.tag in HEADINGS), None)
         title = heading is not None and i < first and (outer in b.up or b.up[heading].tag == "h1" and (heading == 0 or b.up[heading - 1].number in line))
-        if article in b.up and not links or outer in b.up and ok or title:
+        # a linked heading over prose is the article's own; one over links is a teaser
+        linked = links and any(e.tag in _TITLES for e in b.up) and i + 1 < len(blocks) and not menu[i + 1] and article in blocks[i + 1].up
+        if article in b.up and (not links or linked) or outer in b.up and ok or title:
             kept.append(b.text)
     return " ".join(kept)
 

@@ -69,6 +69,11 @@ PAGES = {
     "quotation": (f"<article>{H}<blockquote><p>{LONG[0]}</p></blockquote>{p(LONG[1:])}</article>", f"{B} {L}"),
     "figure with caption": (f"<article>{H}{p(LONG[:2])}<figure><img src=x><figcaption>The ship at rest.</figcaption></figure>{p(LONG[2:])}</article>", f"{B} {' '.join(LONG[:2])} The ship at rest. {' '.join(LONG[2:])}"),
     "comment markup": (f"<!-- <p>no</p> --><div class=c>{H}{p(LONG)}</div><!-->", f"{B} {L}"),
+    "linked headings": (f"<article><h1>Ten tools</h1>{p(LONG[:1])}<h2><a href=1>Tool number 1</a></h2>{p(LONG[1:2])}<h2><a href=2>Tool number 2</a></h2>{p(LONG[2:])}<h2><a href=3>More stories</a></h2><ul><li><a href=4>One story</a><li><a href=5>Other story</a></ul></article>", f"Ten tools {LONG[0]} Tool number 1 {LONG[1]} Tool number 2 {' '.join(LONG[2:])}"),
+    **{f"comments in {name}": (f"<article>{H}{p(LONG)}{'<div class=%r>' % name if inside else ''}{p(SAYS) if inside else ''}{'</div>' if inside else ''}</article>{'' if inside else '<div class=%r>' % name + p(SAYS) + '</div>'}", f"{B} {L}") for name in ("user-thread comments", "discussion", "responses", "talkback", "reader-feedback") for inside in (0, 1)},
+    "comments by reply links": (f"<div class=c>{H}{p(LONG)}</div><div class=z><h3>3 responses</h3>" + "".join(f"<div class=y><span>Name {i}</span><div>{t}</div><div><a href=#>Reply</a></div></div>" for i, t in enumerate(SAYS * 3)) + "</div>", f"{B} {L}"),
+    "comments by times": (f"<article>{H}{p(LONG)}<ul>" + "".join(f"<li class=y><div>Name {i}, {i + 1} hours ago</div><p>{t}</p></li>" for i, t in enumerate(SAYS * 3)) + "</ul></article>", f"{B} {L}"),
+    "sections with times are the article": (f"<article>{H}" + "".join(f"<section class=e><h3>Entry {i}</h3><div>10:{i}0</div>{p(LONG)}</section>" for i in (1, 2)) + "</article>", f"{B} Entry 1 10:10 {L} Entry 2 10:20 {L}"),
     "login box": (f"<div class='login'><p>Sign in, or register, to read on.</p></div><div class=c>{H}{p(LONG)}</div>", f"{B} {L}"),
     "pagination": (f"<div class=c>{H}{p(LONG)}<div class='pagination'><a href=2>2</a> <a href=3>3</a></div></div>", f"{B} {L}"),
 }
