@@ -11,25 +11,33 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
 
 
+def _row(x: np.ndarray, i: int) -> np.ndarray:
+    return np.sqrt(((x - x[i]) ** 2).sum(-1))
+
+
 def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int, allow_single: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Labels (-1: noise), numbered by first row, and membership probabilities; excess of mass; ties by distance and rows."""
+    """Labels (-1: noise), numbered by first row, and membership probabilities; excess of mass.
+
+    Equal distances are one level: what they join, joins at once, whatever the order of rows. Distances are made row by
+    row, so memory grows with the rows and not with their square.
+    """
     n = len(x)
     if n < 2:
         return np.full(n, -1), np.zeros(n)
-    d = distances(x)
-    core = np.sort(d, 1)[:, min(min_samples, n - 1)]  # the row itself is at place 0
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    k = min(min_samples, n - 1)
+    core = np.array([np.partition(_row(x, i), k)[k] for i in range(n)])  # the row itself is at place 0
     # Prim's tree
     best, source, inside = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
     edges, at = [], 0
     for _ in range(n - 1):
         inside[at] = True
-        nearer = ~inside & (reach[at] < best)
-        best[nearer], source[nearer] = reach[at][nearer], at
+        reach = np.maximum(np.maximum(_row(x, at), core), core[at])
+        nearer = ~inside & (reach < best)
+        best[nearer], source[nearer] = reach[nearer], at
         at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((best[at], min(source[at], at), max(source[at], at)))
-    # single linkage: node n + i joins two nodes at a distance
-    parent = list(range(2 * n - 1))
+        edges.append((best[at], source[at], at))
+    # single linkage: a node joins two or more nodes, all that a distance joins
+    parent, children, height, size = list(range(2 * n - 1)), {}, {}, [1] * n
 
     def top(i: int) -> int:
         while parent[i] != i:
@@ -37,12 +45,25 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int, allow_single
             i = parent[i]
         return i
 
-    children, height, size = {}, {}, [1] * n + [0] * (n - 1)
-    for i, (w, a, b) in enumerate(sorted(edges)):
-        a, b = top(a), top(b)
-        children[n + i], height[n + i] = (a, b), w
-        parent[a] = parent[b] = n + i
-        size[n + i] = size[a] + size[b]
+    edges.sort()
+    first = 0
+    while first < len(edges):
+        last = first
+        while last < len(edges) and edges[last][0] == edges[first][0]:
+            last += 1
+        joined: dict[int, set[int]] = {}
+        for _, a, b in edges[first:last]:
+            a, b = top(a), top(b)
+            both = joined.pop(a, {a}) | joined.pop(b, {b})
+            parent[b] = a
+            joined[a] = both
+        for root, nodes in sorted(joined.items()):
+            new = len(size)
+            for i in nodes:
+                parent[i] = new
+            children[new], height[new] = tuple(sorted(nodes)), edges[first][0]
+            size.append(sum(size[i] for i in nodes))
+        first = last
 
     def leaves(i: int) -> list[int]:
         out, todo = [], [i]
@@ -55,7 +76,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int, allow_single
         return out
 
     # condensed tree: each cluster's birth, the points that leave it and when, and its two heirs
-    clusters = [{"birth": 0.0, "points": {}, "heirs": [], "node": 2 * n - 2, "up": None}]
+    clusters = [{"birth": 0.0, "points": {}, "heirs": [], "node": len(size) - 1, "up": None}]
     todo = [0]
     while todo:
         c = todo.pop(0)
@@ -66,18 +87,17 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int, allow_single
                 break
             level = 1 / height[node] if height[node] > 0 else np.inf
             clusters[c]["last"] = level
-            a, b = children[node]
-            big = [k for k in (a, b) if size[k] >= min_cluster_size]
-            if len(big) == 2:
-                for k in (a, b):
+            big = [k for k in children[node] if size[k] >= min_cluster_size]
+            for k in children[node]:
+                if k not in big:
+                    clusters[c]["points"] |= dict.fromkeys(leaves(k), level)
+            if len(big) > 1:
+                for k in big:
                     clusters[c]["heirs"].append(len(clusters))
                     todo.append(len(clusters))
                     clusters.append({"birth": level, "points": {}, "heirs": [], "node": k, "up": c})
-                clusters[c]["split"] = (level, size[a] + size[b])
+                clusters[c]["split"] = (level, sum(size[k] for k in big))
                 break
-            for k in (a, b):
-                if k not in big:
-                    clusters[c]["points"] |= dict.fromkeys(leaves(k), level)
             if not big:
                 break
             node = big[0]

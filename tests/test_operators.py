@@ -281,13 +281,61 @@ def naive_hdbscan(x, least=2, samples=2):
     return [number.get(c, -1) for c in labels.tolist()]
 
 
+def naive_probabilities(x, labels, samples=2, least=2):
+    """Of each clustered row the level at which its component first has too few rows, over the greatest one of its cluster."""
+    n, out = len(x), np.zeros(len(x))
+    d = kernel.distances(x)
+    core = np.sort(d, 1)[:, min(samples, n - 1)]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    for p in np.flatnonzero(labels >= 0):
+        for cut in sorted({reach[i, j] for i in range(n) for j in range(i)}, reverse=True):
+            held, todo = {p}, [p]
+            while todo:
+                i = todo.pop()
+                new = [j for j in range(n) if j not in held and reach[i, j] < cut]
+                held.update(new)
+                todo += new
+            if len(held) < least:
+                out[p] = 1 / cut
+                break
+    return np.array([out[i] / out[labels == c].max() if c >= 0 else 0.0 for i, c in enumerate(labels)])
+
+
+@pytest.mark.parametrize("samples", [0, 2])
 @pytest.mark.parametrize("seed", range(24))
-def test_kernel_labels_are_those_of_the_definition(seed):
-    """Without core distances, which make distances equal; equal ones can be read in two ways (split all at once, or two by two)."""
+def test_kernel_labels_are_those_of_the_definition(seed, samples):
+    """With core distances, as the service clusters, and without; equal distances split all at once in both readings."""
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(int(rng.integers(6, 26)), 3))
     x[: len(x) // 2] += 3.0
-    assert kernel.hdbscan(x, 2, 0)[0].tolist() == naive_hdbscan(x, samples=0)
+    if seed % 3 == 2:  # many equal distances
+        x = np.round(x) + np.arange(len(x))[:, None] * [0, 0, 4.0 * (seed % 2)]
+        x = np.unique(x, axis=0)
+        x = x[rng.permutation(len(x))]
+    labels, probability = kernel.hdbscan(x, 2, samples)
+    assert labels.tolist() == naive_hdbscan(x, samples=samples)
+    assert np.allclose(probability, naive_probabilities(x, labels, samples))
+
+
+def test_kernel_gives_rows_in_any_order_the_same_clusters():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 6, (40, 2)).astype(float)
+    labels, probability = kernel.hdbscan(x, 2, 2)
+    order = rng.permutation(40)
+    again, p = kernel.hdbscan(x[order], 2, 2)
+    assert np.allclose(probability[order], p)
+    assert len(set(zip(labels[order].tolist(), again.tolist(), strict=True))) == len(set(labels.tolist()))
+
+
+def test_kernel_memory_grows_with_the_rows():
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(4000, 8))
+    tracemalloc.start()
+    kernel.hdbscan(x, 2, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4000 * 4000  # bytes: an eighth of one matrix of distances
 
 
 def test_components_are_eigenvectors_of_the_covariance():
