@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, FEATURES, Config
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import citations, clustering, features, ingest, report, sources, warnings
+from ..operators import citations, clustering, features, ingest, report, sources, vectors, warnings
 from ..operators.language import Language
 from ..sources import providers
 
@@ -22,7 +22,8 @@ class Inputs:
     vectors(doc_id, paragraph_index, vector): embeddings of paragraphs; candidates: see sources.trace();
     answers(doc_id, kind, key, answer): of a reasoning service; registry(ref_key, score): see citations.verify();
     labels(doc_id, paragraph_index, cluster_id, probability): given ones, instead of the clustering's; language: tags,
-    sentences, lemmas and clauses of a learnt language, instead of word lists and patterns.
+    sentences, lemmas and clauses of a learnt language, instead of word lists and patterns; terms: of vectors.learn(), from which
+    anomalies and candidates get vectors where none are given.
     """
 
     vectors: DataFrame | None = None
@@ -31,6 +32,7 @@ class Inputs:
     registry: DataFrame | None = None
     labels: DataFrame | None = None
     language: Language | None = None
+    terms: DataFrame | None = None
 
 
 #: Columns of a paragraph that travel with it through the clustering.
@@ -124,8 +126,13 @@ def analyze(docs: DataFrame, config: Config = DEFAULT, inputs: Inputs = Inputs()
 
     later = {"similarities": _empty("double"), "n_search_errors": F.lit(0), "n_unembedded": F.lit(0)}
     traced = None
-    if inputs.candidates is not None and inputs.vectors is not None and not config.skip_sources:
-        anomalies = sources.longest_anomalies(enriched, config.max_anomalies).join(inputs.vectors, ["doc_id", "paragraph_index"], "left")
+    if inputs.candidates is not None and (inputs.vectors is not None or inputs.terms is not None) and not config.skip_sources:
+        longest = sources.longest_anomalies(enriched, config.max_anomalies)
+        given = inputs.vectors if inputs.vectors is not None else vectors.embed(longest.select("doc_id", "paragraph_index", "text"), inputs.terms, ("doc_id", "paragraph_index"))
+        anomalies = longest.join(given, ["doc_id", "paragraph_index"], "left")
+        if "source_vector" not in inputs.candidates.columns:
+            works = inputs.candidates.filter("source_id IS NOT NULL").select("source_id", F.concat_ws(" ", "title", "abstract").alias("text")).dropDuplicates(["source_id"])
+            inputs = replace(inputs, candidates=inputs.candidates.join(vectors.embed(works, inputs.terms, ("source_id",)).withColumnRenamed("vector", "source_vector"), "source_id", "left"))
         traced = sources.trace(anomalies.filter("vector IS NOT NULL"), inputs.candidates, config, inputs.language)
         asked = anomalies.join(sources.queries(anomalies, inputs.language), ["doc_id", "paragraph_index"], "left")
         wrong = asked.join(inputs.candidates.filter("error IS NOT NULL").select("query", "error").distinct(), "query", "left") if "error" in inputs.candidates.columns else asked.withColumn("error", F.lit(None).cast("string"))
