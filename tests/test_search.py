@@ -86,8 +86,13 @@ def test_failed_searches_warn_and_found_works_count_in_the_analysis(spark, tmp_p
 
     other = ["ships sail over the deep sea with wind", "gold coins lie in the old chest under wind", "leaves fall from the tall trees over the sea"] * 3
     learnt = spark.createDataFrame([(i, 0, t) for i, t in enumerate([line, line, *other])], "doc_id long, paragraph_index int, text string")
-    terms = V.learn(learnt, dimensions=4)
+
+    def cut(frame, name):
+        frame.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    terms = cut(V.learn(learnt, cut=cut, dimensions=4), "table")
     assert V.embed(docs.select("doc_id", "text"), terms.limit(0), ("doc_id",)).first()["vector"] == []
-    made = analyze(docs, inputs=Inputs(labels=labels, candidates=found.drop("source_vector").withColumn("abstract", F.lit(line * 4)), terms=terms))
+    made = analyze(docs, inputs=Inputs(labels=labels, candidates=found.drop("source_vector").withColumn("abstract", F.when(F.col("rank") == 1, line * 4).otherwise("ships sail over the sea")), terms=terms))
     assert [r["title"] for r in made["sources"].filter("doc_id = 1").collect()] == ["Work"]
     assert ("source_arxiv_timeout" in {r["code"] for r in a["warnings"].collect()}) and [(r["title"], r["authors"], r["year"], r["similarity"]) for r in a["sources"].filter("doc_id = 1").collect()] == [("Work", ["D", ""], 2020, 0.8)]
