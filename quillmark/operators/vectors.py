@@ -71,6 +71,14 @@ def _orthonormal(squares: np.ndarray) -> np.ndarray:
     return axes * np.where(kept, 1 / np.sqrt(np.where(kept, values, 1)), 0.0)
 
 
+def entries_of(whole: DataFrame, key: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(term, share) of the terms of enough texts, and (key..., term, entry) of the positive entries, of counts()."""
+    terms = whole.groupBy("term").agg(F.sum("n").alias("_n"), F.count("*").alias("_texts"))
+    total = terms.agg(F.sum("_n").alias("_all"))
+    shares = terms.crossJoin(F.broadcast(total)).filter(F.col("_texts") >= LEAST).select("term", (F.col("_n") / F.col("_all")).alias("share"))  # total is one row
+    return shares, whole.join(shares, "term").withColumn("entry", _entry()).filter("entry > 0").select(*key, "term", "entry")
+
+
 def learn(texts: DataFrame, key: tuple[str, ...] = ("doc_id", "paragraph_index"), cut=lambda frame, name: frame, dimensions: int = DIMENSIONS, rounds: int = ROUNDS, seed: int = 0, text: str = "text") -> DataFrame:
     """(term, share, v): the table that embed() reads, of texts(key..., text).
 
@@ -78,10 +86,8 @@ def learn(texts: DataFrame, key: tuple[str, ...] = ("doc_id", "paragraph_index")
     """
     k = dimensions + SPARE
     whole = cut(counts(texts, key, text), "counts")
-    terms = whole.groupBy("term").agg(F.sum("n").alias("_n"), F.count("*").alias("_texts"))
-    total = terms.agg(F.sum("_n").alias("_all"))
-    shares = terms.crossJoin(F.broadcast(total)).filter(F.col("_texts") >= LEAST).select("term", (F.col("_n") / F.col("_all")).alias("share"))  # total is one row
-    entries = cut(whole.join(shares, "term").withColumn("entry", _entry()).filter("entry > 0").select(*key, "term", "entry"), "entries")
+    shares, found = entries_of(whole, key)
+    entries = cut(found, "entries")
     drawn = F.array(*(((F.pmod(F.xxhash64("term", F.lit(seed * 100_003 + i)), F.lit(2)) * 2) - 1).cast("double") for i in range(k)))
     table = shares.select("term", drawn.alias("v"))
     for turn in range(rounds + 1):

@@ -20,6 +20,7 @@ RULES = [
     ("cluster_single_author", "info", "cluster", ("outcome", "estimated_authors", "anomaly_count"), "outcome = 'cluster' AND estimated_authors = 1 AND anomaly_count = 0"),
     ("gpt_unavailable", "warning", "reasoning", ("reasoning_available", "reasoning_skipped"), "NOT reasoning_available AND NOT reasoning_skipped"),
     ("gpt_unavailable", "info", "reasoning", ("reasoning_skipped",), "reasoning_skipped"),
+    ("gpt_timeout", "error", "reasoning", ("reasoning_error",), "reasoning_error"),
     ("gpt_timeout", "warning", "reasoning", ("n_timeouts",), "n_timeouts > 0"),
     ("gpt_partial_results", "warning", "reasoning", ("n_failed",), "n_failed > 0"),
     ("citation_none_found", "info", "citations", ("n_paragraphs", "total_citations"), "n_paragraphs > 0 AND total_citations = 0"),

@@ -110,10 +110,12 @@ def evidence(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def analyze(docs: DataFrame, config: Config = DEFAULT, inputs: Inputs = Inputs()) -> dict[str, DataFrame]:
-    """paragraphs, features, labels, boundaries, summary, clustering, citations, temporal_anomalies, sources, report and warnings of docs(doc_id, text).
+    """paragraphs, features, labels, boundaries, summary, clustering, citations, temporal_anomalies, sources, requests, report and warnings of docs(doc_id, text).
 
     docs may also have size and page_count (of the upload), elements and blocks (see ingest.extraction()). report has a
-    row for every document: status is error, and the rest null, where no text was found.
+    row for every document: status is error, and the rest null, where no text was found. requests are what a reasoning
+    service may be asked, with prompts (providers.reason() sends them); its answers go into Inputs.answers. An answer of
+    kind report that parses stands for the rules' report; one of kind batch says that reasoning broke down.
     """
     parts = ingest.parsed(docs.select("doc_id", "text", *(c for c in ("elements", "blocks") if c in docs.columns)), config)
     paragraphs = parts.select("doc_id", F.posexplode("parts").alias("paragraph_index", "text"))
@@ -140,12 +142,15 @@ def analyze(docs: DataFrame, config: Config = DEFAULT, inputs: Inputs = Inputs()
         found = found.join(traced.groupBy("doc_id").agg(F.array_sort(F.collect_list("similarity")).alias("similarities")), "doc_id", "left").join(troubles, "doc_id", "left")
     found = found.withColumns({c: F.coalesce(F.col(c), d) if c in found.columns else d for c, d in later.items()})
 
-    later = {"explanation_count": F.lit(0), "explanations": F.lit(""), "n_failed": F.lit(0), "n_timeouts": F.lit(0)}
-    if inputs.answers is not None and not config.skip_reasoning:
-        asked = providers.requests(borders, labels.filter("cluster_id = -1"))
-        found = found.join(providers.outcome(providers.answers(asked, inputs.answers)), "doc_id", "left")
+    nothing = F.create_map().cast("map<string,string>")
+    later = {"explanation_count": F.lit(0), "explanations": F.lit(""), "n_failed": F.lit(0), "n_timeouts": F.lit(0), "reasoning_error": F.lit(False), "boundary_explanations": nothing, "anomaly_profiles": nothing}
+    asked, reasoned = providers.requests(borders, labels.filter("cluster_id = -1")), inputs.answers is not None and not config.skip_reasoning
+    if reasoned:
+        broken = inputs.answers.filter(F.col("kind") == providers.BATCH).select("doc_id", F.lit(True).alias("reasoning_error")).distinct()
+        told = providers.outcome(providers.answers(asked, inputs.answers).join(broken, "doc_id", "left_anti"))
+        found = found.join(told, "doc_id", "left").join(broken, "doc_id", "left")
     found = found.withColumns({c: F.coalesce(F.col(c), d) if c in found.columns else d for c, d in later.items()})
-    found = found.withColumns({"reasoning_available": F.lit(inputs.answers is not None and not config.skip_reasoning), "reasoning_skipped": F.lit(config.skip_reasoning)})
+    found = found.withColumns({"reasoning_available": F.lit(reasoned) & ~F.col("reasoning_error"), "reasoning_skipped": F.lit(config.skip_reasoning)})
 
     if inputs.registry is not None:
         listed = found.select("doc_id", F.posexplode("references").alias("ref_index", "ref_text"))
@@ -153,6 +158,10 @@ def analyze(docs: DataFrame, config: Config = DEFAULT, inputs: Inputs = Inputs()
     found = found.withColumn("hallucination_count", F.coalesce("hallucination_count", F.lit(0).cast("long")) if inputs.registry is not None else F.lit(0).cast("long"))
 
     scored = report.texts(report.score(found))
+    if reasoned:  # a report writer's answer stands for the rules' report
+        scored = scored.join(providers.written_reports(inputs.answers), "doc_id", "left")
+        ours = [c for c in ("integrity_score", "verdict", "executive_summary", "evidence_breakdown", "conclusion") if c in scored.columns]
+        scored = scored.withColumns({c: F.when(F.col("written").isNotNull(), F.col(f"written.{c}")).otherwise(F.col(c)) for c in ours})
     there, told = F.col("n_paragraphs") > 0, ["integrity_score", "verdict", "executive_summary", "evidence_breakdown", "conclusion", "estimated_authors", "anomaly_count", "noise", "confidence", "boundary_count", "noise_override", "too_short", "core_density", "noise_density", "density_ratio", "core_median", "noise_median", "total_citations", "hallucination_count"]
     final = scored.select(
         "doc_id",
@@ -161,7 +170,8 @@ def analyze(docs: DataFrame, config: Config = DEFAULT, inputs: Inputs = Inputs()
         "extraction_method",
         "n_paragraphs",
         *(F.when(there, F.col(c)).alias(c) for c in told),
-        *(c for c in ("severities", "similarities", "explanations", "total_references", "bibliography_median")),
+        *(c for c in ("severities", "similarities", "explanations", "total_references", "bibliography_median", "page_count", "reasoning_available", "boundary_explanations", "anomaly_profiles")),
     )
-    out = {"paragraphs": enriched, "features": features.profiles(paragraphs if inputs.language is None else inputs.language.annotate(paragraphs), config), "labels": labels, "boundaries": borders, "summary": clustering.summary(labels, config), "clustering": clustering.result(labels, config), "citations": cited, "temporal_anomalies": citations.temporal_anomalies(cited, config), "report": final, "warnings": warnings.emit(found)}
+    requests = providers.prompts(asked, paragraphs).unionByName(providers.report_prompts(report.pruned(scored.filter("n_paragraphs > 0"))))
+    out = {"requests": requests, "paragraphs": enriched, "features": features.profiles(paragraphs if inputs.language is None else inputs.language.annotate(paragraphs), config), "labels": labels, "boundaries": borders, "summary": clustering.summary(labels, config), "clustering": clustering.result(labels, config), "citations": cited, "temporal_anomalies": citations.temporal_anomalies(cited, config), "report": final, "warnings": warnings.emit(found)}
     return out | ({"sources": traced} if traced is not None else {})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import FUNCTION_WORDS
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import clauses, clustering, features, lemmas, sentences, sources, tagging
+from ..operators import clauses, clustering, features, lemmas, sentences, sources, tagging, vectors
 from .catalogue import ORACLE, WORDS, P, R, paragraphs, query
 
 # --- tags
@@ -179,5 +179,20 @@ def clause_passives(spark, d):
     return tagged(spark, d).select("doc_id", "paragraph_index", clauses.passives(clauses.clauses("tags")).alias("passives"))
 
 
+# --- vectors
+
+
+@query(rf"""WITH {P}, w AS (SELECT doc_id, paragraph_index, len(w) AS size, unnest(w) AS term FROM (SELECT doc_id, paragraph_index, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM p)),
+c AS (SELECT doc_id, paragraph_index, term, count(*) AS n, max(size) AS size FROM w GROUP BY ALL),
+t AS (SELECT term, sum(n)::DOUBLE / (SELECT sum(n) FROM c) AS share FROM c GROUP BY term HAVING count(*) >= {vectors.LEAST}),
+e AS (SELECT doc_id, paragraph_index, ln((n::DOUBLE / size) / share) AS e FROM c JOIN t USING (term))
+SELECT doc_id, paragraph_index::INT AS paragraph_index, count(*) AS n_terms, round(sum(e), 6) AS weight, round(max(e), 6) AS largest FROM e WHERE e > 0 GROUP BY doc_id, paragraph_index""")
+def pmi_entries(spark, d):
+    """The positive entries of every paragraph's row of the matrix from which vectors are learnt: their number, sum and greatest."""
+    key = ("doc_id", "paragraph_index")
+    _, entries = vectors.entries_of(vectors.counts(paragraphs(spark, d), key), key)
+    return entries.groupBy(*key).agg(F.count("*").alias("n_terms"), F.round(F.sum("entry"), 6).alias("weight"), F.round(F.max("entry"), 6).alias("largest"))
+
+
 QUERIES = [n for n in ("pos_tags", "tagged_pos_ratios", "tagged_summary", "abbreviations", "sentence_starters", "sentence_boundaries", "lemma_rules", "lemma_table", "lemma_keywords", "clause_triplets", "clause_passives")]
 SQL = {n: ORACLE[n] for n in QUERIES if n in ORACLE}
