@@ -6,7 +6,7 @@ exactly: their SPAN-word windows are matched, as text, with those of the items.
 window each and are matched by windows of their own length over all documents.
 
 Defined cases: null or empty texts have no words; items without words match nothing; repeated items count once by
-item_id; repeated documents get equal rows; very long texts are matched whole, each in its row; overlapping hits count
+item_id; an item whose item_id is null hits words like any other, but has no name, so items leaves it out; repeated documents get equal rows; very long texts are matched whole, each in its row; overlapping hits count
 each word once; only ids and texts are read, and clean() carries all other columns, whatever their names (but _leak_id
 and _leak_text); empty tables give no hits or no rows. The benchmark is broadcast only
 below a checked number of windows, else joined by shuffle.

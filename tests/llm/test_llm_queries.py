@@ -607,3 +607,13 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_items_without_an_id_hit_words_and_odd_rows_are_measured(spark, odd, none):
+    benchmark = spark.createDataFrame([(None, "one two"), (7, "one two"), (8, None), (9, "")], "item_id long, text string")
+    r = decontaminate.contamination(odd, benchmark).collect()
+    assert len(r) == odd.count() and {(x["n_words"], x["n_hit"], tuple(x["items"])) for x in r if x["doc_id"] == 8} == {(2, 2, ("7",))}
+    assert all(x["n_hit"] == 0 for x in r if x["doc_id"] in (3, 4, 7))
+    only = decontaminate.contamination(odd, benchmark.filter("item_id IS NULL")).filter("doc_id = 8").first()
+    assert (only["n_hit"], only["items"]) == (2, [])
+    assert decontaminate.contamination(none, benchmark).collect() == []
