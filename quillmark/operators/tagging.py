@@ -145,18 +145,17 @@ def classes(array: Column) -> Column:
     """The class code of each token of an array: its place in CLASSES."""
 
     def code(token: Column, before: Column) -> Column:
-        low = F.lower(token)
-        number = iter(range(len(CLASSES)))
-        out = None
-        for pattern, _ in SHAPES.values():
-            test = low.rlike(f"^(?:{pattern})$")
-            out = F.when(test, next(number)) if out is None else out.when(test, next(number))
-        for words, _ in LISTS.values():
-            out = out.when(low.isin(*words.split()), next(number))
+        low, number = F.lower(token), {name: i for i, name in enumerate(CLASSES)}
+        matches = lambda pattern: low.rlike(f"^(?:{pattern})$")
+        out = F
+        for name, (words, _) in LISTS.items():  # no listed word has a shape, and sets are looked up faster than patterns are tried
+            out = out.when(low.isin(*words.split()), number[name])
+        for name, (pattern, _) in SHAPES.items():
+            out = out.when(matches(pattern), number[name])
         inside = before.isNotNull() & ~before.isin(".", "!", "?", ":", '"', "“")
-        out = out.when(inside & token.rlike(r"^\p{Lu}"), next(number))
-        for pattern, _ in ENDINGS.values():
-            out = out.when(low.rlike(f"^(?:{pattern})$"), next(number))
+        out = out.when(inside & token.rlike(r"^\p{Lu}"), number[NAME[0]])
+        for name, (pattern, _) in ENDINGS.items():
+            out = out.when(matches(pattern), number[name])
         return out
 
     return F.transform(F.array(array), lambda a: F.transform(a, lambda t, i: code(t, F.when(i > 0, F.get(a, i - 1)))))[0]
