@@ -73,22 +73,23 @@ def contains_exactly(text: str, abstract: str, title: str):
     return F.contains(F.lower(abstract), low) | F.contains(F.lower(title), low)
 
 
-def containing(paragraphs: DataFrame, texts: DataFrame, key: int = KEY) -> DataFrame:
+def containing(paragraphs: DataFrame, texts: DataFrame, key: int = KEY, shortest: int = 0) -> DataFrame:
     """(doc_id, paragraph_index, source_id) where the lower-cased text(source_id, body) contains the whole lower-cased paragraph.
 
     Both sides are winnowed: of each WINDOW neighbouring hashes of KEY code points the least is kept, so a text that
     contains a paragraph of KEY + WINDOW - 1 code points or more keeps a hash that the paragraph keeps. The index has
     hashes and ids, some 2 / WINDOW of the text's length; bodies and paragraphs meet only where a hash does, once a
-    pair, and are then compared whole. Shorter paragraphs meet by their first KEY code points and all hashes. Paragraphs are longer than key.
+    pair, and are then compared whole. Shorter paragraphs meet by their first KEY code points and all hashes; shortest, the
+    least length of the paragraphs where it is known, spares the search for such. Paragraphs are longer than key.
     """
     least = key + WINDOW - 1
     bodies = texts.select("source_id", F.lower("body").alias("_body")).filter(F.length("_body") >= key)
     low = paragraphs.select("doc_id", "paragraph_index", F.lower(T.strip("text")).alias("_low"))
-    marks = low.filter(F.length("_low") >= least).select("doc_id", "paragraph_index", F.get(_winnowed("_low", key), F.lit(0)).alias("_key"))
+    marks = low.filter(F.length("_low") >= least).select("doc_id", "paragraph_index", F.array_min(F.transform(F.sequence(F.lit(1), F.lit(WINDOW)), lambda i: F.xxhash64(F.substring("_low", i, F.lit(key))))).alias("_key"))
     index = bodies.filter(F.length("_body") >= least).select("source_id", F.explode(_winnowed("_body", key)).alias("_key"))
     pairs = marks.join(index.hint("merge"), "_key").select("doc_id", "paragraph_index", "source_id")
     short = low.filter(F.length("_low") < least).select("doc_id", "paragraph_index", F.xxhash64(F.substring("_low", 1, key)).alias("_key"))
-    if not short.isEmpty():
+    if shortest < least and not short.isEmpty():
         every = bodies.select("source_id", F.explode(F.array_distinct(_hashes("_body", key))).alias("_key"))
         pairs = pairs.unionByName(short.join(every.hint("merge"), "_key").select("doc_id", "paragraph_index", "source_id"))
     met = pairs.distinct().join(low, ["doc_id", "paragraph_index"]).join(bodies, "source_id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import AUXILIARIES, CONJUNCTIONS, DETERMINERS, FEATURES, FUNCTION_WORDS, NOT_AUTHORS, PREPOSITIONS, PRONOUNS
+from ..config import AUXILIARIES, CONJUNCTIONS, DEFAULT, DETERMINERS, FEATURES, FUNCTION_WORDS, NOT_AUTHORS, PREPOSITIONS, PRONOUNS
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import citations, clustering, evaluate, features, ingest, kernel, report, sources, warnings
@@ -502,7 +502,7 @@ def exact_containment(spark, d):
     """Paragraphs that stand whole in a benchmark text or in a document whose id is divisible by 50."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("source_id"), F.concat(F.lit("before "), F.col("text"), F.lit(" after")).alias("body"))
     some = documents(spark, d).filter("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("source_id"), F.col("text").alias("body"))
-    return sources.containing(paragraphs(spark, d), b.unionByName(some))
+    return sources.containing(paragraphs(spark, d), b.unionByName(some), shortest=DEFAULT.min_paragraph_chars)
 
 
 @query(f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS text FROM w WHERE len(w) > 0")
