@@ -40,19 +40,10 @@ tg AS (SELECT tk.doc_id, tk.paragraph_index, tk.tk, max(s) AS s, arg_max(path, s
 TAGGED = _tags()
 
 
-def tagged(spark, d):
-    return tagging.tag(paragraphs(spark, d))
-
-
 @query(f"WITH RECURSIVE {TAGGED} SELECT doc_id, paragraph_index::INT AS paragraph_index, len(tk)::INT AS n_tokens, s AS score, path FROM tg")
 def pos_tags(spark, d):
     """Tags of every paragraph as letters, and the score of their path, added up from the model's tables."""
-    step, show = (F.array(*(F.array(*map(F.lit, row)) for row in x.tolist())) for x in tagging.PRIOR.scores())
-    number = F.create_map(*(x for i, t in enumerate(tagging.TAGS) for x in (F.lit(t), F.lit(i))))
-    rows = tagged(spark, d).withColumns({"_t": F.transform("tags", lambda x: number[x["tag"]]), "_c": tagging.classes(F.transform("tags", lambda x: x["word"]))})
-    before = lambda i: F.when(i == 0, 0).otherwise(F.get("_t", i - 1) + 1)
-    each = F.transform("_t", lambda t, i: F.get(F.get(step, before(i)), t) + F.get(F.get(show, F.get("_c", i)), t))
-    return rows.select("doc_id", "paragraph_index", F.size("tags").alias("n_tokens"), F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x).alias("score"), tagging.letters("tags").alias("path"))
+    return tagging.paths(paragraphs(spark, d)).select("doc_id", "paragraph_index", F.length("path").alias("n_tokens"), "score", "path")
 
 
 def _count(letters: str) -> str:
@@ -62,7 +53,7 @@ def _count(letters: str) -> str:
 @query(f"WITH RECURSIVE {TAGGED} SELECT doc_id, paragraph_index::INT AS paragraph_index, {', '.join(R(f'({_count(c)})::DOUBLE / greatest(len(tk), 1)', 4) + f' AS {n}' for n, c in (('pronoun_ratio', 'PQ'), ('preposition_ratio', 'I'), ('conjunction_ratio', 'CS')))} FROM tg")
 def tagged_pos_ratios(spark, d):
     """The ratios of word classes by tags instead of by lists."""
-    return tagged(spark, d).select("doc_id", "paragraph_index", *(N.round_even(c, 4).alias(n) for n, c in features.tag_ratios("tags").items()))
+    return tagging.paths(paragraphs(spark, d)).select("doc_id", "paragraph_index", *(N.round_even(c, 4).alias(n) for n, c in features.path_ratios("path").items()))
 
 
 _COUNTED = ", ".join(f"({_count(''.join(tagging.LETTERS[tagging.TAGS.index(t)] for t in names))})::INT AS {n}" for n, names in features.TAGS.items())
@@ -74,7 +65,7 @@ fj AS (SELECT doc_id, paragraph_index, string_agg(w || ':' || n, ',' ORDER BY n
 SELECT doc_id, paragraph_index::INT AS paragraph_index, {_COUNTED}, coalesce(t, '') AS top_function_words FROM (SELECT * REPLACE (coalesce(path, '') AS path) FROM tg) LEFT JOIN fj USING (doc_id, paragraph_index)""")
 def tagged_summary(spark, d):
     """Counts of seven word classes and the most frequent function words, by tags."""
-    return features.tag_summary(tagged(spark, d))
+    return features.path_summary(paragraphs(spark, d))
 
 
 # --- sentences
@@ -159,7 +150,7 @@ SELECT doc_id, paragraph_index::INT AS paragraph_index, query FROM q JOIN (SELEC
 def lemma_keywords(spark, d):
     """The search query of every paragraph: its longest lemmas of nouns and adjectives."""
     rows = paragraphs(spark, d)
-    return features.lemma_keywords(tagging.tag(rows), _table(rows))
+    return features.lemma_queries(rows, _table(rows))
 
 
 # --- clauses
@@ -169,14 +160,14 @@ def lemma_keywords(spark, d):
 def clause_triplets(spark, d):
     """Subject, verb and object of every paragraph by lemmas, and how many it shares with the next paragraph."""
     rows = paragraphs(spark, d)
-    found = clauses.triplets(tagging.tag(rows), _table(rows)).withColumn("_next", F.lead("triplets").over(clustering.by_doc()))
+    found = clauses.named(clauses.spoken(rows), _table(rows)).withColumn("_next", F.lead("triplets").over(clustering.by_doc()))
     return found.select("doc_id", "paragraph_index", F.array_join("triplets", ",").alias("triplets"), F.when(F.col("_next").isNotNull(), sources.overlap("triplets", "_next")).alias("overlap"))
 
 
 @query()
 def clause_passives(spark, d):
     """What a dependency reading counts for passives in every paragraph."""
-    return tagged(spark, d).select("doc_id", "paragraph_index", clauses.passives(clauses.clauses("tags")).alias("passives"))
+    return clauses.passive_counts(paragraphs(spark, d))
 
 
 # --- vectors
