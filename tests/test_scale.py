@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillmark.operators import clauses, features, lemmas, tagging
+from quillmark.llm import quality_model
+from quillmark.operators import clauses, evaluate, features, lemmas, sources, tagging
 
 TEXTS = ["He didn't see The Old Houses, and they were Quickly sold by İs 3,400 men!", "", None, "She said that it's made of glass: Who was taken? \"Yes\" they Wanted to run and get paid " * 3, "Σας ies ly quickly 42nd ½ \u0085 x"]
 
@@ -25,3 +26,54 @@ def test_walked_clauses_and_summaries_equal_the_expressions(spark):
     words = lemmas.vocabulary(spark.createDataFrame([(w,) for w in "house houses walk walks walked say says".split()], "word string"))
     table = lemmas.lemma_table(words, lemmas.rules(words, 1))
     assert sorted(features.lemma_queries(d, table).collect()) == sorted(features.lemma_keywords(tagged, table).collect())
+
+
+def test_silhouette_meets_all_rows_of_a_key_block_by_block(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, i % 3, v) for k in (0, 1) for i, v in enumerate((rng.normal(size=(40, 5)) * (k + 1)).tolist())] + [(2, i, i % 2, [1.0] * 5) for i in range(6)] + [(3, 0, 0, [1.0] * 5)]
+    got = {r["k"]: r["silhouette"] for r in evaluate.silhouette(spark.createDataFrame(rows, "k int, i long, l long, v array<double>"), "v", "k", "l", "i", block=7).collect()}
+    want = {2: 0.0, 3: -1.0}
+    for k in (0, 1):
+        x, label = np.array([r[3] for r in rows if r[0] == k]), np.array([r[2] for r in rows if r[0] == k])
+        gap = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(2))
+        a = [gap[i][(label == label[i]) & (np.arange(40) != i)].mean() for i in range(40)]
+        b = [min(gap[i][label == m].mean() for m in range(3) if m != label[i]) for i in range(40)]
+        want[k] = float(np.mean([(q - p) / max(p, q) for p, q in zip(a, b, strict=True)]))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_nearest_vectors_by_blocks_with_copies(spark):
+    x = np.random.default_rng(4).normal(size=(30, 4))
+    x[20:] = x[:10]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "source_id long, vector array<double>")
+    got = {}
+    for r in sources.nearest(table.filter("source_id % 5 = 0").withColumnRenamed("source_id", "query_id"), table, 3, block=4).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["source_id"]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 30, 5):
+        best = sorted((i for i in range(30) if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 12), i))[:3]
+        assert [got[q][r] for r in (1, 2, 3)] == best
+
+
+def test_index_and_neighbours_of_a_document_stay_in_its_row(spark):
+    d = spark.createDataFrame([(1, "a b a".split()), (2, ["x"]), (3, [])], "doc_id int, words array<string>")
+    assert {r["doc_id"]: r["_index"] for r in sources.inverted_index(d).collect()} == {1: {"a": [0, 2], "b": [1]}, 2: {"x": [0]}, 3: {}}
+    told = "common tree house river stone cloud light paper metal glass"
+    p = spark.createDataFrame([(1, 0, told), (1, 1, told), (1, 2, told.replace("o", "0")), (1, 3, "too short"), (2, 0, told)], "doc_id int, paragraph_index int, text string")
+    got = {r["doc_id"]: (r["n"], [(x["position"], x["similarity"]) for x in r["near"]]) for r in evaluate.neighbours(p).collect()}
+    assert got[2] == (1, []) and got[1][0] == 3 and [i for i, _ in got[1][1]] == [1, 2] and abs(got[1][1][0][1] - 1) < 1e-12 and 0 < got[1][1][1][1] < 1
+
+
+def test_lemmas_of_rules_with_many_results(spark):
+    words = "walk walked talk talked jump jumped bake baked like liked note noted plan planned studies study parties party flies fly zorked".split()
+    known = lemmas.vocabulary(spark.createDataFrame([(w,) for w in words], "word string"))
+    got = {(r["word"], r["tag"]): r["lemma"] for r in lemmas.lemma_table(known, lemmas.rules(known, 2)).collect()}
+    assert got["baked", "VERB"] == "bake" and got["talked", "VERB"] == "talk" and got["parties", "NOUN"] == "party" and got["zorked", "VERB"] == "zork"
+
+
+def test_quality_model_is_fitted_on_all_trusted_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda trusted: seen.append(trusted.count()) or spark.createDataFrame([], "gram long, p double, gamma double"))
+    docs = spark.range(8100).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("some text").alias("text"))
+    assert quality_model.judge(docs, docs.select("doc_id", F.lit(1).alias("quality"))).filter("kept").count() == 8100
+    assert seen == [8100]
