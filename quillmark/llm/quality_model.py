@@ -1,8 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model (Chen & Goodman 1999) of trusted text.
 
 The model is one of characters, ORDER at a time, over all languages, so a quoted passage in another one is no fault.
-It is fitted on at most `rows` trusted texts
-(those of least hash of their id, a documented bound). Counts, continuation counts, sums over contexts and the
+It is fitted on all trusted texts. Counts, continuation counts, sums over contexts and the
 interpolation with the next lower order are joins and aggregates of count tables partitioned by n-gram hash, and so
 is scoring: blocks of texts send the shards their distinct n-grams and get back probabilities and backoff weights.
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .runtime import cut, maybe_broadcast, null_key, shards_for
 
-ORDER, ROWS = 4, 8000
+ORDER = 4
 #: Fence: median + REACH * (upper quartile - median), at least MARGIN nats a character above the median.
 PRIOR, REACH, MARGIN = 200, 6.0, 0.2
 #: A character that the trusted texts lack has this share of the lowest order's backoff weight.
@@ -208,10 +207,10 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     return B.packed_blocks(rows).unionByName(answers).groupBy("block").applyInPandas(finish, f"doc_id {kind}, _lang string, _row long, n_chars long, nats double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, _lang, _row, n_chars, perplexity, cutoff, kept for each row of docs. labels(doc_id, quality) mark trusted text by 1."""
-    good = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    trusted = docs.select("doc_id", "lang", "text").join(F.broadcast(good), "doc_id", "left_semi")
+    good = maybe_broadcast(cut(labels.filter("quality = 1").select("doc_id").distinct(), "quality-trusted"))
+    trusted = docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi")
     scored = cut(score(docs.select("doc_id", "lang", "text"), fit(trusted)).withColumn("_mean", F.col("nats") / F.col("n_chars")), "quality-scores")
     measured = scored.filter("nats IS NOT NULL")
     middle = maybe_broadcast(cut(measured.groupBy("_lang").agg(F.percentile_approx("_mean", 0.5, 10000).alias("_median")), "quality-medians"))
