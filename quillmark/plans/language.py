@@ -8,7 +8,7 @@ from ..config import FUNCTION_WORDS
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import clauses, clustering, features, lemmas, sentences, sources, tagging, vectors
-from .catalogue import ORACLE, WORDS, P, R, paragraphs, query
+from .catalogue import ORACLE, WORDS, P, R, documents, paragraphs, query
 
 # --- tags
 
@@ -181,7 +181,8 @@ SELECT doc_id, paragraph_index::INT AS paragraph_index, count(*) AS n_terms, rou
 def pmi_entries(spark, d):
     """The positive entries of every paragraph's row of the matrix from which vectors are learnt: their number, sum and greatest."""
     key = ("doc_id", "paragraph_index")
-    _, entries = vectors.entries_of(vectors.counts(paragraphs(spark, d), key), key)
+    apart = documents(spark, d).groupBy("doc_id").count().filter("count > 1").isEmpty()
+    _, entries = vectors.entries_of(vectors.counts(paragraphs(spark, d), key, apart=apart), key)
     return entries.groupBy(*key).agg(F.count("*").alias("n_terms"), F.round(F.sum("entry"), 6).alias("weight"), F.round(F.max("entry"), 6).alias("largest"))
 
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmark.llm import quality_model
-from quillmark.operators import clauses, evaluate, features, lemmas, sources, tagging
+from quillmark.operators import clauses, evaluate, features, lemmas, sources, tagging, vectors
 
 TEXTS = ["He didn't see The Old Houses, and they were Quickly sold by İs 3,400 men!", "", None, "She said that it's made of glass: Who was taken? \"Yes\" they Wanted to run and get paid " * 3, "Σας ies ly quickly 42nd ½ \u0085 x"]
 
@@ -77,3 +77,22 @@ def test_quality_model_is_fitted_on_all_trusted_texts(spark, monkeypatch):
     docs = spark.range(8100).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("some text").alias("text"))
     assert quality_model.judge(docs, docs.select("doc_id", F.lit(1).alias("quality"))).filter("kept").count() == 8100
     assert seen == [8100]
+
+
+def test_entries_of_texts_are_counted_in_place_and_meet_rare_terms_too(spark, monkeypatch):
+    rows = [(1, 0, "a b b ç"), (1, 1, "b c d e"), (2, 0, "C x a"), (3, 0, None), (4, 0, "1 2"), (5, 0, "d e e f"), (5, 0, "d f")]
+    d, key = spark.createDataFrame(rows, "doc_id int, paragraph_index int, text string"), ("doc_id", "paragraph_index")
+    assert "Exchange" not in vectors.counts(d, key)._jdf.queryExecution().executedPlan().toString()
+    texts = {}
+    for i, j, t in rows:
+        texts.setdefault((i, j), []).append([w for w in (t or "").lower().split() if w.isalpha()])
+    n = {(k, w): sum(t.count(w) for t in ts) for k, ts in texts.items() for w in {w for t in ts for w in t}}
+    every, of = sum(n.values()), lambda w: [v for (_, x), v in n.items() if x == w]
+    want = {(*k, w): np.log(v / max(map(len, texts[k])) / (sum(of(w)) / every)) for (k, w), v in n.items() if len(of(w)) > 1}
+    want = {k: v for k, v in want.items() if v > 0}
+    for common in (100, 2):
+        monkeypatch.setattr(vectors, "COMMON", common)
+        shares, entries = vectors.entries_of(vectors.counts(d, key, apart=False), key)
+        got = {(r["doc_id"], r["paragraph_index"], r["term"]): r["entry"] for r in entries.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 5
+        assert shares.count() == len({w for _, w in n if len(of(w)) > 1})
