@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillmark.config import DEFAULT, FEATURES
+from quillmark.functions import text as T
 from quillmark.llm import quality_model
-from quillmark.operators import clauses, evaluate, features, lemmas, sources, tagging, vectors
+from quillmark.operators import clauses, clustering, evaluate, features, ingest, kernel, lemmas, sources, tagging, vectors
 
 TEXTS = ["He didn't see The Old Houses, and they were Quickly sold by İs 3,400 men!", "", None, "She said that it's made of glass: Who was taken? \"Yes\" they Wanted to run and get paid " * 3, "Σας ies ly quickly 42nd ½ \u0085 x"]
 
@@ -96,3 +98,44 @@ def test_entries_of_texts_are_counted_in_place_and_meet_rare_terms_too(spark, mo
         got = {(r["doc_id"], r["paragraph_index"], r["term"]): r["entry"] for r in entries.collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 5
         assert shares.count() == len({w for _, w in n if len(of(w)) > 1})
+
+
+def test_documents_are_clustered_batch_by_batch(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d if d < 9 else None, i, *np.round(rng.normal(size=len(FEATURES)) * 0.3 + i % 2 * 5, 1).tolist(), d * 100 + i) for d, n in enumerate((1, 4, 6, 12, 7, 0, 30, 5, 9, 8)) for i in range(n)] + [(5, None, *[0.0] * len(FEATURES), -1)]
+    ddl = "doc_id long, paragraph_index int, " + ", ".join(f"{c} double" for c in FEATURES) + ", tag int"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = clustering.label(spark.createDataFrame(rows, ddl).withColumn("is_valid", F.lit(True)), carry=("tag",))
+        got = {r["tag"]: (r["cluster_id"], r["probability"], r["outcome"]) for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Groups" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {-1: (None, None, "skipped")}
+    for d in {r[0] for r in rows} - {5}:
+        mine = [r for r in rows if r[0] == d]
+        x = np.array([r[2:-1] for r in mine])
+        outcome, labels, sure = kernel.guard(x, np.ones(len(x), bool), DEFAULT), [0] * len(x), [1.0] * len(x)
+        if outcome == "cluster":
+            labels, sure, outcome = kernel.cluster(x, DEFAULT)
+        want |= {r[-1]: (int(k), float(p), outcome) for r, k, p in zip(mine, labels, sure, strict=True)}
+    assert got == want and {"skipped", "cluster"} <= {v[2] for v in want.values()}
+
+
+def test_both_trees_of_the_kernel_are_one(spark):
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 9, 40, 70):
+        for x in (rng.normal(size=(n, 8)), np.round(rng.normal(size=(n, 8))), np.zeros((n, 8))):
+            assert kernel._few(x, min(2, n - 1)) == kernel._many(x, min(2, n - 1))
+
+
+def test_later_methods_of_extraction_are_tried_only_where_earlier_ones_find_nothing(spark):
+    long = "a long line of words " * 5
+    rows = [(1, f" {long} \nshort"), (2, "short lines\n" * 12), (3, "too short"), (4, ""), (5, None), (6, " " * 90)]
+    found = ingest.extraction(spark.createDataFrame(rows, "doc_id int, text string"))
+    got = {r["doc_id"]: (r["extraction_method"], r["parts"]) for r in found.collect()}
+    assert got == {1: ("lines", [long.strip()]), 2: ("pages", [("short lines " * 12).strip()]), 3: ("raw_chunk", []), 4: ("none", []), 5: ("none", []), 6: ("none", [])}
+    assert "CASE WHEN" in next(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "{2,}" in x).split("{2,}")[0]  # clean() is conditional
+    odd = ["", " ", "\x1c a \x1f", "a\n", "\r\n a b  \n", "᠎a​", "　é\u0085", "\x00 a"]
+    d = spark.createDataFrame([(t,) for t in odd], "t string").select(T.strip("t").alias("a"), F.regexp_replace("t", rf"(?U)^{T.SPACE}+|{T.SPACE}+$", "").alias("b"))
+    assert all(r["a"] == r["b"] for r in d.collect()) and "regexp_replace" not in T.strip("t")._jc.toString()
