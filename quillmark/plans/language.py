@@ -97,8 +97,7 @@ def abbreviations(spark, d):
 
 @query(f"WITH {STARTERS} SELECT * FROM sx")
 def sentence_starters(spark, d):
-    words = sentences.occurrences(paragraphs(spark, d))
-    return sentences.starters(words, sentences.abbreviations(words))
+    return sentences.learnt(paragraphs(spark, d))[1]
 
 
 @query(rf"""WITH {STARTERS}, sd AS (SELECT *, lower(regexp_extract(w, {_WORD}, 1)) AS word, lower(regexp_extract(coalesce(nx, ''), {_WORD}, 1)) AS nw FROM si),
@@ -109,7 +108,8 @@ SELECT doc_id, paragraph_index::INT AS paragraph_index, len(ls)::INT AS num_sent
   {R("sqrt(len(ls) * list_sum(list_transform(ls, lambda x: x * x)) - list_sum(ls) * list_sum(ls)) / len(ls) / greatest(list_sum(ls)::DOUBLE / len(ls), 1.0)", 4)} AS burstiness_score FROM sl""")
 def sentence_boundaries(spark, d):
     """Sentences by the corpus's own abbreviations, and the features that read their lengths."""
-    rows = sentences.split(paragraphs(spark, d)).withColumn("_l", sentences.lengths())
+    whole = paragraphs(spark, d)
+    rows = sentences.ends(whole, *sentences.learnt(whole)).withColumn("_l", sentences.lengths())
     return rows.select("doc_id", "paragraph_index", F.size("_l").alias("num_sentences"), F.array_join(F.transform("_l", lambda x: x.cast("string")), ",").alias("lengths"), N.round_even(N.mean("_l"), 4).alias("avg_sentence_length"), N.round_even(N.burstiness("_l"), 4).alias("burstiness_score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmark.config import DEFAULT, FEATURES
 from quillmark.functions import text as T
 from quillmark.llm import quality_model
-from quillmark.operators import clauses, clustering, evaluate, features, ingest, kernel, lemmas, sources, tagging, vectors
+from quillmark.operators import clauses, clustering, evaluate, features, ingest, kernel, lemmas, sentences, sources, tagging, vectors
 
 TEXTS = ["He didn't see The Old Houses, and they were Quickly sold by İs 3,400 men!", "", None, "She said that it's made of glass: Who was taken? \"Yes\" they Wanted to run and get paid " * 3, "Σας ies ly quickly 42nd ½ \u0085 x"]
 
@@ -139,3 +139,18 @@ def test_later_methods_of_extraction_are_tried_only_where_earlier_ones_find_noth
     odd = ["", " ", "\x1c a \x1f", "a\n", "\r\n a b  \n", "᠎a​", "　é\u0085", "\x00 a"]
     d = spark.createDataFrame([(t,) for t in odd], "t string").select(T.strip("t").alias("a"), F.regexp_replace("t", rf"(?U)^{T.SPACE}+|{T.SPACE}+$", "").alias("b"))
     assert all(r["a"] == r["b"] for r in d.collect()) and "regexp_replace" not in T.strip("t")._jc.toString()
+
+
+def test_words_of_sentences_are_counted_as_written_and_ends_move_without_texts(spark, monkeypatch):
+    texts = ["He met Dr. Low. He ran! no one saw J. K. It was late etc. and (so.) He left", "Dr. No said: ask Dr. Who? Yes. It was", "", None, "no sign", "a.b. c.d. It"]
+    d = spark.createDataFrame([(i if i < 5 else None, 0, t) for i, t in enumerate(texts)], "doc_id int, paragraph_index int, text string")
+    got = {r["word"]: (r["n_dot"], r["n_first"], r["firsts"], r["n"]) for r in sentences.occurrences(d).collect()}
+    assert got["dr"] == (3, 0, 0, 3) and got["he"] == (0, 2, 2, 3) and got["it"] == (0, 2, 2, 3) and got["low"] == (1, 1, 1, 1) and got["no"] == (0, 1, 2, 3) and got["a.b"] == (1, 0, 0, 1)
+    short = spark.createDataFrame([("dr", True), ("etc", True)], "word string, is_abbreviation boolean")
+    start = spark.createDataFrame([("it", True)], "word string, is_starter boolean")
+    for few in (10, 0):
+        monkeypatch.setattr(sentences, "FEW", few)
+        found = sentences.ends(d, short, start)
+        assert few == 0 or found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+        assert {r["doc_id"]: r["sentence_ends"] for r in found.collect()} == {0: [4, 6, 17, 19], 1: [6, 7, 9], 4: [2], None: [2, 3]}
+    assert sorted((r["doc_id"] or 9, r["sentence_ends"]) for r in sentences.boundaries(d, short, start).collect() if r["doc_id"] != 0) == [(1, [6, 7, 9]), (2, []), (3, []), (4, [2]), (9, [2, 3])]
