@@ -154,3 +154,12 @@ def test_words_of_sentences_are_counted_as_written_and_ends_move_without_texts(s
         assert few == 0 or found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
         assert {r["doc_id"]: r["sentence_ends"] for r in found.collect()} == {0: [4, 6, 17, 19], 1: [6, 7, 9], 4: [2], None: [2, 3]}
     assert sorted((r["doc_id"] or 9, r["sentence_ends"]) for r in sentences.boundaries(d, short, start).collect() if r["doc_id"] != 0) == [(1, [6, 7, 9]), (2, []), (3, []), (4, [2]), (9, [2, 3])]
+
+
+def test_a_paragraph_is_lowered_once_for_all_its_hashes(spark):
+    text = "The Quick brown fox jumps over the lazy dog, and then the dog sleeps in the warm sun of May."
+    p = spark.createDataFrame([(1, 0, f"  {text.upper()} "), (2, 0, text.replace("May", "June") + " " * 30)], "doc_id int, paragraph_index int, text string")
+    b = spark.createDataFrame([(7, f"before {text} after"), (8, "nothing of it " * 9)], "source_id int, body string")
+    found = sources.containing(p, b, shortest=80)
+    assert "xxhash64(substring(lower(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 0, 7)]
