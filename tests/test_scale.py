@@ -8,6 +8,7 @@ from quillmark.config import DEFAULT, FEATURES
 from quillmark.functions import text as T
 from quillmark.llm import quality_model
 from quillmark.operators import clauses, clustering, evaluate, features, ingest, kernel, lemmas, sentences, sources, tagging, vectors
+from quillmark.plans import catalogue
 
 TEXTS = ["He didn't see The Old Houses, and they were Quickly sold by İs 3,400 men!", "", None, "She said that it's made of glass: Who was taken? \"Yes\" they Wanted to run and get paid " * 3, "Σας ies ly quickly 42nd ½ \u0085 x"]
 
@@ -57,6 +58,39 @@ def test_nearest_vectors_by_blocks_with_copies(spark):
         assert [got[q][r] for r in (1, 2, 3)] == best
 
 
+def test_every_vector_is_asked_for_its_nearest(spark, tmp_path):
+    x = np.random.default_rng(7).normal(size=(120, 4)).astype(np.float32)
+    x[90:] = x[:30]
+    table = spark.createDataFrame([(i * 7, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query_id"], r["rank"]): (r["source_id"], r["similarity"]) for r in catalogue.cosine_topk(spark, str(tmp_path)).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {}
+    for q in range(120):
+        for rank, i in enumerate(sorted((i for i in range(120) if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 12), i))[:3], 1):
+            want[q * 7, rank] = (i * 7, float(unit[q] @ unit[i]))
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    every = table.select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vector"))
+    dealt = sources.nearest(every.withColumnRenamed("source_id", "query_id"), every, 3, block=4)
+    assert {(r["query_id"], r["rank"]): r["source_id"] for r in dealt.collect()} == {k: v[0] for k, v in want.items()}
+
+
+def test_best_of_a_block_by_pieces_of_the_product(monkeypatch):
+    rng = np.random.default_rng(8)
+    s = rng.normal(size=(60, 3))
+    s[20:40], s[50:] = s[:20], s[0]
+    s /= np.linalg.norm(s, axis=1, keepdims=True)
+    s[7] = 0
+    ids = np.sort(np.append(np.arange(58), [5, 9]))  # two ids stand twice
+    for columns in (2, 7, 100):
+        monkeypatch.setattr(sources, "COLUMNS", columns)
+        for k in (1, 3, 59, 80):
+            row, source, value = sources.best(s, ids, s, ids, k)
+            for q in range(60):
+                every = sorted((-round(float(s[q] @ s[i]), 12) + 0.0, int(ids[i])) for i in range(60) if ids[i] != ids[q])[:k]
+                assert source[row == q].tolist() == [i for _, i in every] and np.allclose(value[row == q], [-v for v, _ in every])
+
+
 def test_index_and_neighbours_of_a_document_stay_in_its_row(spark):
     d = spark.createDataFrame([(1, "a b a".split()), (2, ["x"]), (3, [])], "doc_id int, words array<string>")
     assert {r["doc_id"]: r["_index"] for r in sources.inverted_index(d).collect()} == {1: {"a": [0, 2], "b": [1]}, 2: {"x": [0]}, 3: {}}
